@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("chunks", "search", "talk")
+MODULES = ("chunks", "search", "talk", "graphs")
 
 
 def _merged(attribute):

@@ -17,23 +17,26 @@ def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text",
                    rows_per_task=skew.ROWS_PER_TASK):
     """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated."""
     scope, key = list(scope), list(key)
-    terms = terms_of(X.prefix(F.col(text), chars))
+    # a chunk without terms keeps one row with an empty term, so that it counts as a document
+    terms = X.let(
+        terms_of(X.prefix(F.col(text), chars)), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("")))
+    )
+    keyed = chunks.where(" AND ".join(f"{c} IS NOT NULL" for c in [*scope, *key, text]))
     tf = (
-        chunks.select(*scope, *key, F.explode_outer(terms).alias("term"))
+        keyed.select(*scope, *key, F.explode(terms).alias("term")).where("term IS NOT NULL")
         .groupBy(*scope, *key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    # both counts keep the tf column, so all three branches read the same shuffle
+    # every branch keeps the tf column and the same filters, so all of them read one shuffle
     on = [*scope, "term"]
-    df = tf.where(F.col("tf") > 0).groupBy(*on).agg(F.count_if(F.col("tf") > 0).alias("df"))
+    df = tf.groupBy(*on).agg(F.count_if(F.col("tf") > 0).alias("df"))
     size = (
         tf.groupBy(*scope, *key).agg(F.sum("tf").alias("_n"))
         .groupBy(*scope).agg(F.count_if(F.col("_n") > 0).alias("_size"))
     )
     idf = df.join(size, scope).select(*on, F.ln(F.col("_size") / F.col("df")).alias("idf"))
     scored = skew.salted_join(tf, idf, on, skew.hot_keys(df, on, "df", rows_per_task), spread=key)
-    ranked = F.array_sort(
-        F.collect_list(F.struct((-F.round(F.col("tf") * F.col("idf"), 9)).alias("w"), F.col("term")))
-    )
+    weight = F.struct((-F.round(F.col("tf") * F.col("idf"), 9)).alias("w"), F.col("term"))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("term") != "", weight)))
     words = scored.groupBy(*scope, *key).agg(
         F.array_join(F.transform(F.slice(ranked, 1, n), lambda s: s["term"]), ", ").alias("keywords")
     )

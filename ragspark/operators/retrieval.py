@@ -188,7 +188,8 @@ def top_hits(queries, chunks, k=None, max_query_rows=QUERY_ROWS, max_query_token
         found = _candidates_small(queries, chunks, k)
     else:
         found = _candidates_blocks(queries, chunks, k, chunks_per_block, queries_per_block)
-    return rank_hits(found, k)
+    # the joins after this need non-null ids; asking for them here lets every use of the hits share one scoring
+    return rank_hits(found.where("invoke_id IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL"), k)
 
 
 def rank_hits(scored, k=None):
