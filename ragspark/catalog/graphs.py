@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ragspark.catalog import common as C
 from ragspark.functions import text as X
 from ragspark.operators import graph as G
+from ragspark.session import saved
 
 QUERIES, ORACLE = {}, {}
 
@@ -133,23 +134,29 @@ def questions(spark, folder):
     )
 
 
+def stored(spark, folder):
+    """Entity and edge tables as a user keeps them: built once, then searched."""
+    entities, edges, _ = graph(spark, folder)
+    return saved(entities, "entity"), saved(edges, "edge")
+
+
 def matched(spark, folder, file=None):
-    return G.match_entities(questions(spark, folder), graph(spark, folder)[0], file).drop("invoke_id")
+    return G.match_entities(questions(spark, folder), stored(spark, folder)[0], file).drop("invoke_id")
 
 
 def expanded(spark, folder):
-    entities, edges, _ = graph(spark, folder)
+    entities, edges = stored(spark, folder)
     return G.expand_neighbors(G.match_entities(questions(spark, folder), entities), edges).drop("invoke_id")
 
 
 def limited(spark, folder):
-    entities, edges, _ = graph(spark, folder)
+    entities, edges = stored(spark, folder)
     found = G.match_entities(questions(spark, folder), entities)
     return G.limit_graph(G.expand_neighbors(found, edges)).drop("invoke_id")
 
 
 def context(spark, folder, file=None):
-    entities, edges, _ = graph(spark, folder)
+    entities, edges = stored(spark, folder)
     return G.graph_search(questions(spark, folder), entities, edges, file).drop("invoke_id")
 
 

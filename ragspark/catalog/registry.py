@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("chunks", "search", "talk", "graphs")
+MODULES = ("chunks", "search", "talk", "graphs", "documents")
 
 
 def _merged(attribute):

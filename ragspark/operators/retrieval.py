@@ -15,9 +15,11 @@ HIT_ARROW = pa.schema(
 )
 # Queries are sent to every task only below both limits; beyond them they are shuffled in blocks.
 QUERY_ROWS = 4096
-QUERY_TOKENS = 262_144
-CHUNKS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 512
+QUERY_TOKENS = 65_536
+CHUNKS_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 256
+# cells of the largest query-token by document-token matrix held at once
+MATRIX_CELLS = 8_000_000
 
 
 def token_matrix(tokens, keys, position, vector="embedding"):
@@ -55,8 +57,16 @@ def _scores(q_tokens, q_starts, d_tokens, d_starts):
     has_q, has_d = np.diff(q_starts) > 0, np.diff(d_starts) > 0
     if not has_q.any() or not has_d.any():
         return out
-    best = np.maximum.reduceat(q_tokens @ d_tokens.T, d_starts[:-1][has_d], axis=1)
-    out[np.ix_(has_q, has_d)] = np.add.reduceat(best, q_starts[:-1][has_q], axis=0)
+    docs = np.flatnonzero(has_d)
+    begins, ends = d_starts[docs], d_starts[docs + 1]
+    widest = max(1, MATRIX_CELLS // max(1, len(q_tokens)))
+    at = 0
+    while at < len(docs):
+        to = max(at + 1, int(np.searchsorted(ends, begins[at] + widest, side="right")))
+        products = q_tokens @ d_tokens[begins[at] : ends[to - 1]].T
+        best = np.maximum.reduceat(products, begins[at:to] - begins[at], axis=1)
+        out[np.ix_(has_q, docs[at:to])] = np.add.reduceat(best, q_starts[:-1][has_q], axis=0)
+        at = to
     return np.round(out, 6)
 
 

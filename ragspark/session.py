@@ -32,3 +32,10 @@ def shared_folder(spark, name):
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df, name):
+    """Write ``df`` once to the shared folder and read it back; later uses neither recompute nor lose it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
