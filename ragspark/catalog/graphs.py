@@ -136,12 +136,12 @@ def questions(spark, folder):
 
 def stored(spark, folder):
     """Entity and edge tables as a user keeps them: built once, then searched."""
-    entities, edges, _ = graph(spark, folder)
-    return saved(entities, "entity"), saved(edges, "edge")
+    entities, edges, _ = G.build_graph(extracted(spark, folder), keep=saved)
+    return entities, edges
 
 
 def matched(spark, folder, file=None):
-    return G.match_entities(questions(spark, folder), stored(spark, folder)[0], file).drop("invoke_id")
+    return G.match_entities(questions(spark, folder), saved(graph(spark, folder)[0], "entity"), file).drop("invoke_id")
 
 
 def expanded(spark, folder):

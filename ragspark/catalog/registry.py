@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("chunks", "search", "talk", "graphs", "documents")
+MODULES = ("chunks", "search", "talk", "graphs", "documents", "agents", "stores")
 
 
 def _merged(attribute):

@@ -41,8 +41,15 @@ MAX_DEPTH = 4
 
 def doc_kind(json):
     """First root key that names a document kind, else null."""
-    keys = F.json_object_keys(json)
-    return F.coalesce(*[F.when(F.array_contains(keys, k), F.lit(k)) for k in KINDS])
+    roots = F.array(*map(F.lit, KINDS))
+    return X.let(
+        F.json_object_keys(json), lambda keys: F.get(F.filter(roots, lambda k: F.array_contains(keys, k)), 0)
+    )
+
+
+def tagged(docs):
+    """Documents with their ``kind``; store them by it and each kind is read alone."""
+    return docs.withColumn("kind", F.coalesce(doc_kind(F.col("json")), F.lit("other")))
 
 
 def equation_text(raw):
@@ -113,23 +120,22 @@ def joined(df, keys, order, text, sep, out):
 
 
 def flatten_groups(items, shapes, item_type, max_depth=MAX_DEPTH):
-    """Leaf items of nested groups in depth-first order: ``path`` grows by one position per level.
+    """ARRAY of the leaf items of (nested) groups in depth-first order.
 
-    ``items(keys, path, item)``. A group below ``max_depth`` is an error, never dropped.
+    A group inside ``max_depth`` others is an error, never dropped.
     """
-    keep = [c for c in items.columns if c not in ("path", "item")]
-    level, leaves = items, None
-    for depth in range(max_depth + 1):
-        group = F.coalesce(F.col("item.type") == "group", F.lit(False))
-        here = level.where(~group)
-        leaves = here if leaves is None else leaves.unionByName(here)
-        inner = level.where(group).select(*keep, "path", F.posexplode(shapes(F.col("item"))).alias("at", "_json"))
-        if depth == max_depth:
-            stop = F.raise_error(F.lit(f"groups nested deeper than {max_depth}")).cast(item_type)
-            return leaves.unionByName(inner.select(*keep, "path", stop.alias("item")))
-        level = inner.select(
-            *keep, F.concat("path", F.array("at")).alias("path"), F.from_json("_json", item_type).alias("item")
-        )
+
+    def leaves(item, depth):
+        inner = F.coalesce(shapes(item), F.array().cast("array<string>"))
+        if depth == 0:
+            opened = F.raise_error(F.lit(f"groups nested deeper than {max_depth}")).cast(f"array<{item_type}>")
+        else:
+            opened = F.flatten(
+                F.transform(F.transform(inner, lambda j: F.from_json(j, item_type)), lambda i: leaves(i, depth - 1))
+            )
+        return F.when(item["type"] == "group", opened).otherwise(F.array(item))
+
+    return F.flatten(F.transform(items, lambda i: leaves(i, max_depth)))
 
 
 def table_cells(tables, keys, cells, frames=None):
@@ -157,8 +163,12 @@ def with_tables(leaves, keys, cells, frames=None):
     return leaves.join(grid, keys, "left").withColumn("table_md", F.coalesce("table_md", F.lit("")))
 
 
+def _of_kind(docs, kind):
+    return (docs if "kind" in docs.columns else tagged(docs)).where(F.col("kind") == kind)
+
+
 def _parsed(docs, kind, schema):
-    return docs.where(doc_kind(F.col("json")) == kind).select("doc_id", F.from_json("json", schema).alias("d"))
+    return _of_kind(docs, kind).select("doc_id", F.from_json("json", schema).alias("d"))
 
 
 def sheets_md(docs):
@@ -231,11 +241,9 @@ def slides_md(docs, max_depth=MAX_DEPTH):
     """Decks: title; per slide a marker, the note and the non-blank blocks of its (nested) items."""
     d = _parsed(docs, "slide", SLIDES)
     slide = d.select("doc_id", F.posexplode("d.slide").alias("slide", "s"))
-    items = slide.select("doc_id", "slide", F.posexplode("s.contents").alias("at", "item")).select(
-        "doc_id", "slide", F.array("at").alias("path"), "item"
-    )
-    leaves = flatten_groups(items, lambda i: i["group"]["shapes"], ITEM, max_depth)
-    key = ["doc_id", "slide", "path"]
+    flat = flatten_groups(F.col("s.contents"), lambda i: i["group"]["shapes"], ITEM, max_depth)
+    leaves = slide.select("doc_id", "slide", F.posexplode(flat).alias("at", "item"))
+    key = ["doc_id", "slide", "at"]
     cells = F.when(F.col("item.type") == "table", F.col("item.table.cells"))
     tabled = with_tables(leaves, key, cells)
     none = _no_frames()
@@ -250,7 +258,7 @@ def slides_md(docs, max_depth=MAX_DEPTH):
         .when(kind == "equation", equation_text(F.col("item.equation.rawMath")))
     )
     texts = tabled.select(*key, text.alias("text")).where(F.length(X.strip(F.col("text"))) > 0)
-    content = joined(texts, ["doc_id", "slide"], "path", "text", "\n\n", "content")
+    content = joined(texts, ["doc_id", "slide"], "at", "text", "\n\n", "content")
     marker = F.concat(F.lit("\n--- Slide "), F.coalesce("s.slide_number", F.lit("0")), F.lit(" ---\n"))
     parts = F.array_compact(
         F.array(
@@ -277,9 +285,9 @@ def frame_texts(documents, depth=2, max_depth=MAX_DEPTH):
         "frame_id", F.col("item.ID").try_cast("int")
     ).where("frame_id IS NOT NULL")
     last = skew.latest(frames, ["doc_id", "frame_id"], F.desc("at"))
-    items = last.select("doc_id", "frame_id", F.array().cast("array<int>").alias("path"), "item")
-    leaves = flatten_groups(items, lambda i: i["shapes"], FRAME, max_depth)
-    key = ["doc_id", "frame_id", "path"]
+    flat = flatten_groups(F.array("item"), lambda i: i["shapes"], FRAME, max_depth)
+    leaves = last.select("doc_id", "frame_id", F.posexplode(flat).alias("part", "item"))
+    key = ["doc_id", "frame_id", "part"]
     known = None
     for _ in range(depth):
         here = leaves.withColumn("_known", _no_frames()) if known is None else leaves.join(known, "doc_id", "left")
@@ -292,7 +300,7 @@ def frame_texts(documents, depth=2, max_depth=MAX_DEPTH):
             .when(kind == "equation", equation_text(F.col("item.rawMath")))
         )
         texts = tabled.select(*key, text.alias("text")).where(F.length("text") > 0)
-        whole = joined(texts, ["doc_id", "frame_id"], "path", "text", "\n\n", "text")
+        whole = joined(texts, ["doc_id", "frame_id"], "part", "text", "\n\n", "text")
         known = whole.groupBy("doc_id").agg(
             F.map_from_entries(F.collect_list(F.struct("frame_id", "text"))).alias("_known")
         )
@@ -324,8 +332,9 @@ def word_body_md(docs, depth=2):
 
 
 def to_markdown(docs):
-    """Markdown of every document by its kind; unknown kinds get the fixed message."""
-    other = docs.where(doc_kind(F.col("json")).isNull()).select(
-        "doc_id", F.lit(S.UNSUPPORTED_DOCUMENT).alias("markdown")
-    )
+    """Markdown of every document by its kind; unknown kinds get the fixed message.
+
+    Every kind reads the documents by itself, so give it stored ``tagged`` documents.
+    """
+    other = _of_kind(docs, "other").select("doc_id", F.lit(S.UNSUPPORTED_DOCUMENT).alias("markdown"))
     return sheets_md(docs).union(pdf_pages_md(docs)).union(slides_md(docs)).union(word_body_md(docs)).union(other)

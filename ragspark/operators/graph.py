@@ -205,9 +205,14 @@ def graph_context(rows, questions):
     )
 
 
-def build_graph(extracted, graph="graph", order="chunk_no", strict_order=True):
-    """(entities, edges, rejected relations) of chunks with an extracted ``graph`` struct."""
+def build_graph(extracted, graph="graph", order="chunk_no", strict_order=True, keep=None):
+    """(entities, edges, rejected relations) of chunks with an extracted ``graph`` struct.
+
+    ``keep(df, name)`` may store a table and return the stored one, so that edges read stored entities.
+    """
+    keep = keep or (lambda df, name: df)
     found, relations = explode_graph(extracted, graph, order)
-    entities = merge_entities(found)
+    entities = keep(merge_entities(found), "entity")
     usable, rejected = split_relations(relations)
-    return entities, resolve_edges(merge_edges(usable), entities, strict_order), rejected
+    edges = keep(resolve_edges(merge_edges(usable), entities, strict_order), "edge")
+    return entities, edges, rejected

@@ -34,8 +34,8 @@ def shared_folder(spark, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df, name):
+def saved(df, name, by=()):
     """Write ``df`` once to the shared folder and read it back; later uses neither recompute nor lose it."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
