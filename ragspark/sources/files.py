@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as X
+from ragspark.operators import skew
 
 CHAT_COLUMNS = ("sTalkerName", "formatted_date", "sTalkerContent", "sOriginalFileName")
 
@@ -101,10 +102,27 @@ def csv_fields(record):
     return F.transform(F.split(record, FIELD_END), value)
 
 
+# Converter output names in order of preference, then the pattern of any other.
+DOC_JSON_NAMES = ("word_page_all.json", "pdf_page_all.json", "slide_page_all.json", "sheet_page_all.json")
+DOC_JSON_PATTERN = "*_page_all.json"
+
+
 def read_doc_json(spark, path):
-    """Document JSON files as (doc_id, json): the files named ``*_page_all.json``."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*_page_all.json").text(path)
-    return files.select(
-        F.regexp_replace(file_name(F.input_file_name()), r"_page_all\.json$", "").alias("doc_id"),
-        F.col("value").alias("json"),
+    """Converted documents below ``path`` as (doc_id, json): one folder per document, its best-named output.
+
+    The choice is made on file names alone; only the chosen files' text goes on.
+    """
+    options = {"pathGlobFilter": DOC_JSON_PATTERN, "recursiveFileLookup": "true"}
+    folder = F.element_at(F.split("path", "/"), -2)
+    known = F.array(*map(F.lit, DOC_JSON_NAMES))
+    names = spark.read.format("binaryFile").options(**options).load(path).select("path", folder.alias("doc_id"))
+    place = F.array_position(known, file_name(F.col("path")))
+    order = F.when(place > 0, place).otherwise(len(DOC_JSON_NAMES) + 1)
+    chosen = skew.latest(names.withColumn("_place", order), ["doc_id"], "_place", "path").select("path")
+    texts = spark.read.options(**options).text(path, wholetext=True).select(
+        F.input_file_name().alias("_uri"), F.col("value").alias("json")
     )
+    uri = F.concat(F.element_at(F.split("_uri", "/"), -2), F.lit("/"), F.element_at(F.split("_uri", "/"), -1))
+    tail = F.concat(folder, F.lit("/"), file_name(F.col("path")))
+    keyed = texts.select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("_tail"), "json")
+    return keyed.join(chosen.select(folder.alias("doc_id"), tail.alias("_tail")), "_tail").select("doc_id", "json")
