@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ragspark.catalog import common as C
 from ragspark.functions import text as X
 from ragspark.operators import chunking, keywords
+from ragspark.session import saved
 
 QUERIES, ORACLE = {}, {}
 
@@ -93,7 +94,7 @@ KEY = ("doc_id", "chunk_seq")
 
 
 def keyed_chunks(spark, folder):
-    return keywords.tfidf_keywords(document_chunks(spark, folder), key=KEY)
+    return keywords.tfidf_keywords(saved(document_chunks(spark, folder), "chunks"), key=KEY)
 
 
 def tfidf(spark, folder):

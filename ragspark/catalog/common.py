@@ -3,10 +3,16 @@
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
+from ragspark.session import spread
+
+
+HEAVY = ("documents", "lineitem", "pages")
 
 
 def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One input table; those with much work per row are spread over the cores if they come in few files."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def quoted(s):

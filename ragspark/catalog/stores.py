@@ -9,7 +9,7 @@ from ragspark.catalog import documents as J
 from ragspark.functions import text as X
 from ragspark.operators import chunking, parents, progress, retrieval, streamlog, templates
 from ragspark.plans import flows
-from ragspark.session import shared_folder
+from ragspark.session import saved, shared_folder
 from ragspark.sources import store
 from ragspark.streaming import chatlog, history, ingest
 
@@ -276,7 +276,7 @@ QUERIES.update(
     render_report=reports,
     last_item_mark=marked,
     decode_sse=lambda s, d: streamlog.decode_sse(lines_of(C.table(s, d, "events"))).select("request_id", "seq", "done", "delta"),
-    concat_deltas=lambda s, d: streamlog.concat_deltas(streamlog.decode_sse(lines_of(C.table(s, d, "events")))),
+    concat_deltas=lambda s, d: streamlog.concat_deltas(saved(streamlog.decode_sse(lines_of(C.table(s, d, "events"))), "decoded")),
     last_answers=lambda s, d: streamlog.last_answers(streamlog.decode_sse(answer_lines(C.table(s, d, "events")))),
     stream_ingest=streamed_chunks,
     stream_history=streamed_history,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import skew
+from ragspark.session import saved
 
 ROWS_PER_PIECE = 65_536
 HEADER, MESSAGE = 0, 1
@@ -83,8 +84,11 @@ def dialogue_lines(log, rows_per_piece=ROWS_PER_PIECE):
 
 
 def dialogue_runs(log, rows_per_piece=ROWS_PER_PIECE):
-    """Runs of one talker: first row, talker, time and the number of rows and characters."""
-    rows = dialogue_rows(log, rows_per_piece).withColumns(
+    """Runs of one talker: first row, talker, time and the number of rows and characters.
+
+    The marked rows are stored once, because placing them in runs reads them twice.
+    """
+    rows = saved(dialogue_rows(log, rows_per_piece), "dialogue").withColumns(
         {
             "_start": F.when(F.col("new_run"), F.col("row_seq")),
             "_piece": F.floor(F.col("row_seq") / rows_per_piece),

@@ -5,44 +5,54 @@ from pyspark.sql import functions as F
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import skew
+from ragspark.session import saved
 
 D = S.DEFAULTS
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 def terms_of(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
 
 
+def document_frequencies(chunks, scope, text, chars=D.keyword_chars):
+    """(scope, term, df) of every term; the empty term carries the number of chunks of the scope."""
+    seen = F.array_append(F.array_distinct(terms_of(X.prefix(F.col(text), chars))), F.lit(""))
+    return chunks.select(*scope, F.explode(seen).alias("term")).groupBy(*scope, "term").agg(
+        F.count(F.lit(1)).alias("df")
+    )
+
+
 def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text", chars=D.keyword_chars,
-                   rows_per_task=skew.ROWS_PER_TASK):
-    """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated."""
+                   max_broadcast_terms=MAX_BROADCAST_TERMS, rows_per_task=skew.ROWS_PER_TASK):
+    """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated.
+
+    The dictionary is written once, so its size is known: a small one is sent to every task and the chunks are
+    not shuffled by term; a large one is joined by term with frequent terms spread over several tasks. Terms
+    seen in one chunk only are left out of it, because a term that is not found has a df of 1.
+    """
     scope, key = list(scope), list(key)
-    # a chunk without terms keeps one row with an empty term, so that it counts as a document
-    terms = X.let(
-        terms_of(X.prefix(F.col(text), chars)), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("")))
-    )
-    keyed = chunks.where(" AND ".join(f"{c} IS NOT NULL" for c in [*scope, *key, text]))
-    tf = (
-        keyed.select(*scope, *key, F.explode(terms).alias("term")).where("term IS NOT NULL")
-        .groupBy(*scope, *key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    # every branch keeps the tf column and the same filters, so all of them read one shuffle
     on = [*scope, "term"]
-    df = tf.groupBy(*on).agg(F.count_if(F.col("tf") > 0).alias("df"))
-    size = (
-        tf.groupBy(*scope, *key).agg(F.sum("tf").alias("_n"))
-        .groupBy(*scope).agg(F.count_if(F.col("_n") > 0).alias("_size"))
-    )
-    idf = df.join(size, scope).select(*on, F.ln(F.col("_size") / F.col("df")).alias("idf"))
-    scored = skew.salted_join(tf, idf, on, skew.hot_keys(df, on, "df", rows_per_task), spread=key)
-    weight = F.struct((-F.round(F.col("tf") * F.col("idf"), 9)).alias("w"), F.col("term"))
-    ranked = F.array_sort(F.collect_list(F.when(F.col("term") != "", weight)))
-    words = scored.groupBy(*scope, *key).agg(
+    counted = saved(document_frequencies(chunks, scope, text, chars), "terms")
+    size = counted.where("term = ''").select(*scope, F.col("df").alias("_size"))
+    frequent = counted.where("term <> '' AND df > 1")
+
+    words = chunks.select(*scope, *key, X.prefix(F.col(text), chars).alias("_cut")).repartition(*scope, *key)
+    tf = words.select(*scope, *key, F.explode(terms_of(F.col("_cut"))).alias("term")).groupBy(
+        *scope, *key, "term"
+    ).agg(F.count(F.lit(1)).alias("tf"))
+    if frequent.count() <= max_broadcast_terms:
+        found = tf.join(F.broadcast(frequent), on, "left")
+    else:
+        hot = skew.hot_keys(frequent, on, "df", rows_per_task)
+        found = skew.salted_join(tf, frequent, on, hot, "left", spread=key)
+    idf = F.ln(F.col("_size") / F.coalesce("df", F.lit(1)))
+    weight = F.struct((-F.round(F.col("tf") * idf, 9)).alias("w"), F.col("term"))
+    ranked = F.array_sort(F.collect_list(weight))
+    best = found.join(size, scope).groupBy(*scope, *key).agg(
         F.array_join(F.transform(F.slice(ranked, 1, n), lambda s: s["term"]), ", ").alias("keywords")
     )
-    return chunks.join(words, [*scope, *key], "left").withColumn(
-        "keywords", F.coalesce("keywords", F.lit(""))
-    )
+    return chunks.join(best, [*scope, *key], "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
 
 
 def cooccurrence_graph(keyed, keywords="keywords", graph="graph"):

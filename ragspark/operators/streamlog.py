@@ -8,21 +8,32 @@ from ragspark.operators import skew
 DELTAS_PER_PART = 65_536
 
 
+RECORD = "choices array<struct<delta:struct<content:string>>>, type string, content string"
+
+
 def decode_line(line):
     """STRUCT<done, delta, answer> of one ``data: `` line; null for other lines and unreadable JSON."""
-    data = X.strip(F.substring(line, F.lit(7), F.length(line)))
-    done = data == "[DONE]"
-    body = F.when(~done, data)
-    delta = F.get_json_object(body, "$.choices[0].delta.content")
-    answer = F.when(F.get_json_object(body, "$.type") == "answer", F.coalesce(F.get_json_object(body, "$.content"), F.lit("")))
-    decoded = F.struct(done.alias("done"), delta.alias("delta"), answer.alias("answer"))
-    return F.when(line.startswith("data: ") & (done | delta.isNotNull() | answer.isNotNull()), decoded)
+
+    def read(data):
+        done = data == "[DONE]"
+
+        def fields(r):
+            delta = F.get(r["choices"], 0)["delta"]["content"]
+            answer = F.when(r["type"] == "answer", F.coalesce(r["content"], F.lit("")))
+            decoded = F.struct(done.alias("done"), delta.alias("delta"), answer.alias("answer"))
+            return F.when(done | delta.isNotNull() | answer.isNotNull(), decoded)
+
+        return X.let(F.from_json(F.when(~done, data), RECORD), fields)
+
+    body = F.btrim(F.substring(line, F.lit(7), F.length(line)))
+    return F.when(line.startswith("data: "), X.let(body, read))
 
 
 def decode_sse(lines, line="line"):
     keep = [c for c in lines.columns if c != line]
-    decoded = lines.select(*keep, decode_line(F.col(line)).alias("d")).where("d IS NOT NULL")
-    return decoded.select(*keep, "d.done", "d.delta", "d.answer")
+    # exploding a list of at most one record parses each line once however many fields are used
+    record = F.array_compact(F.array(decode_line(F.col(line))))
+    return lines.select(*keep, F.explode(record).alias("d")).select(*keep, "d.done", "d.delta", "d.answer")
 
 
 def concat_deltas(decoded, key="request_id", order="seq", per_part=DELTAS_PER_PART):

@@ -15,16 +15,21 @@ def paragraph_lines(lines):
 
 def marked_items(items, has_attachment):
     """ARRAY<STRUCT<text, level>> with the end mark on the last item, or alone if there are no items."""
-    marked = F.transform(
-        items,
-        lambda it, i: F.struct(
-            F.when((i == F.size(items) - 1) & ~has_attachment, F.concat(it["text"], F.lit(S.LAST_ITEM_SUFFIX)))
-            .otherwise(it["text"]).alias("text"),
-            it["level"].cast("int").alias("level"),
-        ),
-    )
     alone = F.array(F.struct(F.lit(S.END_MARK).alias("text"), F.lit(1).alias("level")))
-    return F.when((F.size(items) == 0) & ~has_attachment, alone).otherwise(marked)
+
+    def mark(held):
+        last = F.size(held) - 1
+        marked = F.transform(
+            held,
+            lambda it, i: F.struct(
+                F.when((i == last) & ~has_attachment, F.concat(it["text"], F.lit(S.LAST_ITEM_SUFFIX)))
+                .otherwise(it["text"]).alias("text"),
+                it["level"].cast("int").alias("level"),
+            ),
+        )
+        return F.when((F.size(held) == 0) & ~has_attachment, alone).otherwise(marked)
+
+    return X.let(items, mark)
 
 
 def paragraph_items(items, has_attachment):
@@ -65,6 +70,9 @@ def render_memo(template, pairs, lines):
 
 def render_report(template, pairs, items, has_attachment):
     """Placeholders, then the same item block at both content markers."""
-    block = paragraph_items(items, has_attachment)
     filled = X.fill_placeholders(template, pairs)
-    return replace_block(replace_block(filled, "{{CONTENT}}", block), "{{CONTENT_2}}", block)
+
+    def place(block):
+        return replace_block(replace_block(filled, "{{CONTENT}}", block), "{{CONTENT_2}}", block)
+
+    return X.let(paragraph_items(items, has_attachment), place)

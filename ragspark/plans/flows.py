@@ -15,13 +15,13 @@ D = S.DEFAULTS
 def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True, doc_key=("source",)):
     """Documents (invoke_id, source, markdown, ...) to chunk rows ready for the store.
 
-    Without a model the keywords are the chunk's best tf-idf terms.
+    Without a model the keywords are the chunk's best tf-idf terms. They read the chunks more than once, so the
+    chunks are stored first.
     """
     pages = chunking.split_pages(docs)
     chunks = chunking.chunk_text(pages, size, overlap)
     if with_keywords:
-        key = [c for c in (*doc_key, "page_seq", "chunk_seq")]
-        chunks = keywords.tfidf_keywords(chunks, key=key)
+        chunks = keywords.tfidf_keywords(saved(chunks, "chunks"), key=(*doc_key, "page_seq", "chunk_seq"))
     else:
         chunks = chunks.withColumn("keywords", F.lit(""))
     made = chunking.identify_chunks(chunks, "keywords")

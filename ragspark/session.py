@@ -34,6 +34,12 @@ def shared_folder(spark, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Use every core on an input of few files; an input with enough partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def saved(df, name, by=()):
     """Write ``df`` once to the shared folder and read it back; later uses neither recompute nor lose it."""
     path = shared_folder(df.sparkSession, name)

@@ -44,6 +44,11 @@ def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id",
     return latest_rows(rows, key, newest, ("batch",)).drop("batch")
 
 
+def compact_rows(spark, path, target, key=CHUNK_KEY, newest="written_at", room="invoke_id"):
+    """Rewrite the newest rows of a stored table as batch 0 of a new folder."""
+    append_batch(load_rows(spark, path, key, newest, room), target, 0, room)
+
+
 def delete_room(stored, room, column="invoke_id"):
     """(remaining rows, removed rows) of one room, matched by equality."""
     mine = F.col(column) == F.lit(room)

@@ -40,7 +40,7 @@ def test_keywords_with_hot_terms(spark):
     rows = [("r", str(i), f"common common word{i % 4} only{i}") for i in range(40)] + [("r", "blank", "..."), ("s", "x", "common")]
     df = spark.createDataFrame(rows, "invoke_id string, id string, text string")
     plain = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2).collect()}
-    salted = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, rows_per_task=3).collect()}
+    salted = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, max_broadcast_terms=0, rows_per_task=3).collect()}
     assert plain == salted
     assert plain["5"] == "only5, word1" and plain["blank"] == ""
 
@@ -69,6 +69,8 @@ def test_store_round_trip_and_room_pruning(spark, tmp_path):
     one = rows.where("invoke_id = '1'")
     text = one._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in text and "invoke_id" in text.split("PartitionFilters: [")[-1].split("]")[0]
+    store.compact_rows(spark, path, f"{path}-small")
+    assert store.load_rows(spark, f"{path}-small").exceptAll(rows).count() == 0
     kept, gone = store.delete_room(rows, "1")
     assert kept.count() == 1 and gone.count() == 1
 
