@@ -116,12 +116,13 @@ def _substrings(text, lengths):
 
 
 def _containing(long, long_col, short, short_col):
-    """Rows (invoke_id, long, short) where the long text contains the short one, found by equality of keys."""
-    key = X.prefix(F.col(short_col), ANCHOR)
-    keyed = short.select("invoke_id", short_col, key.alias("_key"))
-    lengths = keyed.groupBy("invoke_id").agg(F.collect_set(F.length("_key")).alias("_lengths"))
-    spread = long.join(lengths, "invoke_id").select(
-        "invoke_id", long_col, F.explode(_substrings(F.col(long_col), F.col("_lengths"))).alias("_key")
+    """Rows of both sides (one per true containment) where the long text contains the short one, by equality of keys."""
+    room = ["invoke_id"]
+    keyed = short.withColumn("_key", X.prefix(F.col(short_col), ANCHOR))
+    lengths = keyed.groupBy(*room).agg(F.collect_set(F.length("_key")).alias("_lengths"))
+    hot = skew.hot_keys(skew.count_keys(long, room), room, "_n")
+    spread = skew.salted_join(long, lengths, room, hot, spread=[long_col]).select(
+        *long.columns, F.explode(_substrings(F.col(long_col), F.col("_lengths"))).alias("_key")
     )
     return spread.join(keyed, ["invoke_id", "_key"]).where(
         (F.length(short_col) <= ANCHOR) | F.contains(F.col(long_col), F.col(short_col))
@@ -131,24 +132,21 @@ def _containing(long, long_col, short, short_col):
 def match_entities(questions, entities, file=None):
     """Entities whose name contains the question or is contained in it, per (invoke_id, question_id).
 
-    Each distinct question text is cut into substrings of the lengths that names have (at most ``ANCHOR``
+    Each distinct question text is cut into substrings of the lengths that names have (at most ``ANCHOR`` + 1
     of them) and joined by equality, and the same the other way round, so only true matches are produced.
     A file name restricts names found inside the question, not names that contain it.
     """
-    texts = questions.select("invoke_id", "question").distinct()
-    names = entities.select("invoke_id", "name")
-    inside = entities
-    if file:
-        inside = entities.where((F.col("source") == file) | F.contains("source", F.lit(file)))
+    asked = ["invoke_id", "question"]
+    texts = questions.select(*asked).distinct()
+    names = entities.select("invoke_id", "name", "source")
+    inside = names.where((F.col("source") == file) | F.contains("source", F.lit(file))) if file else names
     found = (
-        _containing(names, "name", texts, "question").select("invoke_id", "question", "name")
-        .union(_containing(texts, "question", inside.select("invoke_id", "name"), "name").select(
-            "invoke_id", "question", "name"
-        ))
+        _containing(names, "name", texts, "question").select(*asked, "name", "source")
+        .union(_containing(texts, "question", inside, "name").select(*asked, "name", "source"))
         .distinct()
     )
-    sourced = found.join(entities.select("invoke_id", "name", "source"), ["invoke_id", "name"])
-    return sourced.join(questions.select("invoke_id", "question_id", "question"), ["invoke_id", "question"]).select(
+    hot = skew.hot_keys(skew.count_keys(questions, asked), asked, "_n")
+    return skew.salted_join(questions.select(*asked, "question_id"), found, asked, hot, spread=["question_id"]).select(
         "invoke_id", "question_id", "name", "source"
     )
 

@@ -8,7 +8,8 @@ from ragspark.operators import skew
 from ragspark.session import saved
 
 D = S.DEFAULTS
-MAX_BROADCAST_TERMS = 1_000_000
+# distinct terms of a full chunk, to turn chunk counts into row counts
+TERMS_PER_CHUNK = 128
 
 
 def terms_of(c):
@@ -24,7 +25,7 @@ def document_frequencies(chunks, scope, text, chars=D.keyword_chars):
 
 
 def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text", chars=D.keyword_chars,
-                   max_broadcast_terms=MAX_BROADCAST_TERMS, rows_per_task=skew.ROWS_PER_TASK):
+                   max_broadcast_rows=skew.MAX_LOOKUP_ROWS, rows_per_task=skew.ROWS_PER_TASK):
     """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated.
 
     The dictionary is written once, so its size is known: a small one is sent to every task and the chunks are
@@ -41,15 +42,14 @@ def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text",
     tf = words.select(*scope, *key, F.explode(terms_of(F.col("_cut"))).alias("term")).groupBy(
         *scope, *key, "term"
     ).agg(F.count(F.lit(1)).alias("tf"))
-    if frequent.count() <= max_broadcast_terms:
-        found = tf.join(F.broadcast(frequent), on, "left")
-    else:
-        hot = skew.hot_keys(frequent, on, "df", rows_per_task)
-        found = skew.salted_join(tf, frequent, on, hot, "left", spread=key)
+    hot_terms = skew.hot_keys(frequent, on, "df", rows_per_task)
+    found = skew.lookup_join(tf, frequent, on, hot_terms, "left", key, max_broadcast_rows)
+    hot_scopes = skew.hot_keys(size, scope, "_size", max(1, rows_per_task // TERMS_PER_CHUNK))
+    sized = skew.lookup_join(found, size, scope, hot_scopes, "inner", key, max_broadcast_rows)
     idf = F.ln(F.col("_size") / F.coalesce("df", F.lit(1)))
     weight = F.struct((-F.round(F.col("tf") * idf, 9)).alias("w"), F.col("term"))
     ranked = F.array_sort(F.collect_list(weight))
-    best = found.join(size, scope).groupBy(*scope, *key).agg(
+    best = sized.groupBy(*scope, *key).agg(
         F.array_join(F.transform(F.slice(ranked, 1, n), lambda s: s["term"]), ", ").alias("keywords")
     )
     return chunks.join(best, [*scope, *key], "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))

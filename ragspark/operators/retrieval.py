@@ -159,11 +159,13 @@ def _candidates_blocks(queries, chunks, k, chunks_per_block, queries_per_block):
             "invoke_id", F.ceil(F.col("_n") / size).cast("int").alias(name)
         )
 
+    counts = skew.count_keys(chunks, ["invoke_id"])
     rooms = blocks(queries, queries_per_block, "nq").join(blocks(chunks, chunks_per_block, "nc"), "invoke_id")
+    hot = skew.hot_keys(counts, ["invoke_id"], "_n")
 
     def placed(df, key, n_own, n_other, own, other):
         hashed = F.pmod(F.xxhash64(key), F.col(n_own)).cast("int")
-        return df.join(rooms, "invoke_id").withColumns(
+        return skew.salted_join(df, rooms, ["invoke_id"], hot, spread=[key]).withColumns(
             {own: hashed, other: F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))}
         )
 

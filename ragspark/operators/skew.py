@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
+MAX_LOOKUP_ROWS = 1_000_000
 
 
 def hot_keys(counts, keys, n, rows_per_task=ROWS_PER_TASK):
@@ -33,6 +34,13 @@ def salted_join(left, right, keys, hot, how="inner", spread=None):
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup_join(left, right, keys, hot, how="inner", spread=None, limit=MAX_LOOKUP_ROWS):
+    """Join to a stored table of narrow rows: sent to every task if it has at most ``limit`` rows, else salted."""
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, hot, how, spread)
+
+
 def count_keys(df, keys, n="_n"):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as X
 from ragspark.operators import skew
 
+# The columns of a chat log.
 CHAT_COLUMNS = ("sTalkerName", "formatted_date", "sTalkerContent", "sOriginalFileName")
 
 

@@ -40,7 +40,7 @@ def test_keywords_with_hot_terms(spark):
     rows = [("r", str(i), f"common common word{i % 4} only{i}") for i in range(40)] + [("r", "blank", "..."), ("s", "x", "common")]
     df = spark.createDataFrame(rows, "invoke_id string, id string, text string")
     plain = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2).collect()}
-    salted = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, max_broadcast_terms=0, rows_per_task=3).collect()}
+    salted = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, max_broadcast_rows=0, rows_per_task=3).collect()}
     assert plain == salted
     assert plain["5"] == "only5, word1" and plain["blank"] == ""
 
