@@ -1,5 +1,6 @@
 """File sources: corpora, chat logs, document JSON, listings."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as X
@@ -37,11 +38,12 @@ def read_corpus(spark, path, room=None):
 
 def list_room_files(spark, path, room):
     """Regular files of one room, oldest first, names breaking ties; empty for a missing room."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{room}")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    try:
+        files = spark.read.format("binaryFile").load(f"{path}/{room}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "name string, modificationTime timestamp")
-    files = spark.read.format("binaryFile").load(f"{path}/{room}")
     return files.select(file_name(F.col("path")).alias("name"), "modificationTime").orderBy("modificationTime", "name")
 
 

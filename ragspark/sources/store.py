@@ -4,6 +4,7 @@ A stored table is a folder of batches. Writing a batch replaces a folder of the
 write leaves the same data; reading keeps the newest row of each key.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ragspark.operators import skew
@@ -33,13 +34,12 @@ def append_batch(rows, path, batch, room="invoke_id"):
 
 def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id", schema=None):
     """Newest rows of a stored table; a missing table is empty if ``schema`` is given."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        if schema is None:
-            raise FileNotFoundError(path)
+    try:
+        rows = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if schema is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.option("basePath", path).parquet(path)
     rows = rows.withColumn(room, F.col(room).cast("string"))
     return latest_rows(rows, key, newest, ("batch",)).drop("batch")
 
