@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import skew
+from ragspark.session import saved
 
 D = S.DEFAULTS
 GRAPH_TYPE = (
@@ -175,11 +176,11 @@ def graph_search(questions, entities, edges, file=None, n=D.graph_limit):
     """Graph context per question: up to ``n`` edge lines, empty text where nothing was found.
 
     Every matched name yields a row, so only a question's first ``n`` names and a name's first ``n`` edges can
-    reach the result; both are cut on the map side before they meet.
+    reach the result; both are cut on the map side before they meet. The names are stored, because they are
+    read twice and finding them is the costly part.
     """
-    names = skew.first_n(
-        match_entities(questions, entities, file), ["invoke_id", "question_id"], n, "name"
-    ).drop("rank")
+    matched = match_entities(questions, entities, file)
+    names = saved(skew.first_n(matched, ["invoke_id", "question_id"], n, "name").drop("rank"), "names")
     wanted = names.select("invoke_id", "name").distinct()
     near = skew.first_n(
         undirected(edges).join(wanted, ["invoke_id", "name"], "left_semi"), ["invoke_id", "name"], n, *EDGE_ORDER

@@ -35,19 +35,27 @@ def search(queries, chunks, stored, k=None, min_score=D.min_score, file=None):
 
 
 def search_text(questions, chunks, k=None, min_score=D.min_score, file=None, encoder=None):
-    """``search`` from text: questions (invoke_id, query_id, question) and stored chunks (content, source, page)."""
-    q = inference.encode(questions, "question", "q_vectors", True, encoder)
-    c = inference.encode(chunks.withColumn("doc_id", F.col("id")), "content", "vectors", False, encoder)
+    """``search`` from text: questions (invoke_id, query_id, question) and stored chunks (id, content, source, page).
+
+    Vectors of a model are stored before they are used.
+    """
     stored = chunks.withColumn("doc_id", F.col("id"))
+    q = saved(inference.encode(questions, "question", "q_vectors", True, encoder), "queries")
+    c = inference.encode(stored, "content", "vectors", False, encoder)
+    if encoder is not None:
+        c = saved(c, "vectors")
     return search(q, c, stored, k, min_score, file)
 
 
 def build_graph(chunks, factory=None, strict_order=True):
-    """(entities, edges, rejected) of stored chunks with ``chunk_no``; keyword co-occurrence without a model."""
+    """(entities, edges, rejected) of stored chunks with ``chunk_no``; keyword co-occurrence without a model.
+
+    A model's responses are stored, because entities and relations both read them.
+    """
     if factory is None:
         found = keywords.cooccurrence_graph(chunks)
     else:
-        answered = inference.extract_graph(chunks, "content", "json", factory)
+        answered = saved(inference.extract_graph(chunks, "content", "json", factory), "extracted")
         found = answered.withColumn("graph", graph.parse_graph(F.col("json")))
     return graph.build_graph(found, strict_order=strict_order)
 
@@ -64,7 +72,7 @@ def answer_questions(threads, passages, relations, model=None, limit=None):
     """(final parts, references, waiting threads) of analysed threads.
 
     ``passages(questions)`` gives (thread_id, idx, context, references) and ``relations(questions)`` gives
-    (thread_id, idx, graph_context) for the exploded questions.
+    (thread_id, idx, graph_context) for the exploded questions. Answers are stored, so the model is asked once.
     """
     searchable, waiting = A.route(analyze(threads))
     questions = A.explode_questions(searchable, limit=limit)
@@ -73,7 +81,7 @@ def answer_questions(threads, passages, relations, model=None, limit=None):
     prompted = evidence.withColumn("prompt", A.choose_prompt())
     asked = inference.complete(prompted.where("prompt IS NOT NULL"), "prompt", "answer", model)
     silent = prompted.where("prompt IS NULL").withColumn("answer", X.no_evidence_answer(F.col("question")))
-    answers = asked.unionByName(silent).drop("prompt")
+    answers = saved(asked.unionByName(silent).drop("prompt"), "answers")
     sourced = answers.where(A.has_evidence()).select("thread_id", "idx", F.col("references").alias("sources"))
     return (
         A.combine_answers(searchable, answers.select("thread_id", "idx", "answer")),

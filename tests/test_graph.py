@@ -107,3 +107,28 @@ def test_graph_from_keywords(spark):
     entities, edges, _ = flows.build_graph(chunks)
     assert {r["name"] for r in entities.collect()} == {"a", "b", "c"}
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_graph_from_a_model_asks_once_per_text(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def factory():
+        import json as j
+        import pathlib
+        import uuid
+
+        def answer(t):
+            named = [{"name": n, "type": "T", "description": ""} for n in ("a", t)]
+            return j.dumps({"entities": named, "relationships": [{"source": "a", "target": t, "type": "x", "description": ""}]})
+
+        def call(texts):
+            pathlib.Path(calls, uuid.uuid4().hex).write_text(str(len(texts)))
+            return [answer(t) for t in texts]
+
+        return call
+
+    chunks = spark.createDataFrame([("r", "f", i, f"t{i}") for i in range(5)], "invoke_id string, source string, chunk_no long, content string")
+    entities, edges, _ = flows.build_graph(chunks, factory)
+    assert {r["dst"] for r in edges.collect()} == {f"t{i}" for i in range(5)}
+    assert entities.count() == 6
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 5
