@@ -26,10 +26,13 @@ def local_session(app="ragspark", cpus="*", partitions=8, memory="8g"):
 def shared_folder(spark, name):
     """A new folder below ``spark.checkpoint.dir``.
 
-    The cluster names that setting; only where it is unset (tests) is a temporary folder used.
+    The cluster names that setting. Only a local master may go without it and gets a temporary folder: elsewhere each
+    executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
