@@ -1,15 +1,16 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds its distinct shingles of five words (``[^\\x20\\x09-\\x0D]+``, A-Z folded). Its parity sketch has K
-blocks of 64 bits: every shingle flips one bit of one block. Bits in which two sketches differ are at most the
-shingles in which the sets differ, and sets of size x in a pair with Jaccard similarity s >= 4/5 differ from their
-partner in at most d(x) = x (1 / s - 1) shingles. So at least K - d(x) blocks of such a pair are equal, in the bands of
-sizes that both belong to.
+blocks of 2^64 bits, of which every shingle flips one bit of one block; a block is written down as the XOR of its odd
+bits' numbers. Blocks in which two sketches differ are at most the shingles in which the sets differ, and a set of size
+x in a pair with Jaccard similarity s >= 4/5 differs from its partner in at most d(x) = x (1 / s - 1) shingles. So at
+least K - d(x) blocks of such a pair are equal, in the bands of sizes that both belong to.
 
 Of its K blocks a document emits only some. Under any total order of block values that all documents share, a document
 may leave out its first K - d(x) - 1 blocks: the last of the blocks that a pair has in common stays in both. Two orders are
-used one after the other: blocks with few bits set go first (they tell little), then, among what is emitted, values that
-many documents have (``slack`` of them). What meets on a block value is verified with the exact sets.
+used one after the other: blocks of few shingles go first (they tell little), then, among what is emitted, values that
+many documents have (``slack`` of them). A document left without any block has no partner; so texts that merely
+share some passages go out here. What still meets on a block value is verified with the exact sets.
 
 Groups that meet are never expanded into pairs. Each round verifies the members of a group against one or a few pivots,
 joins components by the links found, drops the pivots, and goes on with groups that still hold two components. So every
@@ -31,7 +32,7 @@ NUMER, DENOM = 4, 5
 HOT_IN_BATCH = 16
 #: Counts of a key above this are not told apart.
 MANY = 1_000
-PIVOTS = 16
+PIVOTS = 64
 KEYS_PER_TASK = 1_000_000
 
 _ROW = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())])
@@ -45,7 +46,7 @@ def differing(n):
 
 
 def slack(n):
-    return n // 32 + 1
+    return n // 16 + 1
 
 
 def blocks_in(band):
@@ -61,11 +62,11 @@ def bands_of(n):
 
 
 def sketch(found, blocks):
-    """Blocks of the parity sketch of a set of hashes."""
+    """Blocks of the parity sketch of a set of hashes, and how many of them each holds."""
+    at = (((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
     out = np.zeros(blocks, np.uint64)
-    at = ((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    np.bitwise_xor.at(out, at.astype(np.int64), np.uint64(1) << (found & np.uint64(63)))
-    return out
+    np.bitwise_xor.at(out, at, found)
+    return out, np.bincount(at, minlength=blocks).astype(np.uint64)
 
 
 def block_keys(found):
@@ -73,12 +74,12 @@ def block_keys(found):
     n, keys = len(found), []
     for band in bands_of(n):
         blocks = blocks_in(band)
-        value = sketch(found, blocks)
+        value, held = sketch(found, blocks)
         place = T.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((band + 1) << 40))
         key = T.mix(value ^ place)
         keep = min(blocks, differing(n) + 1 + slack(n))
         if keep < blocks:
-            order = ((np.uint64(64) - np.bitwise_count(value)) << np.uint64(57)) | (key >> np.uint64(7))
+            order = ((np.uint64(64) - np.minimum(held, np.uint64(64))) << np.uint64(57)) | (key >> np.uint64(7))
             key = key[np.argpartition(order, keep - 1)[:keep]]
         keys.append(key)
     return keys
@@ -206,7 +207,7 @@ def jaccard_groups(docs, doc_id="doc_id", text="text"):
     # leave out, per document, the values that most documents have
     ranked = met.where("often > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
     w = W.partitionBy("id").orderBy(F.desc("often"), F.desc("key"))
-    groups = ranked.withColumn("rank", F.row_number().over(w)).where("rank > div(n, 32) + 1")
+    groups = ranked.withColumn("rank", F.row_number().over(w)).where("rank > div(n, 16) + 1")
     groups = saved(_shared(groups.select("id", "key")), "groups")
     links, round_, joined = None, 0, None
     while True:
@@ -221,7 +222,7 @@ def jaccard_groups(docs, doc_id="doc_id", text="text"):
         found = saved(verified(pairs, docs), "links")
         links = found if links is None else links.unionByName(found)
         joined = saved(components(links), "joined")
-        groups = saved(rest, "groups")
+        groups = saved(_unlike(saved(rest, "rest")) if round_ == 0 else rest, "groups")
         round_ += 1
         if groups.isEmpty():
             break
@@ -236,6 +237,12 @@ def _shared(groups):
     return groups.join(several, "key", "left_semi")
 
 
+def _unlike(groups):
+    """One key of those that have the same documents."""
+    sums = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
+    return groups.join(sums.where("n > 1").groupBy("n", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _round(labelled, pivots):
     """Pairs of this round (distinct), and the groups without its pivots. Rows key, id, c (component)."""
     open_ = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("id", "c")).alias("p")).where("lo < hi")

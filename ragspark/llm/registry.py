@@ -1,14 +1,26 @@
 """The registered queries of this package: one thin query per operator, and the pipeline."""
 
-from ragspark.llm import jaccard
-from ragspark.llm.shared import table
+from pyspark.sql import functions as F
+
+from ragspark.llm import jaccard, toxicity
+from ragspark.llm.shared import crc_mod, table
+
+
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), toxicity.training_rows())
+    n, held = toxicity.HELD_OUT
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), n) == held).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
+    )
 
 
 def op9_jaccard_join(spark, folder):
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join}
+QUERIES = {"op4_toxicity": op4_toxicity, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLE = {}
 
