@@ -1,8 +1,9 @@
 """The registered queries of this package: one thin query per operator, and the pipeline."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragspark.llm import jaccard, toxicity
+from ragspark.llm import jaccard, packing, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
@@ -20,7 +21,15 @@ def op9_jaccard_join(spark, folder):
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op9_jaccard_join": op9_jaccard_join}
+def op5_token_file(spark, folder):
+    return tokenfile.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_fit_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_token_file": op5_token_file, "op6_best_fit_packing": op6_best_fit_packing, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLE = {}
 
