@@ -34,6 +34,8 @@ HOT_IN_BATCH = 16
 MANY = 1_000
 PIVOTS = 64
 KEYS_PER_TASK = 1_000_000
+#: Pairs whose texts a task holds at once while it verifies them.
+PAIRS = 256
 
 _ROW = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())])
 _MET = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("often", pa.int32())])
@@ -87,7 +89,7 @@ def block_keys(found):
 
 def _emit(batch):
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    for first, data, offsets in T.slices(batch.column(1), 8 << 20):
+    for first, data, offsets in T.slices(batch.column(1)):
         w = T.Words(data, offsets)
         windows = w.windows(SHINGLE)
         keys, owner, sizes = [], [], np.zeros(len(offsets) - 1, np.int32)
@@ -157,24 +159,26 @@ def _met(batches):
 def _verify(batches):
     """Pairs whose sets are similar enough, counted on the whole sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        keep = np.zeros(len(a), bool)
-        sides = []
-        for name in ("text_a", "text_b"):
-            found = []
-            for _, data, offsets in T.slices(batch.column(name)):
-                w = T.Words(data, offsets)
-                windows = w.windows(SHINGLE)
-                found += [T.shingles(w, r, windows, SHINGLE) for r in range(len(offsets) - 1)]
-            sides.append(found)
-        for k, (x, y) in enumerate(zip(*sides)):
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = len(both) > 0 and DENOM * common >= NUMER * (len(both) - common)
-        m = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([a.filter(m), b.filter(m)], schema=schema)
+    for whole in batches:
+        for at in range(0, len(whole), PAIRS):
+            batch = whole.slice(at, PAIRS)
+            m = pa.array([_similar(x, y) for x, y in zip(_sets(batch.column("text_a")), _sets(batch.column("text_b")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(m), batch.column("b").filter(m)], schema=schema)
+
+
+def _sets(column):
+    for _, data, offsets in T.slices(column):
+        w = T.Words(data, offsets)
+        windows = w.windows(SHINGLE)
+        for r in range(len(offsets) - 1):
+            yield T.shingles(w, r, windows, SHINGLE)
+
+
+def _similar(x, y):
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return len(both) > 0 and DENOM * common >= NUMER * (len(both) - common)
 
 
 def verified(pairs, docs):
