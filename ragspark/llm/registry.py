@@ -3,10 +3,16 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ragspark.llm import jaccard, packing, tokenfile, toxicity
+import corpus_pipeline
+from ragspark.llm import jaccard, packing, perplexity, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
+def op2_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    return perplexity.quality(docs, perplexity.classifier(docs, table(spark, folder, "labels")))
+
+
 def op4_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"), toxicity.training_rows())
@@ -29,8 +35,16 @@ def op6_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op5_token_file": op5_token_file, "op6_best_fit_packing": op6_best_fit_packing, "op9_jaccard_join": op9_jaccard_join}
+QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+    "op5_token_file": op5_token_file,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
+    "pipeline": corpus_pipeline.run,
+}
 
+#: None of these can be put into SQL; tests/llm compares them with brute force, round trips and held-out labels.
 ORACLE = {}
 
 
