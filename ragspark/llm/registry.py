@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragspark.llm import jaccard, packing, perplexity, tokenfile, toxicity
+from ragspark.llm import jaccard, lm, packing, perplexity, rules, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
@@ -23,6 +23,14 @@ def op4_toxicity(spark, folder):
     )
 
 
+def op7_quality_rules(spark, folder):
+    return rules.judged(table(spark, folder, "documents"))
+
+
+def op10_lm_scoring(spark, folder):
+    return lm.score(table(spark, folder, "documents"), lm.held_out())
+
+
 def op9_jaccard_join(spark, folder):
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
 
@@ -40,7 +48,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_token_file": op5_token_file,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_lm_scoring": op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 
