@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragspark.llm import jaccard, lm, packing, perplexity, rules, tokenfile, toxicity
+from ragspark.llm import embeddings, jaccard, lm, packing, perplexity, rules, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
@@ -27,6 +27,10 @@ def op7_quality_rules(spark, folder):
     return rules.judged(table(spark, folder, "documents"))
 
 
+def op8_embedding_near_dedup(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_lm_scoring(spark, folder):
     return lm.score(table(spark, folder, "documents"), lm.held_out())
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_token_file": op5_token_file,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
