@@ -4,15 +4,24 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragspark.llm import embeddings, jaccard, lm, packing, perplexity, rules, tokenfile, toxicity
+from ragspark.llm import embeddings, html, jaccard, lm, packing, perplexity, rules, sentences, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
+def op1_sentencepiece(spark, folder):
+    return sentences.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_quality_classifier(spark, folder):
     docs = table(spark, folder, "documents")
     return perplexity.quality(docs, perplexity.classifier(docs, table(spark, folder, "labels")))
 
 
+def op3_html_extraction(spark, folder):
+    pages = table(spark, folder, "pages")
+    return html.extract(pages, html.train(pages, table(spark, folder, "documents")))
+
+
 def op4_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"), toxicity.training_rows())
@@ -48,7 +57,9 @@ def op6_best_fit_packing(spark, folder):
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_token_file": op5_token_file,
     "op6_best_fit_packing": op6_best_fit_packing,

@@ -63,8 +63,15 @@ class UnitEncoder:
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
 
+    def units(self, texts):
+        """Ids of every unit."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def starts(self, data, offsets):
+        return unit_starts(data, offsets)
+
     def _learn(self, hashes, texts):
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encoded = self.units(texts)
         n, size = self.table.n, np.fromiter(map(len, encoded), np.int64, len(encoded))
         while n + len(size) > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
@@ -80,7 +87,7 @@ class UnitEncoder:
         """Ids of all rows one after another, and the n + 1 offsets of the rows; ``end`` is appended to every row."""
         if self.table.n > MAX_UNITS:
             self._forget()
-        start = unit_starts(data, offsets)
+        start = self.starts(data, offsets)
         stop = np.append(start[1:], len(data)) if len(start) else start
         up, down = T.powers(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
