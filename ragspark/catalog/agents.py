@@ -17,7 +17,7 @@ def threads(spark, folder):
     """One thread per user turn with a model response of seven shapes: good, fenced, empty, broken, unclear (2), no list."""
     text = F.col("text")
     shape = (F.col("conv_id") + F.col("turn")) % 7
-    asked = F.array(text, F.concat(F.lit("More: "), X.prefix(text, 12)))
+    asked = F.array(text, F.concat(F.lit("More: "), text))
 
     def js(clear, questions, message=None):
         fields = [F.lit(clear).alias("is_clear"), questions.alias("rewritten_questions")]
@@ -47,15 +47,15 @@ WITH thread AS (
   FROM conversations WHERE role = 'user'),
 parsed AS (
   SELECT *, shape NOT IN (4, 5) AS is_clear,
-    CASE WHEN shape IN (0, 1, 4) THEN [original, 'More: ' || substring(original, 1, 12)] ELSE [original] END AS questions,
+    CASE WHEN shape IN (0, 1, 4) THEN [original, 'More: ' || original] ELSE [original] END AS questions,
     CASE WHEN shape = 4 THEN 'Which one?' WHEN shape = 5 THEN {C.quoted(S.PROMPT_CLARIFY)} END AS clarification,
     CASE WHEN shape <> 2 THEN shape IN (4, 5) END AS awaiting FROM thread),
 question AS (
   SELECT thread_id, conv_id, original, (generate_subscripts(questions, 1) - 1)::INT AS idx, unnest(questions) AS question
   FROM parsed WHERE is_clear AND original <> ''),
 evidence AS (
-  SELECT *, CASE WHEN conv_id % 2 = 0 THEN '<documents>' || substring(question, 1, 20) || '</documents>' END AS context,
-    CASE WHEN conv_id % 3 = 0 THEN '(a) -[B]-> (' || substring(question, 1, 9) || ')' ELSE '' END AS graph_context FROM question),
+  SELECT *, CASE WHEN conv_id % 2 = 0 THEN '<documents>' || question || '</documents>' END AS context,
+    CASE WHEN conv_id % 3 = 0 THEN '(a) -[B]-> (' || question || ')' ELSE '' END AS graph_context FROM question),
 prompted AS (
   SELECT *, CASE WHEN graph_context <> '' THEN
       {C.quoted(S.PROMPT_CROSS).replace('{question}', "' || question || '").replace('{graph}', "' || graph_context || '")
@@ -63,11 +63,11 @@ prompted AS (
     WHEN context IS NOT NULL THEN {C.quoted(S.PROMPT_PLAIN).replace('{question}', "' || question || '").replace('{context}', "' || context || '")}
     END AS prompt FROM evidence),
 answered AS (
-  SELECT *, CASE WHEN prompt IS NULL THEN '''' || question || '''{S.NO_EVIDENCE_SUFFIX}' ELSE {C.sql_strip('substring(prompt, 1, 200)')} END AS answer
+  SELECT *, CASE WHEN prompt IS NULL THEN '''' || question || '''{S.NO_EVIDENCE_SUFFIX}' ELSE md5(prompt) END AS answer
   FROM prompted),
 counted AS (SELECT thread_id, count(*) AS n FROM answered GROUP BY ALL),
 final AS (
-  SELECT t.thread_id, 0 AS part, coalesce(n, 0) AS n_answers,
+  SELECT t.thread_id, coalesce(n, 0) AS n_answers,
     CASE WHEN n IS NULL THEN '{S.NO_ANSWERS}' WHEN n = 1 THEN any_value(a.answer)
       ELSE 'Merge the answers below into one answer to: ' || t.original || chr(10) ||
         string_agg(chr(10) || '### 답변 ' || (a.idx + 1) || chr(10) || a.answer || chr(10), '' ORDER BY a.idx) END AS text
@@ -88,19 +88,19 @@ def passages(asked):
     )
     return asked.where("conv_id % 2 = 0").select(
         "thread_id", "idx",
-        F.concat(F.lit("<documents>"), X.prefix(F.col("question"), 20), F.lit("</documents>")).alias("context"),
+        F.concat(F.lit("<documents>"), F.col("question"), F.lit("</documents>")).alias("context"),
         cited.alias("references"),
     )
 
 
 def relations(asked):
     return asked.where("conv_id % 3 = 0").select(
-        "thread_id", "idx", F.concat(F.lit("(a) -[B]-> ("), X.prefix(F.col("question"), 9), F.lit(")")).alias("graph_context")
+        "thread_id", "idx", F.concat(F.lit("(a) -[B]-> ("), F.col("question"), F.lit(")")).alias("graph_context")
     )
 
 
 def answered(spark, folder):
-    return flows.answer_questions(threads(spark, folder), passages, relations, inference.echo(200))
+    return flows.answer_questions(threads(spark, folder), passages, relations, inference.digest())
 
 
 def evidence(spark, folder):
@@ -157,7 +157,7 @@ QUERIES.update(
     chat_payload=chat,
     transcript_of=lambda s, d: flows.call_summaries(call_responses(s, d))[0].select("call_id", "transcript"),
     call_failures=lambda s, d: flows.call_summaries(call_responses(s, d))[1],
-    call_summaries=lambda s, d: flows.call_summaries(call_responses(s, d), model=inference.echo(120))[0].select(
+    call_summaries=lambda s, d: flows.call_summaries(call_responses(s, d), model=inference.digest())[0].select(
         "call_id", "summary", "duration_seconds"
     ),
     summary_payload=lambda s, d: C.table(s, d, "documents").select(
@@ -181,9 +181,9 @@ SELECT thread_id, source, page, idx, pos FROM ref
 QUALIFY row_number() OVER (PARTITION BY thread_id, source, page ORDER BY idx, pos) = 1""",
     transcript_of=SQL_CALLS + "SELECT * FROM call WHERE transcript <> ''",
     call_failures=SQL_CALLS + "SELECT call_id, 'empty transcript' AS error FROM call WHERE transcript = ''",
-    call_summaries=SQL_CALLS + f"""SELECT call_id, 0.0::DOUBLE AS duration_seconds, trim(substring(to_json({{'model': 'model', 'messages': [
+    call_summaries=SQL_CALLS + f"""SELECT call_id, 0.0::DOUBLE AS duration_seconds, md5(to_json({{'model': 'model', 'messages': [
   {{'role': 'system', 'content': {C.quoted(SUMMARY_HEAD)}}}, {{'role': 'user', 'content': {C.quoted(S.SUMMARY_LEAD_IN + chr(10) * 2)} || transcript}}],
-  'max_tokens': 4096, 'temperature': 0.0::DOUBLE}})::VARCHAR, 1, 120)) AS summary FROM call WHERE transcript <> ''""",
+  'max_tokens': 4096, 'temperature': 0.0::DOUBLE}})::VARCHAR) AS summary FROM call WHERE transcript <> ''""",
     chat_payload=f"""
 WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER w AS rn, sum(length(text)) OVER w AS total FROM conversations
   WHERE role <> 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
@@ -200,7 +200,7 @@ SELECT doc_id, to_json({{'model': 'm1', 'messages': [
   {{'role': 'user', 'content': {C.quoted(S.SUMMARY_LEAD_IN + chr(10) * 2)} || text}}], 'max_tokens': 4096, 'temperature': 0.0::DOUBLE}})::VARCHAR AS payload
 FROM documents""",
     strip_code_fence=SQL_THREADS + """, js AS (
-  SELECT *, to_json([original, 'More: ' || substring(original, 1, 12)])::VARCHAR AS qs FROM parsed)
+  SELECT *, to_json([original, 'More: ' || original])::VARCHAR AS qs FROM parsed)
 SELECT thread_id, CASE
   WHEN shape IN (0, 1) THEN '{"is_clear":true,"rewritten_questions":' || qs || '}'
   WHEN shape = 2 THEN '' WHEN shape = 3 THEN trim(substring('{"is_clear":true,"rewritten_questions":' || qs || '}', 1, 30))

@@ -58,14 +58,14 @@ ORACLE["chunk_id"] = C.SQL_CHUNKS + f"SELECT doc_id, chunk_seq, {C.SQL_ID} AS id
 
 def formatted(spark, folder):
     worded = document_chunks(spark, folder).withColumn(
-        "words", F.when(F.col("doc_id") % 2 == 0, X.prefix(F.col("text"), 5)).otherwise("")
+        "words", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
     )
     return chunking.identify_chunks(worded, "words").select("doc_id", "chunk_seq", "content")
 
 
 ORACLE["format_chunk"] = C.SQL_CHUNKS + """
 SELECT doc_id, chunk_seq, '[문서: ' || source || ' | 페이지: ' || page || ']' || chr(10) ||
-  CASE WHEN doc_id % 2 = 0 THEN '[키워드: ' || substring(text, 1, 5) || ']' || chr(10) ELSE '' END
+  CASE WHEN doc_id % 2 = 0 THEN '[키워드: ' || text || ']' || chr(10) ELSE '' END
   || chr(10) || text AS content FROM chunk
 """
 
@@ -105,7 +105,7 @@ def tfidf(spark, folder):
 SQL_KEYWORDS = C.SQL_CHUNKS + """,
 term AS (
   SELECT invoke_id, doc_id, chunk_seq,
-    unnest(regexp_extract_all(lower(substring(text, 1, 1500)), '[\\p{L}\\p{N}]+')) AS term FROM chunk),
+    unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM chunk),
 tf AS (SELECT invoke_id, doc_id, chunk_seq, term, count(*) AS tf FROM term GROUP BY ALL),
 df AS (SELECT invoke_id, term, count(*) AS df FROM tf GROUP BY ALL),
 total AS (SELECT invoke_id, count(*) AS size FROM chunk GROUP BY ALL),

@@ -15,6 +15,7 @@ from ragspark.streaming import chatlog, history, ingest
 
 QUERIES, ORACLE = {}, {}
 FIRST, SECOND = "2024-01-01 00:00:00", "2024-01-05 00:00:00"
+TTL = 2  # days, so that conversations of the events table expire
 
 
 def stamp(s):
@@ -24,7 +25,7 @@ def stamp(s):
 def stored_rows(spark, folder):
     return C.table(spark, folder, "documents").select(
         F.col("lang").alias("invoke_id"), F.col("doc_id").cast("string").alias("id"),
-        X.prefix(F.col("text"), 50).alias("content"), "source", F.lit(1).alias("page"), stamp(FIRST).alias("written_at"),
+        F.col("text").alias("content"), "source", F.lit(1).alias("page"), stamp(FIRST).alias("written_at"),
     )
 
 
@@ -48,7 +49,7 @@ def upserted(spark, folder):
 
 SQL_STORE = f"""
 WITH old AS (
-  SELECT lang AS invoke_id, doc_id::VARCHAR AS id, substring(text, 1, 50) AS content, source, 1 AS page, TIMESTAMP '{FIRST}' AS written_at FROM documents),
+  SELECT lang AS invoke_id, doc_id::VARCHAR AS id, text AS content, source, 1 AS page, TIMESTAMP '{FIRST}' AS written_at FROM documents),
 fresh AS (
   SELECT room AS invoke_id, doc_id::VARCHAR AS id, 'version 1 ' || quality AS content, source, 2 AS page, TIMESTAMP '{SECOND}' + INTERVAL 1 DAY AS written_at
   FROM (SELECT d.doc_id, source, quality, unnest([lang, 'new-room']) AS room FROM documents d JOIN labels l ON l.doc_id = d.doc_id)),
@@ -61,7 +62,7 @@ def stored_and_loaded(spark, folder):
     """Two written batches read back: the newest row of each key."""
     path = shared_folder(spark, "chunks")
     store.append_batch(stored_rows(spark, folder), path, 0)
-    store.append_batch(store.latest_rows(new_rows(spark, folder)), path, 1)
+    store.append_batch(new_rows(spark, folder), path, 1)
     return store.load_rows(spark, path).select("invoke_id", "id", "content", "source", "page")
 
 
@@ -77,7 +78,7 @@ def ingested(spark, folder):
     docs = C.table(spark, folder, "documents").select(
         F.col("lang").alias("invoke_id"), "source", "doc_id", F.col("text").alias("markdown")
     )
-    made = flows.ingest(docs, stamp(FIRST), doc_key=("doc_id",))
+    made = flows.ingest(docs, stamp(FIRST))
     return made.select("invoke_id", "doc_id", "chunk_seq", "id", "content", "keywords")
 
 
@@ -86,7 +87,7 @@ def parent_rows(spark, folder):
     doc = F.col("doc_id")
     return C.table(spark, folder, "documents").select(
         F.col("lang").alias("invoke_id"), F.when(doc % 10 == 0, F.lit("")).otherwise(doc.cast("string")).alias("parent_id"),
-        F.when(doc % 9 == 0, F.lit("")).otherwise(X.prefix(F.col("text"), 20)).alias("content"), stamp(FIRST).alias("written_at"),
+        F.when(doc % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("content"), stamp(FIRST).alias("written_at"),
     )
 
 
@@ -103,7 +104,7 @@ def loaded_parents(spark, folder):
         F.col("doc_id").alias("request_id"), F.lit("r").alias("invoke_id"), ids.alias("ids")
     )
     rows = C.table(spark, folder, "documents").select(
-        F.lit("r").alias("invoke_id"), F.col("doc_id").cast("string").alias("parent_id"), X.prefix(F.col("text"), 20).alias("content")
+        F.lit("r").alias("invoke_id"), F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("content")
     )
     return parents.load_parents(requests, rows).select("request_id", "pos", "parent_id", "content")
 
@@ -122,7 +123,7 @@ def metadata(spark, folder):
 def document_metadata(spark, folder):
     return C.table(spark, folder, "documents").select(
         "doc_id",
-        F.to_json(F.struct("source", F.lit(1).alias("page"), X.prefix(F.col("text"), 30).alias("keywords"))).alias("metadata"),
+        F.to_json(F.struct("source", F.lit(1).alias("page"), F.col("text").alias("keywords"))).alias("metadata"),
     )
 
 
@@ -213,7 +214,7 @@ def pairs_of(events):
 def streamed_history(spark, folder):
     base = shared_folder(spark, "stream-history")
     run(history.stream_history(pairs_of(stream(spark, folder, "events")), f"{base}/table", f"{base}/checkpoint"))
-    return history.read_history(spark, f"{base}/table", stamp("2024-02-06")).select("invoke_id", "seq", "role", "content")
+    return history.read_history(spark, f"{base}/table", stamp("2024-02-06"), ttl_days=TTL).select("invoke_id", "seq", "role", "content")
 
 
 def lines_of(events):
@@ -223,7 +224,7 @@ def lines_of(events):
         F.when(F.col("event_id") % 19 == 0, F.lit('data: {"choices"'))
         .when(F.col("event_type") == "error", F.lit("data: [DONE]"))
         .when(F.col("event_type") == "click", F.concat(F.lit(": "), "props"))
-        .otherwise(F.concat(F.lit("data: "), piece))
+        .otherwise(F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("data: ")).otherwise(F.lit("data:")), piece))
     )
     return events.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), line.alias("line"))
 
@@ -249,7 +250,7 @@ WITH line AS (
 ends AS (SELECT user_id, min(event_id) FILTER (WHERE kind = 'done') AS last FROM line GROUP BY ALL)
 """
 SQL_DELTAS = SQL_LINES + """
-SELECT user_id AS request_id, event_id // 65536 AS part, string_agg(props, '' ORDER BY event_id) AS text
+SELECT user_id AS request_id, string_agg(props, '' ORDER BY event_id) AS text
 FROM line JOIN ends USING (user_id) WHERE kind = 'delta' AND (last IS NULL OR event_id < last) GROUP BY ALL"""
 SQL_STREAM_CHUNKS = C.SQL_CHUNKS + f"""
 SELECT DISTINCT invoke_id, {C.SQL_ID} AS id, '[문서: ' || source || ' | 페이지: ' || page || ']' || chr(10) || chr(10) || text AS content, source, page FROM chunk"""
@@ -291,24 +292,24 @@ ORACLE.update(
     load_room=SQL_STORE + "SELECT invoke_id, id, content, source, page FROM fresh WHERE invoke_id = 'new-room'",
     delete_room="SELECT lang AS invoke_id, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY ALL",
     deleted_rows="SELECT lang AS invoke_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL",
-    save_parents="""SELECT lang AS invoke_id, doc_id::VARCHAR AS parent_id, '2 ' || substring(text, 1, 20) AS content
+    save_parents="""SELECT lang AS invoke_id, doc_id::VARCHAR AS parent_id, '2 ' || text AS content
 FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 9 <> 0""",
     delete_parents="""SELECT lang AS invoke_id, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 9 <> 0 AND lang = 'fr' GROUP BY ALL""",
     load_parents="""
 WITH want AS (SELECT doc_id AS request_id, unnest([0, 1, 2])::INT AS pos, unnest([doc_id, doc_id + 1, doc_id]) AS id FROM labels)
-SELECT request_id, pos, id::VARCHAR AS parent_id, substring(text, 1, 20) AS content FROM want JOIN documents ON doc_id = id""",
+SELECT request_id, pos, id::VARCHAR AS parent_id, text AS content FROM want JOIN documents ON doc_id = id""",
     orphan_files="SELECT doc_id AS token, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    metadata_round_trip="""SELECT doc_id, to_json({'source': source, 'page': 1, 'keywords': substring(text, 1, 30)})::VARCHAR AS metadata,
-  source, 1 AS page, substring(text, 1, 30) AS keywords FROM documents""",
+    metadata_round_trip="""SELECT doc_id, to_json({'source': source, 'page': 1, 'keywords': text})::VARCHAR AS metadata,
+  source, 1 AS page, text AS keywords FROM documents""",
     metadata_defaults="""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS content,
   CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS source, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 END AS page FROM documents""",
     batch_progress="""
 WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq, count(*) OVER (PARTITION BY source) AS total FROM documents)
 SELECT source, seq // 8 AS batch, max(seq) + 1 AS done, total, (50 + floor((max(seq) + 1) / total * 45))::INT AS percent FROM r GROUP BY source, seq // 8, total""",
     stage_events="""
-WITH s AS (SELECT unnest(range(0, 7))::INT AS step, unnest([0, 5, 10, 20, 50, 95, 100]) AS percent, unnest(['start', 'parse', 'chunk', 'keywords', 'index', 'store', 'done']) AS stage)
+WITH s AS (SELECT unnest(range(0, 8))::INT AS step, unnest([0, 5, 10, 15, 20, 30, 90, 100]) AS percent, unnest(['start', 'parse', 'parsed', 'keywords', 'chunked', 'index', 'indexed', 'done']) AS stage)
 SELECT doc_id AS run_id, step, percent, stage FROM labels, s WHERE toxic = 0 OR step = 0
-UNION ALL SELECT doc_id, 1, 0, 'error' FROM labels WHERE toxic = 1""",
+UNION ALL SELECT doc_id, 1, -1, 'error' FROM labels WHERE toxic = 1""",
     fill_placeholders="SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents",
     render_memo=f"""
 SELECT doc_id, '<s><hp:p a>' || source || ' to ' || lang || ' via </hp:p>' || array_to_string(list_transform(string_split(text, chr(10)),
@@ -337,9 +338,10 @@ FROM line WHERE kind IN ('done', 'delta')""",
 WITH pair AS (SELECT user_id::VARCHAR AS invoke_id, event_id, event_type, props, ts FROM events WHERE event_type <> 'error'),
 m AS (SELECT invoke_id, event_id * 2 AS seq, 'user' AS role, event_type AS content FROM pair
   UNION ALL SELECT invoke_id, event_id * 2 + 1, 'assistant', props FROM pair),
-live AS (SELECT invoke_id FROM pair GROUP BY ALL HAVING max(ts) > TIMESTAMP '2024-01-30'),
-kept AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY invoke_id ORDER BY seq DESC) <= 10)
-SELECT * FROM kept WHERE invoke_id IN (SELECT invoke_id FROM live)""",
+gap AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY invoke_id ORDER BY event_id) + INTERVAL 2 DAY AS expired FROM pair),
+run AS (SELECT invoke_id, coalesce(max(event_id) FILTER (WHERE expired), -1) AS first, arg_max(ts, event_id) AS last FROM gap GROUP BY ALL)
+SELECT m.* FROM m JOIN run USING (invoke_id) WHERE seq >= first * 2 AND last > TIMESTAMP '2024-02-06' - INTERVAL 2 DAY
+QUALIFY row_number() OVER (PARTITION BY invoke_id ORDER BY seq DESC) <= 10""",
     doc_json_to_pages=f"""
 WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS page FROM documents),
 p AS (SELECT doc_id, page, t AS text FROM line UNION ALL SELECT doc_id, 1, '# ' || source FROM documents

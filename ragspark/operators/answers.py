@@ -6,7 +6,6 @@ from ragspark import settings as S
 from ragspark.functions import text as X
 
 ANALYSIS_TYPE = "is_clear boolean, clarification_message string, rewritten_questions array<string>, reasoning string"
-ANSWERS_PER_PART = 256
 
 
 def parse_analysis(response, original, clarify=S.PROMPT_CLARIFY):
@@ -70,34 +69,28 @@ def choose_prompt(plain=S.PROMPT_PLAIN, cross=S.PROMPT_CROSS, missing=S.PROMPT_N
     return F.when(has_evidence(), F.when(~X.is_null_or_empty(F.col("graph_context")), with_graph).otherwise(without))
 
 
-def combine_answers(threads, answers, prompt=S.PROMPT_MERGE, per_part=ANSWERS_PER_PART):
+def combine_answers(threads, answers, prompt=S.PROMPT_MERGE):
     """Per thread: a fixed message (no answer), the answer itself (one), or the merging prompt (several).
 
-    ``answers(thread_id, idx, answer)`` with ``idx`` counting from 0. The prompt comes in parts of ``per_part``
-    answers, so a thread of any length is never gathered whole; ordinary threads have one part, 0.
+    ``answers(thread_id, idx, answer)`` with ``idx`` counting from 0.
     """
     head, tail = prompt.split("{answers}")
     section = F.concat(
         F.lit("\n" + S.ANSWER_HEADING), (F.col("idx") + 1).cast("string"), F.lit("\n"), "answer", F.lit("\n")
     )
     ordered = F.array_sort(F.collect_list(F.struct("idx", section.alias("section"), "answer")))
-    parts = answers.withColumn("part", F.floor(F.col("idx") / per_part).cast("int")).groupBy("thread_id", "part").agg(
-        ordered.alias("_rows")
-    )
-    counts = answers.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = answers.groupBy("thread_id").agg(ordered.alias("_rows"))
     sections = F.array_join(F.transform("_rows", lambda r: r["section"]), "")
-    last = F.col("part") == F.floor((F.col("n") - 1) / per_part)
-    opening = F.when(F.col("part") == 0, X.literal_template(head, question=F.col("original"))).otherwise(F.lit(""))
-    closing = F.when(last, X.literal_template(tail, question=F.col("original")) if tail else F.lit("")).otherwise(F.lit(""))
+    closing = X.literal_template(tail, question=F.col("original")) if tail else F.lit("")
+    n = F.coalesce(F.size("_rows"), F.lit(0))
     text = (
-        F.when(F.col("n").isNull(), F.lit(S.NO_ANSWERS))
-        .when(F.col("n") == 1, F.element_at("_rows", 1)["answer"])
-        .otherwise(F.concat(opening, sections, closing))
-    )
-    return (
-        threads.select("thread_id", "original").join(counts, "thread_id", "left").join(parts, "thread_id", "left")
-        .select("thread_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n", F.lit(0)).alias("n_answers"), text.alias("text"))
+        F.when(F.col("_rows").isNull(), F.lit(S.NO_ANSWERS))
+        .when(n == 1, F.element_at("_rows", 1)["answer"])
+        .otherwise(F.concat(X.literal_template(head, question=F.col("original")), sections, closing))
     )
+    joined = threads.select("thread_id", "original").join(rows, "thread_id", "left")
+    counted = F.when(F.col("_rows").isNull(), 0).otherwise(F.size("_rows")).cast("long")
+    return joined.select("thread_id", counted.alias("n_answers"), text.alias("text"))
 
 
 def merge_references(answers):

@@ -47,6 +47,17 @@ def echo(chars=80):
     return factory
 
 
+def digest():
+    """Stand-in model whose answer depends on all of its prompt: the prompt's MD5."""
+
+    def factory():
+        from hashlib import md5
+
+        return lambda prompts: [md5(p.encode()).hexdigest() for p in prompts]
+
+    return factory
+
+
 def complete(df, payload, out_col="answer", factory=None):
     """Model text per payload, stripped; a failing call gives empty text."""
     return infer(df, payload, out_col, factory or echo(), "string", D.encode_batch_query, "empty", "")

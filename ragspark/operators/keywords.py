@@ -2,12 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import skew
 from ragspark.session import saved
 
-D = S.DEFAULTS
 # distinct terms of a full chunk, to turn chunk counts into row counts
 TERMS_PER_CHUNK = 128
 
@@ -16,15 +14,15 @@ def terms_of(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
 
 
-def document_frequencies(chunks, scope, text, chars=D.keyword_chars):
+def document_frequencies(chunks, scope, text):
     """(scope, term, df) of every term; the empty term carries the number of chunks of the scope."""
-    seen = F.array_append(F.array_distinct(terms_of(X.prefix(F.col(text), chars))), F.lit(""))
+    seen = F.array_append(F.array_distinct(terms_of(F.col(text))), F.lit(""))
     return chunks.select(*scope, F.explode(seen).alias("term")).groupBy(*scope, "term").agg(
         F.count(F.lit(1)).alias("df")
     )
 
 
-def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text", chars=D.keyword_chars,
+def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text",
                    max_broadcast_rows=skew.MAX_LOOKUP_ROWS, rows_per_task=skew.ROWS_PER_TASK):
     """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated.
 
@@ -34,11 +32,11 @@ def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text",
     """
     scope, key = list(scope), list(key)
     on = [*scope, "term"]
-    counted = saved(document_frequencies(chunks, scope, text, chars), "terms")
+    counted = saved(document_frequencies(chunks, scope, text), "terms")
     size = counted.where("term = ''").select(*scope, F.col("df").alias("_size"))
     frequent = counted.where("term <> '' AND df > 1")
 
-    words = chunks.select(*scope, *key, X.prefix(F.col(text), chars).alias("_cut")).repartition(*scope, *key)
+    words = chunks.select(*scope, *key, F.col(text).alias("_cut")).repartition(*scope, *key)
     tf = words.select(*scope, *key, F.explode(terms_of(F.col("_cut"))).alias("term")).groupBy(
         *scope, *key, "term"
     ).agg(F.count(F.lit(1)).alias("tf"))

@@ -26,6 +26,15 @@ def trim_history(messages, keep=2 * D.history_messages, key="invoke_id", order="
     return skew.first_n(messages, [key], keep, F.desc(order)).drop("rank")
 
 
+def last_run(trimmed, ttl_days=D.ttl_days, key="invoke_id", order="seq", written_at="written_at"):
+    """Of the few newest messages of each room, those after the last silence of ``ttl_days`` or more."""
+    w = W.partitionBy(key).orderBy(order)
+    gap = F.col(written_at) >= F.lag(written_at).over(w) + F.expr(f"INTERVAL {int(ttl_days)} DAYS")
+    marked = trimmed.withColumn("_first", F.when(gap, F.col(order)))
+    start = F.max("_first").over(W.partitionBy(key))
+    return marked.withColumn("_first", start).where(F.col("_first").isNull() | (F.col(order) >= F.col("_first"))).drop("_first")
+
+
 def recent_summary_text(messages, n=D.recent_messages, chars=D.recent_chars, max_n=D.history_messages,
                         max_chars=D.history_chars, key="invoke_id"):
     """Prompt text of the last ``n`` windowed messages per room; a room without any has empty text.

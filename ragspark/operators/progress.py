@@ -7,9 +7,11 @@ from ragspark.operators import skew
 
 D = S.DEFAULTS
 # Percent and stage of the ingest and call-summary runs.
-INGEST_STAGES = ((0, "start"), (5, "parse"), (10, "chunk"), (20, "keywords"), (50, "index"), (95, "store"), (100, "done"))
+INGEST_STAGES = (
+    (0, "start"), (5, "parse"), (10, "parsed"), (15, "keywords"), (20, "chunked"), (30, "index"), (90, "indexed"), (100, "done"),
+)
 SUMMARY_STAGES = (
-    (10, "receiving"), (15, "stt_start"), (25, "stt_processing"), (50, "stt_complete"),
+    (0, "receiving"), (10, "receiving"), (15, "stt_start"), (25, "stt_processing"), (50, "stt_complete"),
     (55, "summary_start"), (70, "summary_processing"), (95, "summary_processing"), (100, "complete"),
 )
 
@@ -34,6 +36,6 @@ def batch_progress(rows, key="source", position="seq", batch=D.graph_batch):
 def stage_events(runs, stages=INGEST_STAGES, failed="failed", run="run_id"):
     """Ordered events of each run; a failed run ends in one error event after its first stage."""
     all_ = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(s).alias("stage")) for p, s in stages])
-    error = F.array(F.struct(F.lit(0).alias("percent"), F.lit("error").alias("stage")))
+    error = F.array(F.struct(F.lit(-1).alias("percent"), F.lit("error").alias("stage")))
     events = F.when(F.coalesce(failed, F.lit(False)), F.concat(F.slice(all_, 1, 1), error)).otherwise(all_)
     return runs.select(run, F.posexplode(events).alias("step", "e")).select(run, "step", "e.percent", "e.stage")

@@ -5,14 +5,11 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as X
 from ragspark.operators import skew
 
-DELTAS_PER_PART = 65_536
-
-
 RECORD = "choices array<struct<delta:struct<content:string>>>, type string, content string"
 
 
 def decode_line(line):
-    """STRUCT<done, delta, answer> of one ``data: `` line; null for other lines and unreadable JSON."""
+    """STRUCT<done, delta, answer> of one ``data:`` line, with or without a blank; null for other lines and unreadable JSON."""
 
     def read(data):
         done = data == "[DONE]"
@@ -25,8 +22,8 @@ def decode_line(line):
 
         return X.let(F.from_json(F.when(~done, data), RECORD), fields)
 
-    body = F.btrim(F.substring(line, F.lit(7), F.length(line)))
-    return F.when(line.startswith("data: "), X.let(body, read))
+    body = F.btrim(F.substring(line, F.lit(6), F.length(line)))
+    return F.when(line.startswith("data:"), X.let(body, read))
 
 
 def decode_sse(lines, line="line"):
@@ -36,11 +33,8 @@ def decode_sse(lines, line="line"):
     return lines.select(*keep, F.explode(record).alias("d")).select(*keep, "d.done", "d.delta", "d.answer")
 
 
-def concat_deltas(decoded, key="request_id", order="seq", per_part=DELTAS_PER_PART):
-    """Text of each request up to its first end mark, in parts of at most ``per_part`` positions.
-
-    An ordinary answer is one part; a request of any length never gathers in one task.
-    """
+def concat_deltas(decoded, key="request_id", order="seq"):
+    """Text of each request up to its first end mark: one row, as an answer is one value."""
     marks = decoded.groupBy(key).agg(
         F.min(F.when(F.col("done"), F.col(order))).alias("_end"), F.count(F.lit(1)).alias("_n")
     )
@@ -49,9 +43,7 @@ def concat_deltas(decoded, key="request_id", order="seq", per_part=DELTAS_PER_PA
         "delta IS NOT NULL AND delta <> ''"
     ).where(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("p"), "delta")))
-    return kept.groupBy(key, F.floor(F.col(order) / per_part).alias("part")).agg(
-        F.array_join(F.transform(pieces, lambda s: s["delta"]), "").alias("text")
-    )
+    return kept.groupBy(key).agg(F.array_join(F.transform(pieces, lambda s: s["delta"]), "").alias("text"))
 
 
 def last_answers(decoded, key="request_id", order="seq"):

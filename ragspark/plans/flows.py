@@ -12,16 +12,17 @@ from ragspark.sources import files
 D = S.DEFAULTS
 
 
-def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True, doc_key=("source",)):
+def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True):
     """Documents (invoke_id, source, markdown, ...) to chunk rows ready for the store.
 
     Without a model the keywords are the chunk's best tf-idf terms. They read the chunks more than once, so the
     chunks are stored first.
     """
-    pages = chunking.split_pages(docs)
+    row = F.monotonically_increasing_id().alias("_row")  # stored with the chunks; a source may come twice
+    pages = chunking.split_pages(docs.select("*", row) if with_keywords else docs)
     chunks = chunking.chunk_text(pages, size, overlap)
     if with_keywords:
-        chunks = keywords.tfidf_keywords(saved(chunks, "chunks"), key=(*doc_key, "page_seq", "chunk_seq"))
+        chunks = keywords.tfidf_keywords(saved(chunks, "chunks"), key=("_row", "page_seq", "chunk_seq")).drop("_row")
     else:
         chunks = chunks.withColumn("keywords", F.lit(""))
     made = chunking.identify_chunks(chunks, "keywords")
@@ -69,7 +70,7 @@ def analyze(threads, clarify=S.PROMPT_CLARIFY):
 
 
 def answer_questions(threads, passages, relations, model=None, limit=None):
-    """(final parts, references, waiting threads) of analysed threads.
+    """(final texts, references, waiting threads) of analysed threads.
 
     ``passages(questions)`` gives (thread_id, idx, context, references) and ``relations(questions)`` gives
     (thread_id, idx, graph_context) for the exploded questions. Answers are stored, so the model is asked once.

@@ -1,5 +1,12 @@
 """File sources: corpora, chat logs, document JSON, listings."""
 
+import csv
+import io
+import itertools
+import re
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -18,24 +25,46 @@ def extension(name):
     return F.lower(X.strip(F.regexp_extract(name, r"[^.](\.[^./]*)$", 1)))
 
 
-def read_corpus(spark, path, room=None):
-    """One row per non-blank text file: invoke_id, source, ext, markdown.
+TEXT_FILES = (".md", ".txt", ".html", ".htm")
 
-    Markdown and text files are taken as they are, HTML is reduced to its text. The room is the parent folder
-    unless given.
-    """
+
+def _text(content):
+    return pd.Series([None if c is None else decoded(bytes(c)) for c in content])
+
+
+def _files(spark, path, room):
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = file_name(F.col("path"))
     folder = F.element_at(F.split("path", "/"), -2)
-    named = raw.select(
-        (F.lit(room) if room is not None else folder).alias("invoke_id"), name.alias("source"),
-        extension(name).alias("ext"), "content",
-    ).where(F.col("ext").isin(".md", ".txt", ".html", ".htm") & F.is_valid_utf8("content"))
-    body = F.decode("content", "UTF-8")
+    return raw.select(
+        (F.lit(room) if room is not None else folder).alias("invoke_id"), "path", name.alias("source"), extension(name).alias("ext"), "content"
+    )
+
+
+def read_corpus(spark, path, room=None):
+    """One row per non-blank text file: invoke_id, source, ext, markdown.
+
+    Markdown and text files are taken as they are, HTML is reduced to its text; UTF-8, else CP949. The room is the parent
+    folder unless given. What cannot be read stands in ``rejected_files``.
+    """
+    decode = F.pandas_udf(_text, "string")
+    named = _files(spark, path, room).where(F.col("ext").isin(*TEXT_FILES))
+    named = named.select("invoke_id", "source", "ext", decode("content").alias("body")).where("body is not null")
+    body = F.col("body")
     markdown = F.when(F.col("ext").isin(".html", ".htm"), X.html_to_text(body)).otherwise(body)
     return named.select("invoke_id", "source", "ext", markdown.alias("markdown")).where(~X.is_blank(F.col("markdown")))
 
 
+def rejected_files(spark, path, room=None):
+    """Files that ``read_corpus`` leaves out: invoke_id, path and the reason (kind, encoding or blank)."""
+    decode = F.pandas_udf(_text, "string")
+    kind = F.col("ext").isin(*TEXT_FILES)
+    files = _files(spark, path, room).withColumn("body", decode(F.when(kind, F.col("content"))))
+    plain = F.when(F.col("ext").isin(".html", ".htm"), X.html_to_text(F.col("body"))).otherwise(F.col("body"))
+    reason = F.when(~kind, F.lit("kind")).when(F.col("body").isNull(), F.lit("encoding")).when(X.is_blank(plain), F.lit("blank"))
+    return files.select("invoke_id", "path", reason.alias("reason")).where("reason is not null")
+
+
 def list_room_files(spark, path, room):
     """Regular files of one room, oldest first, names breaking ties; empty for a missing room."""
     try:
@@ -47,62 +76,53 @@ def list_room_files(spark, path, room):
     return files.select(file_name(F.col("path")).alias("name"), "modificationTime").orderBy("modificationTime", "name")
 
 
-def read_chat_csv(spark, path):
-    """Rows of ``.csv`` chat logs with ``file`` and ``row_seq``; UTF-8 (with or without BOM), else CP949.
-
-    Each file is one row until its records are exploded, so its order is kept and its own header applies. Line
-    ends and commas inside quotes are told apart by the number of quotes before them. Reading CP949 needs
-    ``spark.sql.legacy.javaCharsets``, which is switched on here.
-    """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(
-        F.decode("content", "x-windows-949")
-    )
-    records = files.select(
-        file_name(F.col("path")).alias("file"), csv_records(F.ltrim(text, F.lit("\ufeff"))).alias("records")
-    )
-    header = csv_fields(F.element_at("records", 1))
-    rows = records.select("file", header.alias("header"), F.posexplode("records").alias("row_seq", "record")).where(
-        "row_seq > 0 AND record <> ''"
-    )
-    absent = F.array_except(F.array(*map(F.lit, CHAT_COLUMNS)), "header")
-    checked = F.when(
-        F.size(absent) > 0,
-        F.raise_error(F.concat(F.lit("missing columns "), F.array_join(absent, ", "), F.lit(" in "), "file")).cast("array<string>"),
-    ).otherwise(csv_fields(F.col("record")))
-    fields = rows.select("file", F.col("row_seq").cast("long").alias("row_seq"), "header", checked.alias("fields"))
-    return fields.select(
-        "file", "row_seq",
-        *[
-            F.coalesce(F.get("fields", F.array_position("header", c).cast("int") - 1), F.lit("")).alias(c)
-            for c in CHAT_COLUMNS
-        ],
-    )
-
-
-# stand-ins for CR and LF inside quotes and for the comma between fields
-QUOTED_CR, QUOTED_LF, FIELD_END = "\ue000", "\ue001", "\ue002"
+def below(path, root):
+    """A file's path below the folder that was read."""
+    return F.element_at(F.split(path, "/" + re.escape(root.rstrip("/").split("/")[-1]) + "/", 2), -1)
 
 
-def csv_records(text):
-    """ARRAY<STRING> of records whose field ends are marked."""
-    pieces = F.transform(
-        F.split(text, '"'),
-        lambda s, i: F.when(i % 2 == 1, F.translate(s, "\r\n", QUOTED_CR + QUOTED_LF)).otherwise(
-            F.translate(s, ",", FIELD_END)
-        ),
-    )
-    return F.split(F.array_join(pieces, '"'), "\r\n|\n|\r")
+def decoded(content):
+    """Text of UTF-8 bytes (with or without BOM), else of CP949; None where neither fits."""
+    for encoding in ("utf-8-sig", "cp949"):
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            pass
+    return None
 
 
-def csv_fields(record):
-    def value(f):
-        quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
-        bare = F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        return F.translate(F.when(quoted, bare).otherwise(f), QUOTED_CR + QUOTED_LF, "\r\n")
+def read_chat_csv(spark, path, rows_per_batch=10_000):
+    """Rows of ``.csv`` chat logs with ``file`` (the path below ``path``) and ``row_seq``; UTF-8, else CP949.
 
-    return F.transform(F.split(record, FIELD_END), value)
+    Each file is read by one task, which hands its records on in batches, so their order is kept and the file's own
+    header applies. Blank records are skipped but counted.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    schema = pa.schema([("file", pa.string()), ("row_seq", pa.int64()), *((c, pa.string()) for c in CHAT_COLUMNS)])
+
+    def records(name, content):
+        text = decoded(content)
+        if text is None:
+            raise ValueError(f"neither UTF-8 nor CP949: {name}")
+        lines = csv.reader(io.StringIO(text, newline=""))
+        header = next(lines, [])
+        absent = [c for c in CHAT_COLUMNS if c not in header]
+        if absent:
+            raise ValueError(f"missing columns {', '.join(absent)} in {name}")
+        at = [header.index(c) for c in CHAT_COLUMNS]
+        for seq, fields in enumerate(lines, 1):
+            if fields:
+                yield (name, seq, *(fields[k] if k < len(fields) else "" for k in at))
+
+    def read(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = records(name, content.as_py())
+                while part := list(itertools.islice(rows, rows_per_batch)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
+
+    kind = "file string, row_seq long, " + ", ".join(f"{c} string" for c in CHAT_COLUMNS)
+    return files.select(below(F.col("path"), path), "content").mapInArrow(read, kind)
 
 
 # Converter output names in order of preference, then the pattern of any other.
@@ -113,19 +133,18 @@ DOC_JSON_PATTERN = "*_page_all.json"
 def read_doc_json(spark, path):
     """Converted documents below ``path`` as (doc_id, json): one folder per document, its best-named output.
 
-    The choice is made on file names alone; only the chosen files' text goes on.
+    A document is named by its folder's path below ``path``, so that rooms may hold folders of one name. The choice is
+    made on file names alone; only the chosen files' text goes on.
     """
     options = {"pathGlobFilter": DOC_JSON_PATTERN, "recursiveFileLookup": "true"}
-    folder = F.element_at(F.split("path", "/"), -2)
     known = F.array(*map(F.lit, DOC_JSON_NAMES))
-    names = spark.read.format("binaryFile").options(**options).load(path).select("path", folder.alias("doc_id"))
-    place = F.array_position(known, file_name(F.col("path")))
+    names = spark.read.format("binaryFile").options(**options).load(path).select(below(F.col("path"), path).alias("_file"))
+    names = names.withColumn("doc_id", F.regexp_replace("_file", "/?[^/]*$", ""))
+    place = F.array_position(known, file_name(F.col("_file")))
     order = F.when(place > 0, place).otherwise(len(DOC_JSON_NAMES) + 1)
-    chosen = skew.latest(names.withColumn("_place", order), ["doc_id"], "_place", "path").select("path")
+    chosen = skew.latest(names.withColumn("_place", order), ["doc_id"], "_place", "_file").select("doc_id", "_file")
     texts = spark.read.options(**options).text(path, wholetext=True).select(
         F.input_file_name().alias("_uri"), F.col("value").alias("json")
     )
-    uri = F.concat(F.element_at(F.split("_uri", "/"), -2), F.lit("/"), F.element_at(F.split("_uri", "/"), -1))
-    tail = F.concat(folder, F.lit("/"), file_name(F.col("path")))
-    keyed = texts.select(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))).alias("_tail"), "json")
-    return keyed.join(chosen.select(folder.alias("doc_id"), tail.alias("_tail")), "_tail").select("doc_id", "json")
+    file = below(F.url_decode(F.replace("_uri", F.lit("+"), F.lit("%2B"))), path)
+    return texts.select(file.alias("_file"), "json").join(chosen, "_file").select("doc_id", "json")

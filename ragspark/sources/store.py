@@ -1,15 +1,19 @@
-"""Room-partitioned tables: upsert, load, delete.
+"""Stored tables of rooms: upsert, load, delete.
 
-A stored table is a folder of batches. Writing a batch replaces a folder of the same batch number, so a retried
-write leaves the same data; reading keeps the newest row of each key.
+A stored table is a folder of batches, each dealt into a fixed number of buckets by a hash of the room. Writing a batch
+replaces a folder of the same batch number, so a retried write leaves the same data, and keeps the newest row of each
+key; reading leaves out the rows that a later batch has rewritten. Room ids stay text.
 """
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragspark.operators import skew
 
 CHUNK_KEY = ("invoke_id", "id")
+#: A property of the stored tables; readers and writers must agree.
+BUCKETS = 64
 
 
 def latest_rows(rows, key=CHUNK_KEY, newest="written_at", ties=()):
@@ -27,26 +31,40 @@ def upsert(stored, new, key=CHUNK_KEY, newest="written_at", ties=()):
     return old.unionByName(fresh.select(*stored.columns))
 
 
-def append_batch(rows, path, batch, room="invoke_id"):
-    """Write one batch; each room is a partition folder, large rooms span many files."""
-    rows.write.mode("overwrite").partitionBy(room).parquet(f"{path}/batch={int(batch)}")
+def bucket_of(room):
+    return F.pmod(F.xxhash64(room), F.lit(BUCKETS)).cast("int")
 
 
-def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id", schema=None):
-    """Newest rows of a stored table; a missing table is empty if ``schema`` is given."""
+def append_batch(rows, path, batch, room="invoke_id", key=CHUNK_KEY, newest="written_at"):
+    """Write the newest row of each key as one batch; a bucket is a folder, Spark splits large ones into files."""
+    dealt = latest_rows(rows, key, newest).withColumn("bucket", bucket_of(F.col(room))).hint("rebalance", "bucket")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={int(batch)}")
+
+
+def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id", schema=None, only=None):
+    """Newest rows of a stored table; a missing table is empty if ``schema`` is given.
+
+    ``only`` names one room and reads its bucket alone. Versions are ranked on keys and times; whole rows only meet the list
+    of rewritten ones, which Spark broadcasts while it is small.
+    """
     try:
         rows = spark.read.option("basePath", path).parquet(path)
     except AnalysisException as e:
         if schema is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    rows = rows.withColumn(room, F.col(room).cast("string"))
-    return latest_rows(rows, key, newest, ("batch",)).drop("batch")
+    if only is not None:
+        rows = rows.where((F.col("bucket") == bucket_of(F.lit(only))) & (F.col(room) == F.lit(only)))
+    version = [*key, newest, "batch"]
+    w = W.partitionBy(*key).orderBy(F.desc(newest), F.desc("batch"))
+    old = rows.select(*version).withColumn("_rn", F.row_number().over(w)).where("_rn > 1").select(*version)
+    same = [rows[c].eqNullSafe(old[c]) for c in version]
+    return rows.join(old, same, "left_anti").drop("batch", "bucket")
 
 
 def compact_rows(spark, path, target, key=CHUNK_KEY, newest="written_at", room="invoke_id"):
     """Rewrite the newest rows of a stored table as batch 0 of a new folder."""
-    append_batch(load_rows(spark, path, key, newest, room), target, 0, room)
+    append_batch(load_rows(spark, path, key, newest, room), target, 0, room, key, newest)
 
 
 def delete_room(stored, room, column="invoke_id"):

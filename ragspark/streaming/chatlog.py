@@ -17,5 +17,5 @@ def stream_chat_log(lines, table, checkpoint, trigger=None):
 
 
 def answers(spark, table):
-    """Text parts per request from everything decoded so far."""
+    """Text of each request from everything decoded so far."""
     return streamlog.concat_deltas(spark.read.parquet(table).drop("batch"))

@@ -1,5 +1,6 @@
 """Streaming conversation memory: append, trim, expire."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
@@ -35,14 +36,16 @@ def stream_history(pairs, table, checkpoint, keep=2 * D.history_messages, trigge
 
 
 def read_history(spark, table, as_of=None, keep=2 * D.history_messages, ttl_days=D.ttl_days):
-    """Last ``keep`` messages of each room whose latest write is younger than the retention period."""
-    rows = spark.read.parquet(table).drop("batch")
-    kept = memory.trim_history(rows, keep)
+    """Last ``keep`` messages of each room, no further back than its last silence of the retention period.
+
+    A conversation that was silent for so long starts again from nothing, so what was said before never returns. With
+    ``as_of``, rooms that have been silent since are left out.
+    """
+    kept = memory.last_run(memory.trim_history(spark.read.parquet(table).drop("batch"), keep), ttl_days)
     if as_of is None:
         return kept
-    fresh = rows.groupBy("invoke_id").agg(F.max("written_at").alias("written_at"))
-    live = memory.live_rows(fresh, as_of, ttl_days).select("invoke_id")
-    return kept.join(live, "invoke_id", "left_semi")
+    newest = F.max("written_at").over(W.partitionBy("invoke_id"))
+    return memory.live_rows(kept.withColumn("_newest", newest), as_of, ttl_days, "_newest").drop("_newest")
 
 
 def compact_history(spark, table, target, keep=2 * D.history_messages):

@@ -1,4 +1,4 @@
-"""Streaming ingestion: new documents are chunked and appended to a room-partitioned table."""
+"""Streaming ingestion: new documents are chunked and appended to a stored table."""
 
 from pyspark.sql import functions as F
 
@@ -25,8 +25,7 @@ def stream_ingest(stream, table, checkpoint, progress=None, written_at=None, tri
     """
 
     def write(batch, batch_id):
-        rows = store.latest_rows(chunk_rows(batch, written_at))
-        store.append_batch(rows, table, batch_id)
+        store.append_batch(chunk_rows(batch, written_at), table, batch_id)
         if progress:
             written = batch.sparkSession.read.parquet(f"{table}/batch={batch_id}")
             written.agg(F.count(F.lit(1)).alias("n_chunks")).select(

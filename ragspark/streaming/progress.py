@@ -1,16 +1,18 @@
-"""Progress of running streams as rows."""
+"""Progress of running streams as rows of a table."""
 
 from pyspark.sql.streaming import StreamingQueryListener
 
+COLUMNS = "run_id string, percent int, stage string, message string"
+
 
 class ProgressListener(StreamingQueryListener):
-    """Collects (run_id, percent, stage, message) of each query; at most ``keep`` newest events are held."""
+    """Appends (run_id, percent, stage, message) of each query's events to the table at ``path``; holds none of them."""
 
-    def __init__(self, keep=10_000):
-        self.events, self.keep = [], keep
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
 
     def _add(self, *event):
-        self.events = [*self.events, event][-self.keep :]
+        self.spark.createDataFrame([event], COLUMNS).write.mode("append").parquet(self.path)
 
     def onQueryStarted(self, event):
         self._add(str(event.runId), 0, "start", event.name or "")
@@ -24,7 +26,7 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event):
         failed = event.exception is not None
-        self._add(str(event.runId), 0 if failed else 100, "error" if failed else "done", event.exception or "")
+        self._add(str(event.runId), -1 if failed else 100, "error" if failed else "done", event.exception or "")
 
-    def to_df(self, spark):
-        return spark.createDataFrame(self.events, "run_id string, percent int, stage string, message string")
+    def events(self):
+        return self.spark.read.schema(COLUMNS).parquet(self.path)

@@ -15,10 +15,12 @@ def test_chat_csv(spark, tmp_path):
     (tmp_path / "k.csv").write_bytes((HEAD + "\r\n가나,2024-01-01,다라,파일.txt\r\n").encode("cp949"))
     (tmp_path / "order.csv").write_text('"extra",sOriginalFileName,sTalkerContent,formatted_date,sTalkerName\ne,f,c,d,t')
     (tmp_path / "no.txt").write_text("not a csv")
+    (tmp_path / "q.csv").write_text(HEAD + '\nA,,a 5" disk,x\nB,,\ue000\ue002 kept,y\nC,,last,z\n')
     rows = files.read_chat_csv(spark, str(tmp_path)).orderBy("file", "row_seq").collect()
     assert [tuple(r)[:1] + tuple(r)[2:] for r in rows] == [
         ("a.csv", "A", "2024-01-01 10:00", 'two\nlines, "quoted"', ""), ("a.csv", "B", "", "x", ""),
         ("k.csv", "가나", "2024-01-01", "다라", "파일.txt"), ("order.csv", "t", "d", "c", "f"),
+        ("q.csv", "A", "", 'a 5" disk', "x"), ("q.csv", "B", "", "\ue000\ue002 kept", "y"), ("q.csv", "C", "", "last", "z"),
     ]
     lines = flows.dialogue_transcripts(spark, str(tmp_path)).where("file = 'a.csv'").orderBy("row_seq", "kind").collect()
     assert [r["line"] for r in lines] == ["===== 2024-01-01 =====", '[10:00] A: two\nlines, "quoted"', "B: x"]
@@ -37,8 +39,12 @@ def test_corpus(spark, tmp_path):
     (room / "b.html").write_text("<p>x &amp; y</p><script>no</script>")
     (room / "blank.txt").write_text(" \n ")
     (room / "c.bin").write_bytes(b"\x00\xff")
+    (room / "d.txt").write_bytes("가나".encode("cp949"))
+    (room / "e.txt").write_bytes(b"\xff\xff\xff")
     got = {(r["invoke_id"], r["source"], r["ext"], r["markdown"]) for r in files.read_corpus(spark, str(tmp_path)).collect()}
-    assert got == {("room1", "a.MD", ".md", "# hi"), ("room1", "b.html", ".html", "x & y")}
+    assert got == {("room1", "a.MD", ".md", "# hi"), ("room1", "b.html", ".html", "x & y"), ("room1", "d.txt", ".txt", "가나")}
+    gone = {(r["path"].split("/")[-1], r["reason"]) for r in files.rejected_files(spark, str(tmp_path)).collect()}
+    assert gone == {("c.bin", "kind"), ("blank.txt", "blank"), ("e.txt", "encoding")}
 
 
 def test_listing(spark, tmp_path):
@@ -56,11 +62,12 @@ def test_doc_json_files(spark, tmp_path):
     for folder, name, text in (
         ("a", "pdf_page_all.json", "{a-pdf}"), ("a", "word_page_all.json", '{\n "pages": []\n}'), ("a", "aa_page_all.json", "{x}"),
         ("b c+d", "z_page_all.json", "{z}"), ("b c+d", "y_page_all.json", "{y}"), ("e", "other.json", "{}"),
+        ("r1/doc", "pdf_page_all.json", "{1}"), ("r2/doc", "word_page_all.json", "{2}"),
     ):
-        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
         (tmp_path / folder / name).write_text(text)
     got = {(r["doc_id"], r["json"]) for r in files.read_doc_json(spark, str(tmp_path)).collect()}
-    assert got == {("a", '{\n "pages": []\n}'), ("b c+d", "{y}")}
+    assert got == {("a", '{\n "pages": []\n}'), ("b c+d", "{y}"), ("r1/doc", "{1}"), ("r2/doc", "{2}")}
 
 
 def test_calls_from_files_to_results(spark, tmp_path):
