@@ -24,7 +24,7 @@ def components(edges):
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _stars(both, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         up = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _stars(up, "v <= u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = saved(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")

@@ -12,9 +12,11 @@ used one after the other: blocks of few shingles go first (they tell little), th
 many documents have (``slack`` of them). A document left without any block has no partner; so texts that merely
 share some passages go out here. What still meets on a block value is verified with the exact sets.
 
-Groups that meet are never expanded into pairs. Each round verifies the members of a group against one or a few pivots,
-joins components by the links found, drops the pivots, and goes on with groups that still hold two components. So every
-pair of different components that shares a block is either verified or joined otherwise, and the components are exact.
+Groups that meet are not expanded into pairs. First every member is verified against its group's first, and what is linked
+is joined into components. Of groups that still hold two components, the small ones verify the pairs across these (a
+bounded number for each member). Large ones that share documents are families of similar texts; a family is compared in
+tiles of bounded size by matrix products of its texts' sets, and a tile returns an edge for each document that is linked,
+never pairs. So every pair of different components that shares a block is compared, and the components are exact.
 """
 
 import numpy as np
@@ -32,7 +34,11 @@ NUMER, DENOM = 4, 5
 HOT_IN_BATCH = 16
 #: Counts of a key above this are not told apart.
 MANY = 1_000
-PIVOTS = 64
+#: Groups up to this size verify their pairs, larger ones are compared in tiles of about TILE documents a side.
+SMALL = 24
+TILE = 128
+#: Shingles of a tile that are compared at once.
+COLUMNS = 1 << 14
 KEYS_PER_TASK = 1_000_000
 #: Pairs whose texts a task holds at once while it verifies them.
 PAIRS = 256
@@ -212,27 +218,18 @@ def jaccard_groups(docs, doc_id="doc_id", text="text"):
     ranked = met.where("often > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
     w = W.partitionBy("id").orderBy(F.desc("often"), F.desc("key"))
     groups = ranked.withColumn("rank", F.row_number().over(w)).where("rank > div(n, 16) + 1")
-    groups = saved(_shared(groups.select("id", "key")), "groups")
-    links, round_, joined = None, 0, None
-    while True:
-        if joined is not None:
-            labelled = groups.join(joined, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-        else:
-            labelled = groups.select("key", "id", F.col("id").alias("c"))
-        pairs, rest = _round(labelled, 1 if round_ == 0 else PIVOTS)
-        pairs = saved(pairs, "pairs")
-        if round_ and pairs.isEmpty():
-            break
-        found = saved(verified(pairs, docs), "links")
-        links = found if links is None else links.unionByName(found)
-        joined = saved(components(links), "joined")
-        groups = saved(_unlike(saved(rest, "rest")) if round_ == 0 else rest, "groups")
-        round_ += 1
-        if groups.isEmpty():
-            break
+    groups = saved(_shared(groups.select("key", "id")), "groups")
+    links = saved(verified(saved(_to_first(groups), "pairs"), docs), "links")
+    joined = saved(components(links), "joined")
+    open_ = saved(_open(groups, joined), "open")
+    across = saved(_across(open_.where(F.col("n") <= SMALL)), "pairs")
+    links = links.unionByName(saved(verified(across, docs), "links"))
+    links = links.unionByName(saved(_families(open_.where(F.col("n") > SMALL), docs), "links"))
+    joined = saved(components(links), "joined")
     rep = same.select("doc_id", "same").join(first, "same").select("doc_id", "rep").distinct()
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep"))  # no words, no link
     out = rep.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(sizes, "doc_id")
-    return docs.select("doc_id").join(out, "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return docs.select("doc_id").join(out, "doc_id").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def _shared(groups):
@@ -241,24 +238,90 @@ def _shared(groups):
     return groups.join(several, "key", "left_semi")
 
 
-def _unlike(groups):
-    """One key of those that have the same documents."""
-    sums = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
-    return groups.join(sums.where("n > 1").groupBy("n", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-
-
-def _round(labelled, pivots):
-    """Pairs of this round (distinct), and the groups without its pivots. Rows key, id, c (component)."""
-    open_ = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("id", "c")).alias("p")).where("lo < hi")
-    if pivots == 1:
-        members = labelled.join(open_.select("key", "p"), "key")
-        lead = members.select("key", "id", "c", F.col("p.id").alias("a"), F.col("p.c").alias("ac"))
-        pairs = lead.where("id > a and c <> ac").select("a", F.col("id").alias("b")).distinct()
-        rest = members.where("id <> p.id").select("key", "id")
-        return pairs, rest
-    members = labelled.join(open_.select("key"), "key", "left_semi")
-    w = W.partitionBy("key").orderBy("id")
-    lead = members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pivots)
-    pairs = members.join(lead.select("key", F.col("id").alias("a"), F.col("c").alias("ac")), "key").where("id > a and c <> ac")
-    rest = members.join(lead.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
-    return pairs.select("a", F.col("id").alias("b")).distinct(), rest
+def _to_first(groups):
+    """Each member with the first of its group, every pair once."""
+    first = groups.groupBy("key").agg(F.min("id").alias("a"))
+    return groups.join(first, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
+
+
+def _open(groups, joined):
+    """(key, id, c, n) of groups that hold several components, one key of those that have the same documents.
+
+    The members' components are c, a group has n members. Its first member stays in: it was verified against all, but its
+    component may be linked to others' through it alone."""
+    labelled = groups.join(joined, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
+    sums = labelled.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    )
+    return labelled.join(sums.where("lo < hi").groupBy("n", "s").agg(F.min("key").alias("key")).select("key", "n"), "key")
+
+
+def _across(open_):
+    """Pairs of different components in small groups, every pair once."""
+    other = open_.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
+    return open_.join(other, "key").where("id < b and c <> d").select(F.col("id").alias("a"), "b").distinct()
+
+
+def _families(open_, docs):
+    """Links, as edges, within the families of large groups."""
+    first = open_.groupBy("key").agg(F.min("id").alias("a"))
+    families = saved(components(open_.join(first, "key").select("a", F.col("id").alias("b"))), "families")
+    parts = families.groupBy("component_id").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    sided = families.join(parts, "component_id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")))
+    tiles = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.col("component_id").alias("family"), "id", "side", (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("tile"), F.expr("side = other").alias("within")
+    )
+    wanted = families.select(F.col("id").alias("doc_id"))
+    texts = saved(narrow_join(docs, wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    rows = tiles.join(texts.withColumnRenamed("doc_id", "id"), "id").select("family", "tile", "id", "side", "within", "text")
+    return rows.repartition("family", "tile").sortWithinPartitions("family", "tile").mapInArrow(_tiles, "a long, b long")
+
+
+def _tiles(batches):
+    """Batches sorted by (family, tile); the sets of one tile are held at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    now, held = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "tile"))))
+        rest = zip(keys, *(batch.column(c).to_pylist() for c in ("id", "side", "within")), _sets(batch.column("text")))
+        for key, *row in rest:
+            if key != now and held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _edges(held)], schema=schema)
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _edges(held)], schema=schema)
+
+
+def _edges(rows):
+    """An edge for each document of a tile that is linked to a smaller one, to the smallest it reaches in the tile."""
+    rows = sorted(rows, key=lambda r: r[0])
+    ids, side, within = (np.array([r[k] for r in rows]) for k in range(3))
+    n, size = len(rows), np.array([len(r[3]) for r in rows])
+    owner = np.repeat(np.arange(n), size)
+    values, at, often = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
+    rank = np.cumsum(often > 1) - 1
+    several = often[at] > 1
+    owner, at = owner[several], rank[at[several]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((n, n), np.float32)
+    for lo in range(0, int((often > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[a:b], at[a:b] - lo] = 1
+        common += part @ part.T
+    linked = DENOM * common >= NUMER * (size[:, None] + size[None, :] - common)
+    linked &= (side[:, None] != side[None, :]) | within[:, None]
+    a, b = np.nonzero(np.triu(linked, 1))
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (before == label).all():
+            break
+    moved = np.flatnonzero(label != np.arange(n))
+    return ids[label[moved]], ids[moved]

@@ -97,7 +97,7 @@ class Words:
     def windows(self, size):
         """Hash of the ``size`` words from each word on; windows that cross the end of a row are not meaningful."""
         h, out = self.hash, np.zeros(len(self.hash), np.uint64)
-        for k in range(size):
+        for k in range(min(size, len(h))):
             out[: len(h) - k] += h[k:] * np.uint64(pow(BASE, 3 * k + 1, 1 << 64))
         return mix(out)
 

@@ -44,7 +44,8 @@ def groups_by_brute_force(texts):
 def test_jaccard_groups(request, spark, frame, monkeypatch):
     if frame == "near":
         monkeypatch.setattr(jaccard, "HOT_IN_BATCH", 4)
-        monkeypatch.setattr(jaccard, "PIVOTS", 2)
+        monkeypatch.setattr(jaccard, "SMALL", 3)
+        monkeypatch.setattr(jaccard, "TILE", 8)
         rng = np.random.default_rng(5)
         base = [f"v{i}" for i in range(300)]
         rows = []
