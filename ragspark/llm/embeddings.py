@@ -3,8 +3,9 @@
 Unit vectors with cosine >= c are at most D^2 = 2 - 2c apart (squared). A random rotation spreads that distance over
 the coordinates; the rotated vectors are cut into blocks of about ``BLOCK`` dimensions, each with a budget in proportion to
 its dimensions. At least one block of a linked pair keeps its budget. Each block is joined by range: a vector is entered
-in every cell of a grid that comes within half the budget's radius, so both ends of such a pair are entered in the cell
-of their midpoint. Only there, and only in the first block that keeps its budget, is a pair verified, with the whole
+in every cell of a grid over the block's first ``GRID`` dimensions that comes within half the budget's radius, so both
+ends of such a pair are entered in the cell of their midpoint. A vector that has no other of its cell within the block's
+budget goes out there, before any whole vector is moved. Only in the midpoint's cell, and only in the first block that keeps its budget, is a pair verified, with the whole
 vectors in double precision, so that every pair counts once.
 
 Equal vectors are joined first. A cell's vectors are compared in tiles of bounded size by matrix products; a tile returns a
@@ -21,7 +22,11 @@ from ragspark.llm.shared import saved
 
 COSINE = 0.98
 BLOCK = 16
+#: Dimensions of a block that the grid divides: more of them for more vectors of a label.
+GRID = 12
 TILE = 1024
+#: Larger cells are not searched in one task; all their vectors go on to the tiles.
+CELL = 4096
 #: Larger groups than this are compared by matrix products, smaller ones row by row with their neighbours.
 SMALL = 12
 _EPS = 1e-9
@@ -99,17 +104,56 @@ def _rotate(batches):
 def _enter(batches):
     for b in batches:
         ids, labels = b.column("id"), b.column("label")
-        rows, keys = [], []
+        rows, keys, parts = [], [], []
         for at, y in _lists(b.column("turned"), np.float64):
             d = y.shape[1]
             for j, (lo, hi) in enumerate(blocks_of(d)):
                 for i, v in zip(at.tolist(), y[:, lo:hi]):
-                    h = cell_hash(j * 100_000 + d, near_cells(v, 2 / np.sqrt(d), budget(lo, hi, d) / 4 * (1 + _EPS)))
+                    h = cell_hash(j * 100_000 + d, near_cells(v[:GRID], 2 / np.sqrt(d), budget(lo, hi, d) / 4 * (1 + _EPS)))
                     keys.append(h)
                     rows.append(np.full(len(h), i))
+                    parts += [np.append(v, budget(lo, hi, d)).astype("<f4").tobytes()] * len(h)
         if rows:
             row, key = pa.array(np.concatenate(rows)), np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([ids.take(row), labels.take(row), pa.array(key.view(np.int64))], names=["id", "label", "cell"])
+            yield pa.RecordBatch.from_arrays([ids.take(row), labels.take(row), pa.array(key.view(np.int64)), pa.array(parts, pa.binary())], names=["id", "label", "cell", "part"])
+
+
+def _within(batches):
+    """Of (label, cell, id, part), sorted by label and cell: the rows that have another of their cell within the budget.
+
+    A cell that a batch breaks off is carried on to the next; it has at most CELL rows."""
+    held = None
+    for b in batches:
+        b = pa.Table.from_batches([b])
+        b = (pa.concat_tables([held, b]) if held is not None else b).combine_chunks()
+        key = np.stack([b.column(c).to_numpy() for c in ("label", "cell")])
+        edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        held = b.slice(int(edge[-1]))
+        yield from _near(b.slice(0, int(edge[-1])))
+    if held is not None:
+        yield from _near(held)
+
+
+def _near(t):
+    n = len(t)
+    if not n:
+        return
+    parts = t.column("part").to_pylist()
+    key = np.stack([t.column(c).to_numpy() for c in ("label", "cell")])
+    edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
+    keep = np.zeros(n, bool)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if len({len(p) for p in parts[lo:hi]}) > 1:  # vectors of other lengths never share a cell but by a hash
+            keep[lo:hi] = True
+            continue
+        x = np.frombuffer(b"".join(parts[lo:hi]), "<f4").reshape(hi - lo, -1).astype(np.float64)
+        x, most = x[:, :-1], float(x[0, -1]) + 1e-5
+        square = (x * x).sum(1)
+        for at in range(0, hi - lo, 512):
+            far = square[at : at + 512, None] + square - 2 * x[at : at + 512] @ x.T
+            keep[lo + at : lo + at + len(far)] = (far <= most).sum(1) > 1
+    t = t.select(["id", "label", "cell"]).filter(pa.array(keep))
+    yield from t.combine_chunks().to_batches()
 
 
 def _counted(cell, xa, xb, ya, yb):
@@ -120,7 +164,7 @@ def _counted(cell, xa, xb, ya, yb):
     for j, (lo, hi) in enumerate(blocks_of(d)):
         p, q = ya[open_, lo:hi], yb[open_, lo:hi]
         ok = ((p - q) ** 2).sum(1) <= budget(lo, hi, d)
-        here = cell_hash(j * 100_000 + d, np.floor((p[ok] + q[ok]) / 2 / (2 / np.sqrt(d)))) == cell[open_[ok]]
+        here = cell_hash(j * 100_000 + d, np.floor((p[ok] + q[ok])[:, :GRID] / 2 / (2 / np.sqrt(d)))) == cell[open_[ok]]
         out[open_[ok][here]] = True
         open_ = open_[~ok]
     return out
@@ -227,9 +271,14 @@ def near_duplicates(vectors, vec_id="vec_id", embedding="embedding", label="labe
         first.select(F.col("vec_id").alias("id"), "label", "many", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
             _rotate, "id long, label long, many long, embedding array<double>, turned array<double>"), "turned"
     )
-    cells = saved(turned.select("id", "label", "turned").mapInArrow(_enter, "id long, label long, cell long"), "cells")
-    shared = cells.groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / TILE).alias("parts"))
-    entered = cells.join(shared, ["label", "cell"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")))
+    cells = saved(turned.select("id", "label", "turned").mapInArrow(_enter, "id long, label long, cell long, part binary"), "cells")
+    counts = cells.groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    several = cells.join(counts, ["label", "cell"])
+    near = several.where(F.col("n") <= CELL).select("id", "label", "cell", "part").repartition("label", "cell").sortWithinPartitions("label", "cell")
+    near = near.mapInArrow(_within, "id long, label long, cell long").unionByName(several.where(F.col("n") > CELL).select("id", "label", "cell"))
+    near = saved(near, "near")
+    shared = near.groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / TILE).alias("parts"))
+    entered = near.join(shared, ["label", "cell"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiles = entered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "id", "label", "cell", "side", (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("tile"), F.expr("side = other").alias("within")
     )
