@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import grids, skew
+from ragspark.session import saved
 
 PARA = "array<struct<content:array<struct<text:string,objectID:string,breakType:string>>>>"
 CHART = "name:string,chartData:struct<title:string,chartType:string,csv:string,markdown:string>,csv:string,markdown:string"
@@ -36,7 +37,6 @@ WORD = (
     f"pageInfo:struct<pageNum:string>,para:{PARA},col:array<struct<colNum:string,para:{PARA}>>>>, frames array<{FRAME}>"
 )
 KINDS = ("sheets", "slide", "body", "pages")
-MAX_DEPTH = 4
 
 
 def doc_kind(json):
@@ -119,23 +119,27 @@ def joined(df, keys, order, text, sep, out):
     return df.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda s: s["t"]), sep).alias(out))
 
 
-def flatten_groups(items, shapes, item_type, max_depth=MAX_DEPTH):
-    """ARRAY of the leaf items of (nested) groups in depth-first order.
+def flatten_groups(rows, shapes, item_type):
+    """Leaf items of (nested) groups: rows (..., at, item) with ``at`` a text that orders them depth first.
 
-    A group inside ``max_depth`` others is an error, never dropped.
+    One level of groups is opened at a time until none is left, so any depth works and the plan stays small. What is
+    opened is stored, because the next level reads it.
     """
 
-    def leaves(item, depth):
-        inner = F.coalesce(shapes(item), F.array().cast("array<string>"))
-        if depth == 0:
-            opened = F.raise_error(F.lit(f"groups nested deeper than {max_depth}")).cast(f"array<{item_type}>")
-        else:
-            opened = F.flatten(
-                F.transform(F.transform(inner, lambda j: F.from_json(j, item_type)), lambda i: leaves(i, depth - 1))
-            )
-        return F.when(item["type"] == "group", opened).otherwise(F.array(item))
+    def place(n):
+        return F.lpad(n.cast("string"), 9, "0")
 
-    return F.flatten(F.transform(items, lambda i: leaves(i, max_depth)))
+    level = rows.withColumn("at", place(F.col("at")))
+    leaves = level.where(~F.col("item.type").eqNullSafe("group"))
+    while True:
+        inner = level.where("item.type = 'group'").select("*", F.posexplode(shapes(F.col("item"))).alias("_n", "_json"))
+        opened = F.from_json("_json", item_type).alias("item")
+        level = saved(
+            inner.select(*[c for c in rows.columns if c not in ("at", "item")], F.concat("at", F.lit("."), place(F.col("_n"))).alias("at"), opened).select(*rows.columns), "groups"
+        )
+        if level.isEmpty():
+            return leaves
+        leaves = leaves.unionByName(level.where(~F.col("item.type").eqNullSafe("group")))
 
 
 def table_cells(tables, keys, cells, frames=None):
@@ -237,12 +241,12 @@ def pdf_pages_md(docs):
     return d.select("doc_id", F.array_join(F.coalesce(parts, F.array(title)), "\n\n").alias("markdown"))
 
 
-def slides_md(docs, max_depth=MAX_DEPTH):
+def slides_md(docs):
     """Decks: title; per slide a marker, the note and the non-blank blocks of its (nested) items."""
     d = _parsed(docs, "slide", SLIDES)
     slide = d.select("doc_id", F.posexplode("d.slide").alias("slide", "s"))
-    flat = flatten_groups(F.col("s.contents"), lambda i: i["group"]["shapes"], ITEM, max_depth)
-    leaves = slide.select("doc_id", "slide", F.posexplode(flat).alias("at", "item"))
+    items = slide.select("doc_id", "slide", F.posexplode("s.contents").alias("at", "item"))
+    leaves = flatten_groups(items, lambda i: i["group"]["shapes"], ITEM)
     key = ["doc_id", "slide", "at"]
     cells = F.when(F.col("item.type") == "table", F.col("item.table.cells"))
     tabled = with_tables(leaves, key, cells)
@@ -276,20 +280,21 @@ def slides_md(docs, max_depth=MAX_DEPTH):
     )
 
 
-def frame_texts(documents, depth=2, max_depth=MAX_DEPTH):
-    """One map of frame number to text per document, frames inside frames resolved ``depth`` times.
+def frame_texts(documents):
+    """One map of frame number to text per document, frames inside frames resolved until nothing changes.
 
-    ``documents(doc_id, frames)``. Only whole-number ids count and the last frame of an id wins.
+    ``documents(doc_id, frames)``. Only whole-number ids count and the last frame of an id wins. A chain of references
+    cannot be longer than a document has frames; one that goes in a circle is cut there.
     """
     frames = documents.select("doc_id", F.posexplode("frames").alias("at", "item")).withColumn(
         "frame_id", F.col("item.ID").try_cast("int")
     ).where("frame_id IS NOT NULL")
-    last = skew.latest(frames, ["doc_id", "frame_id"], F.desc("at"))
-    flat = flatten_groups(F.array("item"), lambda i: i["shapes"], FRAME, max_depth)
-    leaves = last.select("doc_id", "frame_id", F.posexplode(flat).alias("part", "item"))
+    last = skew.latest(frames, ["doc_id", "frame_id"], F.desc("at")).select("doc_id", "frame_id", "at", "item")
+    leaves = saved(flatten_groups(last, lambda i: i["shapes"], FRAME).withColumnRenamed("at", "part"), "frames")
+    most = leaves.groupBy("doc_id").agg(F.countDistinct("frame_id").alias("n")).agg(F.max("n")).first()[0] or 0
     key = ["doc_id", "frame_id", "part"]
-    known = None
-    for _ in range(depth):
+    known, mark = None, None
+    for _ in range(most + 1):
         here = leaves.withColumn("_known", _no_frames()) if known is None else leaves.join(known, "doc_id", "left")
         kind = F.col("item.type")
         tabled = with_tables(here, key, F.when(kind == "table", F.col("item.cells")), "_known")
@@ -300,17 +305,22 @@ def frame_texts(documents, depth=2, max_depth=MAX_DEPTH):
             .when(kind == "equation", equation_text(F.col("item.rawMath")))
         )
         texts = tabled.select(*key, text.alias("text")).where(F.length("text") > 0)
-        whole = joined(texts, ["doc_id", "frame_id"], "part", "text", "\n\n", "text")
+        whole = saved(joined(texts, ["doc_id", "frame_id"], "part", "text", "\n\n", "text"), "frame-texts")
         known = whole.groupBy("doc_id").agg(
             F.map_from_entries(F.collect_list(F.struct("frame_id", "text"))).alias("_known")
         )
+        before, mark = mark, whole.agg(F.sum(F.xxhash64("doc_id", "frame_id", "text").cast("decimal(38,0)"))).first()[0]
+        if before == mark:
+            break
+    if known is None:
+        return documents.select("doc_id", _no_frames().alias("frame_texts")).where("false")
     return known.withColumnRenamed("_known", "frame_texts")
 
 
-def word_body_md(docs, depth=2):
+def word_body_md(docs):
     """Word-processor documents: title, page markers, paragraphs with their frames, labelled columns."""
     d = _parsed(docs, "body", WORD)
-    known = frame_texts(d.select("doc_id", F.col("d.frames").alias("frames")), depth)
+    known = frame_texts(d.select("doc_id", F.col("d.frames").alias("frames")))
     whole = d.join(known, "doc_id", "left").withColumn("frame_texts", F.coalesce("frame_texts", _no_frames()))
     frames = F.col("frame_texts")
     none = F.array().cast("array<string>")

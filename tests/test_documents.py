@@ -1,7 +1,6 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from ragspark.operators import docjson, grids
@@ -71,8 +70,11 @@ def test_slides_with_nested_groups(spark):
     ]
     deep = {"slide": [{"contents": [group(group(group(shape("x"))))]}]}
     assert markdown(docjson.slides_md(frame(spark, deep)))[0].endswith("x")
-    with pytest.raises(Exception, match="nested deeper"):
-        docjson.slides_md(frame(spark, deep), max_depth=2).collect()
+    item = shape("deepest")
+    for _ in range(10):
+        item = group(item)
+    both = markdown(docjson.slides_md(frame(spark, {"slide": [{"contents": [shape("first"), item, shape("last")]}]}, deep)))
+    assert any("first\n\ndeepest\n\nlast" in m for m in both) and any(m.endswith("x") for m in both)
 
 
 def test_word_with_frames(spark):
@@ -106,6 +108,14 @@ def test_word_with_frames(spark):
     ]
 
 
+def test_frames_inside_frames(spark):
+    chain = [{"ID": k, "type": "shape", "para": [para(f"f{k} ", {"objectID": k + 1})]} for k in range(1, 5)]
+    doc = {"docName": "d", "frames": [*chain, {"ID": 5, "type": "shape", "para": [para("end")]}], "body": [{"para": [para({"objectID": 1})]}]}
+    circle = {"docName": "c", "frames": [{"ID": 1, "type": "shape", "para": [para("p ", {"objectID": 2})]}, {"ID": 2, "type": "shape", "para": [para("q ", {"objectID": 1})]}], "body": [{"para": [para({"objectID": 1})]}]}
+    got = markdown(docjson.word_body_md(frame(spark, doc, circle)))
+    assert all(f"f{k}" in got[0] for k in range(1, 5)) and "end" in got[0] and "p" in got[1]
+
+
 def test_pdf_and_kinds(spark):
     pdf = {"pages": [{"pageNum": 1, "contents": [{"type": "text", "content": {"text": "t"}}, {"type": "text", "content": {"text": ""}}, {"type": "image", "content": {}}]}]}
     both = {"sheets": [], "pages": []}
