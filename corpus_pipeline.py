@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ragspark.llm import jaccard, packing, perplexity, toxicity
-from ragspark.llm.shared import narrow_join, saved, table
+from ragspark.llm.shared import narrow_join, saved, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,12 +26,14 @@ def drop_low_quality(spark, docs, sf_dir):
 
 def drop_near_copies(spark, docs, sf_dir):
     """Of each group of linked documents the one with the smallest id; rows without an id stay."""
+    small_batches(spark)
     groups = saved(jaccard.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return narrow_join(docs, groups, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark, docs, sf_dir):
     """All pieces of the documents that are left, each with its sequence and offset."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", F.col("text")), public_tokenizers.path(TOKENIZER))
 
 

@@ -160,6 +160,8 @@ def _met(batches):
     for k in range(0, len(key), 1 << 17):
         s = slice(k, k + (1 << 17))
         yield out(i[s], key[s], n[s], often[s])
+    del i, n, key, often
+    pa.default_memory_pool().release_unused()
 
 
 def _verify(batches):

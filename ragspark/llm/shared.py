@@ -9,7 +9,19 @@ from ragspark.session import saved
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows that go to Python at once: whole texts, so fewer than Spark's default.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark):
+    """Let Spark hand at most BATCH_ROWS rows to Python at once, in this session."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def table(spark, folder, name):
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -46,4 +58,4 @@ def batch_of(schema, *columns):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-__all__ = ["BROADCAST_ROWS", "batch_of", "crc_mod", "fits", "mapped", "narrow_join", "saved", "table", "tasks_for"]
+__all__ = ["BROADCAST_ROWS", "small_batches", "batch_of", "crc_mod", "fits", "mapped", "narrow_join", "saved", "table", "tasks_for"]

@@ -14,7 +14,7 @@ from ragspark.llm import words as T
 from ragspark.llm.hashing import HashTable
 
 #: A worker forgets its units when it has so many.
-MAX_UNITS = 2_000_000
+MAX_UNITS = 500_000
 
 _BYTE = np.arange(256)
 _SPACE = (_BYTE == 32) | (_BYTE == 10)

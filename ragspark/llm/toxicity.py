@@ -124,7 +124,7 @@ def _counts(batches):
     schema = pa.schema([("h", pa.int64()), ("n1", pa.int64()), ("n0", pa.int64())])
     for batch in batches:
         y = batch.column("y").to_numpy(zero_copy_only=False)
-        for first, data, offsets in T.slices(batch.column("text"), 8 << 20):
+        for first, data, offsets in T.slices(batch.column("text"), 4 << 20):
             w = T.Words(data, offsets, gap=T.NOT_LETTER)
             row = w.row_of_word()
             both, row = np.concatenate(_hashes(w)), np.concatenate((row, row))

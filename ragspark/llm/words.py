@@ -8,7 +8,7 @@ with a few passes over its bytes and no Python loop.
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_011)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
