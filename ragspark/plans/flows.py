@@ -12,11 +12,13 @@ from ragspark.sources import files
 D = S.DEFAULTS
 
 
-def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True):
+def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True,
+           with_vectors=False, encoder=None):
     """Documents (invoke_id, source, markdown, ...) to chunk rows ready for the store.
 
     Without a model the keywords are the chunk's best tf-idf terms. They read the chunks more than once, so the
-    chunks are stored first.
+    chunks are stored first. ``with_vectors`` adds the chunks' token vectors, so that they are encoded once, here, and not
+    by every search.
     """
     row = F.monotonically_increasing_id().alias("_row")  # stored with the chunks; a source may come twice
     pages = chunking.split_pages(docs.select("*", row) if with_keywords else docs)
@@ -26,6 +28,8 @@ def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_ke
     else:
         chunks = chunks.withColumn("keywords", F.lit(""))
     made = chunking.identify_chunks(chunks, "keywords")
+    if with_vectors:
+        made = inference.encode(made, "content", "vectors", False, encoder)
     return made.withColumn("written_at", written_at)
 
 
@@ -38,13 +42,15 @@ def search(queries, chunks, stored, k=None, min_score=D.min_score, file=None):
 def search_text(questions, chunks, k=None, min_score=D.min_score, file=None, encoder=None):
     """``search`` from text: questions (invoke_id, query_id, question) and stored chunks (id, content, source, page).
 
-    Vectors of a model are stored before they are used.
+    Chunks that were ingested with their vectors are searched by these; only the questions are encoded. Others are encoded
+    here, and vectors of a model are stored before they are used.
     """
     stored = chunks.withColumn("doc_id", F.col("id"))
     q = saved(inference.encode(questions, "question", "q_vectors", True, encoder), "queries")
-    c = inference.encode(stored, "content", "vectors", False, encoder)
-    if encoder is not None:
-        c = saved(c, "vectors")
+    c = stored
+    if "vectors" not in chunks.columns:
+        c = inference.encode(stored, "content", "vectors", False, encoder)
+        c = c if encoder is None else saved(c, "vectors")
     return search(q, c, stored, k, min_score, file)
 
 

@@ -102,3 +102,17 @@ def test_infer_pads_and_batches(spark):
 
     got = [r["o"] for r in inference.infer(df, "i", "o", factory, "string", 4, empty="pad").collect()]
     assert got == ["0/4", "1/4", "2/4", "pad", "4/4", "5/4", "6/4", "pad", "8/2", "pad"]
+
+
+def test_vectors_are_stored_once_and_searched(spark, tmp_path):
+    docs = spark.createDataFrame([("007", "f", "apples and pears"), ("007", "g", "trains and rails"), ("7", "h", "pears")], "invoke_id string, source string, markdown string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    made = flows.ingest(docs, at, with_vectors=True)
+    kept = made.select("invoke_id", "id", "content", "source", "page", "vectors", "written_at")
+    store.append_batch(kept, str(tmp_path / "chunks"), 0)
+    stored = store.load_rows(spark, str(tmp_path / "chunks"))
+    asked = spark.createDataFrame([("007", "1", "pears"), ("007", "2", "rails")], "invoke_id string, query_id string, question string")
+    got = flows.search_text(asked, stored, k=1)
+    want = flows.search_text(asked, stored.drop("vectors"), k=1)
+    assert got.count() == 2 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.orderBy("query_id").first()["refs"][0]["source"] == "f"
