@@ -86,7 +86,7 @@ class Transducer:
         n, merge = len(text), self.kind == MERGE
         weight, back = [None] * (n + 1), [None] * (n + 1)
         weight[0], back[0] = 0.0, ""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         for i in range(n):
             if weight[i] is None:
