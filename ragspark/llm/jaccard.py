@@ -9,7 +9,9 @@ least K - d(x) blocks of such a pair are equal, in the bands of sizes that both
 Of its K blocks a document emits only some. Under any total order of block values that all documents share, a document
 may leave out its first K - d(x) - 1 blocks: the last of the blocks that a pair has in common stays in both. Two orders are
 used one after the other: blocks of few shingles go first (they tell little), then, among what is emitted, values that
-many documents have (``slack`` of them). A document left without any block has no partner; so texts that merely
+many documents have. How many of these may go is derived from the band (``spare``), so that both ends of a pair agree on
+it: d(x) + 1 + spare blocks are emitted, so at least spare + 1 are in common, and neither end drops more than spare of them
+(a document in two bands drops the lower one's number). A document left without any block has no partner; so texts that merely
 share some passages go out here. What still meets on a block value is verified with the exact sets.
 
 Groups that meet are not expanded into pairs. First every member is verified against its group's first, and what is linked
@@ -44,6 +46,7 @@ KEYS_PER_TASK = 1_000_000
 PAIRS = 256
 
 _ROW = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("kind", pa.int8())])
+#: In both, n is the size of the document's set where the row tells sizes, else the number of keys that it drops.
 _MET = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("often", pa.int32())])
 NORMAL, HOT, MARKER, SIZE = 0, 1, 2, 3
 
@@ -53,8 +56,9 @@ def differing(n):
     return n * (DENOM - NUMER) // NUMER
 
 
-def slack(n):
-    return n // 16 + 1
+def spare(band):
+    """Shared keys that a document may drop of those that it emits in a band, the same for all sizes in it."""
+    return 3 * (1 << band) // 32 + 1
 
 
 def blocks_in(band):
@@ -69,6 +73,11 @@ def bands_of(n):
     return (t, t - 1) if t and NUMER * n <= DENOM * below else (t,)
 
 
+def slack(n):
+    """Keys that a set of n drops: no more than the spare ones of any of its bands."""
+    return spare(bands_of(n)[-1])
+
+
 def sketch(found, blocks):
     """Blocks of the parity sketch of a set of hashes, and how many of them each holds."""
     at = (((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
@@ -85,7 +94,7 @@ def block_keys(found):
         value, held = sketch(found, blocks)
         place = T.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((band + 1) << 40))
         key = T.mix(value ^ place)
-        keep = min(blocks, differing(n) + 1 + slack(n))
+        keep = min(blocks, differing(n) + 1 + spare(band))
         if keep < blocks:
             order = ((np.uint64(64) - np.minimum(held, np.uint64(64))) << np.uint64(57)) | (key >> np.uint64(7))
             key = key[np.argpartition(order, keep - 1)[:keep]]
@@ -98,12 +107,12 @@ def _emit(batch):
     for first, data, offsets in T.slices(batch.column(1)):
         w = T.Words(data, offsets)
         windows = w.windows(SHINGLE)
-        keys, owner, sizes = [], [], np.zeros(len(offsets) - 1, np.int32)
+        keys, owner, sizes, drops = [], [], np.zeros(len(offsets) - 1, np.int32), np.zeros(len(offsets) - 1, np.int32)
         for r in range(len(offsets) - 1):
             found = T.shingles(w, r, windows, SHINGLE)
             sizes[r] = len(found)
             if len(found):
-                own = block_keys(found)
+                own, drops[r] = block_keys(found), slack(len(found))
                 keys += own
                 owner.append(np.full(sum(map(len, own)), r, np.int64))
         rows = np.arange(len(sizes))
@@ -113,10 +122,10 @@ def _emit(batch):
         key, owner = np.concatenate(keys), np.concatenate(owner)
         values, back, count = np.unique(key, return_inverse=True, return_counts=True)
         hot = count[back] >= HOT_IN_BATCH
-        yield _rows(key[~hot], key[~hot], ids[first + owner[~hot]], sizes[owner[~hot]], NORMAL)
+        yield _rows(key[~hot], key[~hot], ids[first + owner[~hot]], drops[owner[~hot]], NORMAL)
         if hot.any():
             o = owner[hot]
-            yield _rows(T.mix(ids[first + o].astype(np.uint64)), key[hot], ids[first + o], sizes[o], HOT)
+            yield _rows(T.mix(ids[first + o].astype(np.uint64)), key[hot], ids[first + o], drops[o], HOT)
             marked = values[count >= HOT_IN_BATCH]
             yield _rows(marked, marked, np.zeros(len(marked), np.int64), np.zeros(len(marked), np.int32), MARKER)
 
@@ -219,7 +228,7 @@ def jaccard_groups(docs, doc_id="doc_id", text="text"):
     # leave out, per document, the values that most documents have
     ranked = met.where("often > 0").join(first.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
     w = W.partitionBy("id").orderBy(F.desc("often"), F.desc("key"))
-    groups = ranked.withColumn("rank", F.row_number().over(w)).where("rank > div(n, 16) + 1")
+    groups = ranked.withColumn("rank", F.row_number().over(w)).where("rank > n")
     groups = saved(_shared(groups.select("key", "id")), "groups")
     links = saved(verified(saved(_to_first(groups), "pairs"), docs), "links")
     joined = saved(components(links), "joined")

@@ -77,6 +77,25 @@ def test_blocks_of_similar_sets_meet():
             assert len(shared) > min(jaccard.slack(len(a)), jaccard.slack(len(b)))
 
 
+def test_both_ends_drop_fewer_keys_than_they_share():
+    rng = np.random.default_rng(3)
+    for n in range(1, 700):
+        b = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        a = np.unique(np.append(b, rng.integers(0, 1 << 63, jaccard.differing(n), dtype=np.uint64)))
+        shared = {k for own in jaccard.block_keys(a) for k in own.tolist()} & {k for own in jaccard.block_keys(b) for k in own.tolist()}
+        assert len(shared) > max(jaccard.slack(len(a)), jaccard.slack(len(b)))
+
+
+def test_jaccard_of_pairs_of_different_sizes(spark):
+    sizes = [(n, more) for n in range(13, 37) for more in range(1, jaccard.differing(n) + 1)] + 200 * [(15, 3)]
+    rows = []
+    for k, (n, more) in enumerate(sizes):
+        own = [f"p{k}.{i}" for i in range(n + 4 + more)]
+        rows += [(2 * k, " ".join(own[: n + 4])), (2 * k + 1, " ".join(own))]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups_by_brute_force(dict(rows))
+
+
 def test_segments_are_the_maximal_ones():
     rng = np.random.default_rng(2)
 
