@@ -107,13 +107,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-(self.offset + self.slope * np.asarray(x))))
 
 
-def labelled_sample(labels, column, keep=None):
-    """(doc_id, y) of rows with a label 0 or 1, at most about MAX_LABELLED, chosen by a hash of the id.
-
-    Rows of one document count once, as 1 if any of them does."""
+def labelled(labels, column, keep=None):
+    """(doc_id, y) of all rows with a label 0 or 1; rows of one document count once, as 1 if any of them does."""
     rows = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows if keep is None else rows.where(keep)
-    rows = rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    return rows.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+
+
+def labelled_sample(labels, column, keep=None):
+    """The rows of ``labelled``, at most about MAX_LABELLED, chosen by a hash of the id."""
+    rows = labelled(labels, column, keep)
     n = rows.count()
     if n > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))

@@ -164,6 +164,22 @@ def test_quality_keeps_clean_text_and_drops_noise(spark):
     assert len(noise) > 100 and noise.kept.mean() < 0.02
 
 
+def test_thresholds_use_every_unseen_trusted_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 400)
+    rng = np.random.default_rng(6)
+    texts = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(200)] for lang, letters in (("aa", "abcdefgh"), ("zz", "stuvwxyz"))}
+    rows = [(d, " ".join(rng.choice(texts[lang], 40)), lang) for d in range(4_000) for lang in ("zz" if d % 20 == 0 else "aa",)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = perplexity.classifier(frame, frame.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert {("aa", 8), ("aa", None), ("zz", 8), ("zz", None)} <= set(own.limits)
+
+
+def test_language_comes_before_the_band_of_all():
+    limits = perplexity._Limits({("zz", None): (5.0, 6.0), (None, 8): (1.0, 2.0), (None, None): (0.0, 9.0)})
+    kept = perplexity.Classifier.kept(limits, np.array([5.5, 1.5, 1.5]), np.array([300, 300, 300]), ["zz", "zz", "aa"])
+    assert kept.tolist() == [True, False, True]
+
+
 def test_quality_of_odd_rows(odd, none, labels, docs):
     own = perplexity.classifier(docs, labels)
     out = perplexity.quality(odd, own)
