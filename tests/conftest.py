@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from ragspark.session import local_session  # noqa: E402
 
@@ -14,9 +15,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def plan(df):
-    """Executed (final) plan text; the query must have run on this very DataFrame."""
-    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
-    return df._jdf.queryExecution().explainString(mode).split("== Initial Plan ==")[0]

@@ -1,7 +1,7 @@
 import json
 import random
 
-from conftest import plan
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from ragspark.operators import graph as G

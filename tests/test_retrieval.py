@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import plan
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from ragspark.operators import inference, retrieval as R
