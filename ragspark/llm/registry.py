@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragspark.llm import embeddings, html, jaccard, lm, mixing, packing, perplexity, rules, sentences, tokenfile, toxicity
+from ragspark.llm import embeddings, html, jaccard, lm, mixing, packing, perplexity, repair, rules, sentences, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
@@ -60,6 +60,10 @@ def op11_source_mixing(spark, folder):
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark, folder):
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
@@ -72,11 +76,12 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_source_mixing": op11_source_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The others have no SQL; tests/llm compares them with brute force, round trips and held-out labels.
-ORACLE = {"op11_source_mixing": mixing.SQL}
+ORACLE = {"op11_source_mixing": mixing.SQL, "op12_conversation_repair": repair.SQL}
 
 
 def queries():
