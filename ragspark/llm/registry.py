@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ragspark.llm import embeddings, html, jaccard, lm, mixing, packing, perplexity, repair, rules, sentences, tokenfile, toxicity
+from ragspark.llm import audit, embeddings, html, jaccard, lm, mixing, packing, perplexity, repair, rules, sentences, tokenfile, toxicity
 from ragspark.llm.shared import crc_mod, table
 
 
@@ -64,6 +64,10 @@ def op12_conversation_repair(spark, folder):
     return repair.repair(repair.damaged(table(spark, folder, "conversations")))
 
 
+def op13_source_divergence(spark, folder):
+    return audit.divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,11 +81,12 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_source_mixing": op11_source_mixing,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The others have no SQL; tests/llm compares them with brute force, round trips and held-out labels.
-ORACLE = {"op11_source_mixing": mixing.SQL, "op12_conversation_repair": repair.SQL}
+ORACLE = {"op11_source_mixing": mixing.SQL, "op12_conversation_repair": repair.SQL, "op13_source_divergence": audit.SQL}
 
 
 def queries():
