@@ -6,10 +6,12 @@ allocated to sources, then within a source to shards of ``SHARD`` blocks, by the
 A source's documents stand in seeded order, one after another, so that a block is a run of words; in a shard of n blocks
 with quota q each block is taken q div n times, and q mod n blocks, evenly spaced from a seeded start, once more.
 
-Every order is cut into parts by range, ranked inside the part and moved on by the sums of the parts before, so that
+Every order is cut into parts, ranked inside the part and moved on by the sums of the parts before, so that
 neither a hot source nor a long list of sources is ranked in one task.
 """
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ BLOCK = 16
 SHARD = 1024
 SEED = 11
 ROWS_PER_PART = 500_000
+ROWS_PER_DIGITS = 2_000
 
 
 def n_words(text="text"):
@@ -35,16 +38,18 @@ def seeded(*parts):
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), *texts).cast("binary"))
 
 
-def in_order(df, group, order, sums=()):
+def in_order(df, group, order, sums=(), part=None):
     """Adds ``place``, a row's number from 1 in its group by ``order``, and ``before_<c>``, the sum of c over earlier rows.
 
-    Rows are dealt by range of (group, order), ranked within a part; a table of one row per part and group carries the
-    sums on. ``df`` is read twice: it should be stored.
+    Rows are ranked within a part; a table of one row per part and group carries the sums on. ``part`` is a column that
+    never falls along the order; without one, rows are dealt by range. ``df`` is read twice: it should be stored.
     """
-    spark = df.sparkSession
-    parts = tasks_for(spark, df.count(), ROWS_PER_PART)
-    keys = [F.col(c) for c in group] + list(order)
-    cut = saved(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    if part is not None:
+        cut = df.withColumn("_part", part)
+    else:
+        parts = tasks_for(df.sparkSession, df.count(), ROWS_PER_PART)
+        keys = [F.col(c) for c in group] + list(order)
+        cut = saved(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ordered")
     inside = W.partitionBy("_part", *group).orderBy(*order)
     rows = cut.withColumn("_in", F.row_number().over(inside))
     for c in sums:
@@ -144,7 +149,10 @@ def mixed(docs, doc_id="doc_id", text="text", source="source"):
     start = F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.col("blocks"))
     given = saved(given.select(*group, "shard", "blocks", "quota", start.alias("start")), "quotas")
 
-    laid = in_order(saved(sized.where("size > 0").withColumn("_h", seeded("doc_id")), "seeded"), group, [F.col("_h"), F.col("doc_id"), F.col("size")], ("size",))
+    with_words = saved(sized.where("size > 0").withColumn("_h", seeded("doc_id")), "seeded")
+    # the first digits of the seeded order cut every source into parts of about ROWS_PER_DIGITS rows at most
+    digits = math.ceil(math.log(max(2.0, with_words.count() / ROWS_PER_DIGITS), 16))
+    laid = in_order(with_words, group, [F.col("_h"), F.col("doc_id"), F.col("size")], ("size",), F.substring("_h", 1, digits))
     first, last = F.col("before_size"), F.col("before_size") + F.col("size")
     span = SHARD * BLOCK
     pieces = laid.withColumn("_row", F.col("place")).withColumn("shard", F.explode(F.sequence(F.floor(first / span), F.floor((last - 1) / span))))

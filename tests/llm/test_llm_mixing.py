@@ -25,6 +25,7 @@ def highest_quotients(votes, most, seats):
 @pytest.mark.parametrize("frame", ["docs", "odd", "none", "sources"])
 def test_mix_equals_sql(request, spark, frame, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_PART", 20)
+    monkeypatch.setattr(mixing, "ROWS_PER_DIGITS", 30)
     if frame == "sources":
         rows = [(d, "w " * (d * 7 % 300), ["a", "b", None, "", "é", "zz"][min(d % 11, 5)]) for d in range(400)] + [(900, "w " * 40_000, "a"), (901, "w " * 17_000, "zz")]
         rows = spark.createDataFrame(rows, "doc_id long, text string, source string")
