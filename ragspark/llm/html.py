@@ -4,10 +4,11 @@ A page is cut at block-level tags into leaf blocks of text, each with its ancest
 attributes, and figures of its text. The field has two labels, weights of features and of transitions, is trained on
 labelled pages by the gradient of the log-likelihood (forward-backward over all pages at once) and decoded by Viterbi.
 
-Labelled pages are of two kinds. Pages of the table itself, at most about ``MAX_PAGES``: a block that is a line of few
-documents of the corpus is taken for main text, a heading goes with what follows it, and blocks with the same ancestors
-then take the label that most of them have. And pages generated from the templates
-below, whose labels are known, for structures that the table may not show.
+Labelled pages are of two kinds. Pages of the table itself: such a page shows a document of the corpus, the one with which it
+shares most characters in whole lines, if these are half of the document at least; the lines of that document are main
+text, a heading goes with what follows it, and blocks with the same ancestors then take the label that most of them have. And pages generated
+from the templates below, whose labels are known, for structures that the table may not show. Only fitting is bounded: by
+MAX_PAGES pages of at most MAX_CHARS characters and MAX_BLOCKS blocks. Neither labels nor results depend on the size of the corpus.
 """
 
 import html as entities
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.shared import saved
 
-MAX_PAGES = 300
-#: A line that more documents hold is a notice rather than a text.
-MOST_DOCUMENTS = 20
+MAX_PAGES, MAX_CHARS, MAX_BLOCKS = 300, 200_000, 500
+#: A line on more than this share of the labelled pages does not tell which document a page shows.
+COMMON = 0.1
 STEPS, RATE, RIDGE = 150, 0.15, 1e-4
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -33,17 +34,93 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose start ends an open tag of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Block tags that a start tag may look past when it closes an open one of its group.
+PASSED = {"p", "li", "dd", "dt", "td", "th", "tr", "option"}
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe)\b", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_END = re.compile("[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 
 
+class Path:
+    """An open element: its tag, the words of its names, the element around it, the nearest block, and what no element
+    around it has yet of the features of ancestors. Iterates as (tag, names), outermost first."""
+
+    __slots__ = ("tag", "names", "above", "block", "fresh", "sums")
+
+    def __init__(self, tag, names, above, fresh):
+        self.tag, self.names, self.above, self.fresh, self.sums = tag, names, above, fresh, None
+        self.block = self if tag in BLOCKS else above.block if above else None
+
+    def chain(self):
+        at = self
+        while at is not None:
+            yield at
+            at = at.above
+
+    def __iter__(self):
+        return iter([(p.tag, p.names) for p in self.chain()][::-1])
+
+
+def _tags(page):
+    """(start, end, closing, tag, attributes) of all tags in page order; tag is '' for what only hides text.
+
+    A quote hides '>' up to its partner. Where a tag then finds no end, quotes hide nothing from there on. Linear in the page.
+    """
+    at, quotes, last = 0, True, page.rfind(">")
+    closers = {}
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+            at = end
+            continue
+        if at > last:
+            return
+        hidden = _HIDDEN.match(page, at)
+        if hidden:
+            open_end = page.find(">", hidden.end())
+            name = hidden.group(1).lower()
+            close = closers.setdefault(name, re.compile(rf"</{name}\s*>", re.I)).search(page, open_end + 1)
+            end = close.end() if close else len(page)
+            yield at, end, False, "", ""
+            at = end
+            continue
+        named = _NAME.match(page, at)
+        if not named:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at) + 1
+                yield at, end, False, "", ""
+                at = end
+            else:
+                at += 1
+            continue
+        pos, end = named.end(), -1
+        while quotes:
+            m = _END.search(page, pos)
+            if not m:
+                quotes = False
+            elif m.group() == ">":
+                end = m.end()
+                break
+            else:
+                pos = page.find(m.group(), m.end()) + 1
+                quotes = pos > 0
+        if end < 0:
+            end = page.find(">", named.end()) + 1
+        yield at, end, bool(named.group(1)), named.group(2).lower(), page[named.end() : end - 1]
+        at = end
+
+
 def leaf_blocks(page):
-    """(text, ancestors outermost first as (tag, names), characters inside links) of every block with text, in page order."""
-    out, stack, parts, linked, depth_of_link, base = [], [], [], 0, 0, ()
+    """(text, ancestors as a Path or (), characters inside links) of every block with text, in page order."""
+    out, top, parts, linked, base = [], None, [], 0, ()
+    open_, active = {}, {}
 
     def flush():
         nonlocal parts, linked
@@ -57,49 +134,55 @@ def leaf_blocks(page):
         if not raw or (not parts and raw.isspace()):
             return
         if not parts:
-            base = tuple(stack)
+            base = top or ()
         raw = entities.unescape(raw) if "&" in raw else raw
         parts.append(raw)
-        if depth_of_link:
+        if open_.get("a"):
             linked += len(raw.strip())
 
+    def close(until):
+        """Ends open elements up to and with ``until``."""
+        nonlocal top
+        while True:
+            ended, top = top, top.above
+            open_[ended.tag] -= 1
+            for f in ended.fresh:
+                del active[f]
+            if ended is until:
+                return
+
     at = 0
-    for m in _TAG.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
+    for start, end, closing, tag, raw in _tags(page):
+        take(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             if parts:
                 parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-        if m.group(2):
-            names = [t for t, _ in stack]
-            if tag in names:
-                k = len(names) - 1 - names[::-1].index(tag)
-                depth_of_link -= names[k:].count("a")
-                del stack[k:]
+        if closing:
+            if open_.get(tag):
+                close(next(p for p in top.chain() if p.tag == tag))
             continue
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                depth_of_link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
+        near = top.block if top and ends else None
+        while near is not None:
+            if near.tag in ends:
+                close(near)
                 break
-            if stack[k][0] in BLOCKS and stack[k][0] not in ("p", "li", "dd", "dt", "td", "th", "tr", "option"):
+            if near.tag not in PASSED:
                 break
+            near = near.above.block if near.above else None
         if tag in VOID:
             continue
-        raw = m.group(4)
-        names = ()
-        if raw and ("=" in raw):
-            names = tuple(sorted({w for v in _NAMES.findall(raw) for w in _WORD.findall("".join(v).lower())}))
-        stack.append((tag, names))
-        depth_of_link += tag == "a"
+        names = tuple(sorted({w for v in _NAMES.findall(raw) for w in _WORD.findall("".join(v).lower())})) if "=" in raw else ()
+        fresh = [f for f in (f"in:{tag}", *(f"name:{w}" for w in names)) if f not in active]
+        active.update(dict.fromkeys(fresh))
+        top = Path(tag, names, top, tuple(dict.fromkeys(fresh)))
+        open_[tag] = open_.get(tag, 0) + 1
     take(page[at:])
     flush()
     return out
@@ -109,8 +192,8 @@ def _step(x, edges):
     return sum(x >= e for e in edges)
 
 
-def features(blocks):
-    """Names of the features of every block of a page."""
+def _own_features(blocks):
+    """Names of the features of every block of a page, without those of its ancestors."""
     n, out = len(blocks), []
     for k, (text, path, linked) in enumerate(blocks):
         words = text.count(" ") + 1
@@ -122,15 +205,18 @@ def features(blocks):
             own.add("sentence")
         if "©" in text or "|" in text or "·" in text:
             own.add("sign")
-        for tag, names in path:
-            own.add(f"in:{tag}")
-            own.update(f"name:{w}" for w in names)
         if path:
-            own.add(f"leaf:{next((t for t, _ in reversed(path) if t in BLOCKS), '')}")
+            own.add(f"leaf:{path.block.tag if path.block else ''}")
         out.append(own)
     return out
 
 
+def features(blocks):
+    """Names of the features of every block of a page."""
+    own = _own_features(blocks)
+    return [f.union(*(p.fresh for p in path.chain())) if path else f for f, (_, path, _) in zip(own, blocks)]
+
+
 class Field:
     """Feature weights [feature, label], transition weights [label, label] and start weights [label]."""
 
@@ -139,11 +225,25 @@ class Field:
 
     def emissions(self, blocks):
         e = np.zeros((len(blocks), 2))
-        for k, own in enumerate(features(blocks)):
-            at = [self.index[f] for f in own if f in self.index]
-            e[k] = self.weight[at].sum(0)
+        for k, own in enumerate(_own_features(blocks)):
+            e[k] = self._sum(own) + self._ancestors(blocks[k][1])
         return e
 
+    def _sum(self, names):
+        return self.weight[[self.index[f] for f in names if f in self.index]].sum(0)
+
+    def _ancestors(self, path):
+        """Weights of all features of the ancestors; each element adds its own to those of the one around it, once."""
+        new = []
+        at = path or None
+        while at is not None and at.sums is None:
+            new.append(at)
+            at = at.above
+        total = at.sums if at is not None else np.zeros(2)
+        for at in reversed(new):
+            total = at.sums = total + self._sum(at.fresh) if at.fresh else total
+        return total
+
     def decode(self, blocks):
         """The labels of the best path, by Viterbi."""
         if not blocks:
@@ -226,6 +326,7 @@ TEMPLATES = (
     "<body><div class='advert promo'>{p}</div><div class=breadcrumb><a href=x>{s}</a> | <a href=x>{s}</a></div><div role=main><h1>¤{s}</h1><div>¤{p}</div><div>¤{p}</div></div><div class=newsletter><p>{p}</p></div><div class='share social'><a href=x>{s}</a></div><div role=contentinfo>{p}</div></body>",
     "<body><div class=notice role=alert>{p}</div><main><h1>¤{s}</h1><p>¤{p}</p><h2>¤{s}</h2><p>¤{p}</p><pre>¤{p}</pre></main><div id=disqus class=reader><ol><li><p>{p}</p><li><p>{p}</p></ol></div><footer>{s}</footer></body>",
     "<body><p>{s}</p><article><p>¤{p}</p></article><footer>&copy; {s} &middot; {p}</footer></body>",
+    "<article><p>¤{p}</p></article>",
 )
 PER_TEMPLATE = 20
 
@@ -250,41 +351,66 @@ def template_pages():
     return out
 
 
-def table_pages(pages, docs):
-    """Labelled pages of the table (see above), a sample of at most about MAX_PAGES by a hash of the id."""
-    n = max(1, pages.count())
-    sample = pages.where(F.pmod(F.xxhash64("page_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MAX_PAGES / n))).where("html is not null")
+def sampled(pages):
+    """At most MAX_PAGES different pages, those with the smallest hashes, of at most MAX_CHARS characters."""
+    known = pages.select("html", F.xxhash64("page_id", "html").alias("h")).where((F.length("html") <= MAX_CHARS) & (F.length("html") > 0))
+    last = known.select("h").distinct().orderBy("h").limit(MAX_PAGES).agg(F.max("h")).first()[0]
+    return known.where(F.col("h") <= (last if last is not None else 0)).dropDuplicates(["h"])
 
+
+def table_pages(pages, docs):
+    """Labelled pages of the table: see the top of this module."""
     def cut(batches):
         for b in batches:
-            for page, text in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist()):
+            for page, text in zip(b.column("h").to_pylist(), b.column("html").to_pylist()):
                 blocks = leaf_blocks(text)
-                if not blocks:
-                    continue
-                own = [sorted(f) for f in features(blocks)]
-                heads = [next((t in HEADINGS for t, _ in reversed(p) if t in BLOCKS), False) for _, p, _ in blocks]
                 k = len(blocks)
+                if not 0 < k <= MAX_BLOCKS:
+                    continue
+                heads = [bool(p and p.block and p.block.tag in HEADINGS) for _, p, _ in blocks]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([t for t, *_ in blocks]), pa.array(own, pa.list_(pa.string())), pa.array(heads)],
-                    names=["page_id", "k", "line", "features", "head"],
+                    [pa.array([page] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([t for t, *_ in blocks]), pa.array([sorted(f) for f in features(blocks)], pa.list_(pa.string())), pa.array(heads)],
+                    names=["page", "k", "line", "features", "head"],
                 )
 
-    blocks = saved(sample.select("page_id", "html").mapInArrow(cut, "page_id long, k int, line string, features array<string>, head boolean"), "blocks")
-    wanted = blocks.select(F.xxhash64("line").alias("h")).distinct()
-    raw = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = raw.select(F.trim(F.regexp_replace("line", r"[\s\u00a0]+", " ")).alias("line")).where("line <> ''").select(F.xxhash64("line").alias("h"))
-    main = lines.join(F.broadcast(wanted), "h", "left_semi").groupBy("h").count().where(F.col("count") <= MOST_DOCUMENTS).select("h", F.lit(1).alias("y"))
-    rows = blocks.withColumn("h", F.xxhash64("line")).join(F.broadcast(main), "h", "left").select("page_id", "k", "features", "head", F.coalesce("y", F.lit(0)).alias("y"))
-    out, page, last = [], [], None
-    for r in rows.orderBy("page_id", "k").toLocalIterator():
-        if r.page_id != last and page:
-            out.append(page)
-            page = []
-        last = r.page_id
-        page.append(r)
-    out += [page] if page else []
+    blocks = saved(sampled(pages).select("h", "html").mapInArrow(cut, "page long, k int, line string, features array<string>, head boolean"), "blocks")
+    blocks = blocks.withColumn("h", F.xxhash64("line"))
+    # a document is known by its text, so that copies are one; of each only the lines that some labelled page has are kept
+    named = docs.select(F.xxhash64("text").alias("doc"), F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = named.select("doc", "size", F.trim(F.regexp_replace("line", r"[\s\u00a0]+", " ")).alias("line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    hits = lines.join(F.broadcast(blocks.select("h").distinct()), "h", "left_semi").groupBy("doc", "size").agg(F.collect_set("h").alias("held"))
+    shown = {}
+    for r in blocks.groupBy("h").agg(F.max(F.length("line")).alias("n"), F.collect_set("page").alias("pages")).toLocalIterator():
+        shown[r.h] = r.n, r.pages
+    n_pages = len({p for _, own in shown.values() for p in own})
+
+    def match(batches):
+        """Per page the document that shares most characters with it, of those that it shows half of at least."""
+        best = {}
+        for b in batches:
+            for doc, size, held in zip(*(c.to_pylist() for c in b.columns)):
+                shared = {}
+                for h in held:
+                    n, own = shown[h]
+                    if len(own) <= 1 + n_pages * COMMON:
+                        for p in own:
+                            shared[p] = shared.get(p, 0) + n
+                for p, n in shared.items():
+                    if 2 * n >= size and (p not in best or (n, doc) > best[p][:2]):
+                        best[p] = n, doc, held
+        if best:
+            page, own = zip(*best.items())
+            n, doc, held = zip(*own)
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["page", "n", "doc", "held"])
+
+    found = hits.mapInArrow(match, "page long, n long, doc long, held array<long>").groupBy("page").agg(F.max_by("held", F.struct("n", "doc")).alias("held"))
+    main = found.select("page", F.explode("held").alias("h"), F.lit(1).alias("y"))
+    rows = blocks.join(found.select("page"), "page", "left_semi").join(main, ["page", "h"], "left").select("page", "k", "features", "head", F.coalesce("y", F.lit(0)).alias("y"))
+    out = {}
+    for r in rows.orderBy("page", "k").toLocalIterator():
+        out.setdefault(r.page, []).append(r)
     votes, marked = {}, []
-    for page in out:
+    for page in out.values():
         y = [r.y for r in page]
         for k in range(len(page) - 2, -1, -1):
             y[k] = y[k + 1] if page[k].head else y[k]

@@ -1,5 +1,8 @@
 """HTML extraction and embedding links against known answers and brute force."""
 
+import time
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -98,3 +101,63 @@ def test_links_of_the_table(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in frame.collect()]
     got = sorted(map(tuple, embeddings.near_duplicates(frame).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == brute_force(rows)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_extraction_at_other_sizes(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    field = html.train(pages, spark.read.parquet(f"{folder}/documents.parquet"))
+    good = [field.text(r.html) == "\n\n".join(t for t, path, _ in html.leaf_blocks(r.html) if any(tag == "article" for tag, _ in path)) for r in pages.collect()]
+    assert sum(good) >= 0.98 * len(good)
+
+
+@pytest.mark.parametrize("page", [
+    "<p " * 350_000, "<div>x" * 170_000, "<div>x" * 90_000 + "</div>" * 80_000, "<b>" * 150_000 + "<div>y</div>" * 40_000, '<x "<y>" ' * 110_000,
+    "<p 'a>" * 170_000, "<script " * 120_000, "<script>" * 120_000, "</" * 500_000, "<!--" * 250_000, "&amp;" * 200_000, "<li>z" * 200_000,
+    "".join(f"<div class='name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}'>t" for k in range(35_000)),
+], ids=range(13))
+def test_long_pages_take_linear_time(page):
+    field = html.fit(html.template_pages()[::10])
+    start = time.process_time()
+    field.text(page)
+    assert time.process_time() - start < 20
+
+
+def test_paths_are_sums_of_their_elements():
+    field = html.fit(html.template_pages()[::10])
+    blocks = html.leaf_blocks("<body class='post text'><div class=post><p>a<div id=menu>b</div><p class=text>c</div></body>")
+    want = np.array([field.weight[[field.index[f] for f in own if f in field.index]].sum(0) for own in html.features(blocks)])
+    assert np.allclose(field.emissions(blocks), want)
+
+
+def test_field_against_every_labelling():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 8):
+        e, move, start = rng.normal(size=(n, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+        field = html.Field({}, np.zeros((0, 2)), move, start)
+        field.emissions = lambda _: e
+        score = lambda y: start[y[0]] + sum(e[k, y[k]] for k in range(n)) + sum(move[y[k], y[k + 1]] for k in range(n - 1))
+        best = max(product((0, 1), repeat=n), key=score)
+        assert tuple(field.decode([None] * n)) == best
+
+
+def test_training_climbs_the_exact_likelihood():
+    """The gradient that forward-backward gives vanishes where the likelihood by enumeration is greatest."""
+    rng = np.random.default_rng(9)
+    pages = [([{f"f{rng.integers(3)}", "all"} for _ in range(n)], rng.integers(0, 2, n).tolist()) for n in (1, 3, 5, 4, 6, 2)]
+    field = html.fit(pages)
+
+    def value(weight, move, start):
+        total = 0.0
+        for own, gold in pages:
+            e = np.array([weight[[field.index[f] for f in s]].sum(0) for s in own])
+            score = lambda y: start[y[0]] + sum(e[k, y[k]] for k in range(len(y))) + sum(move[y[k], y[k + 1]] for k in range(len(y) - 1))
+            total += score(gold) - np.logaddexp.reduce([score(y) for y in product((0, 1), repeat=len(gold))])
+        ridge = sum((x * x).sum() for x in (weight, move, start))
+        return total / len(pages) - html.RIDGE / 2 * ridge
+
+    at = value(field.weight, field.move, field.start)
+    for _ in range(30):
+        near = [x + 0.2 * rng.normal(size=x.shape) for x in (field.weight, field.move, field.start)]
+        assert value(*near) <= at + 2e-3
