@@ -25,7 +25,10 @@ UNIT = 1_000_000_000
 TOP = 50
 #: Rows of text in one task of the shuffle, and terms that a task sums before it hands them on.
 TEXTS_PER_TASK = 4_000
-HELD_TERMS = 400_000
+HELD_TERMS = 1_500_000
+#: Terms of one task that counts those of a language.
+TERMS_PER_TASK = 500_000
+TERMS_PER_TEXT = 150
 #: (term, source) entries that are compared at once.
 ENTRIES = 200_000
 
@@ -33,7 +36,7 @@ NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 COPIES = "lang string, digest binary, text string, sources array<string>, copies array<long>"
-COUNTS = "lang string, source string, term string, n long, docs long"
+COUNTS = "g long, term string, n int, docs int"
 
 
 def _copies(batches):
@@ -84,75 +87,60 @@ class _Sums:
     """Occurrences and documents of every (group, term) that a task has met since it last handed them on."""
 
     def __init__(self):
-        self.groups, self.names = {}, []
-        self.clear()
-
-    def clear(self):
         self.parts, self.held = [], 0
 
-    def group(self, name):
-        at = self.groups.setdefault(name, len(self.names))
-        if at == len(self.names):
-            self.names.append(name)
-        return at
-
     def add(self, group, hashes, n, docs, terms):
-        self.parts.append((group, hashes, n, docs, terms))
-        self.held += len(hashes)
+        """Entries of one slice, which are summed at once: most terms of a slice recur in it."""
+        order = np.lexsort((group, hashes))
+        group, hashes = group[order], hashes[order]
+        first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])])
+        self.parts.append((group[first], hashes[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first), terms[order[first]]))
+        self.held += len(first)
 
     def batches(self):
         if not self.held:
             return
-        group, hashes, n, docs, terms = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((group, hashes))
-        group, hashes, n, docs = group[order], hashes[order], n[order], docs[order]
-        first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])])
-        lang, source = (pa.array([x[k] for x in self.names], pa.string()) for k in (0, 1))
-        at = pa.array(group[first])
-        out = [lang.take(at), source.take(at), pa.array(terms[order[first]], pa.binary()).cast(pa.string()), pa.array(np.add.reduceat(n, first)), pa.array(np.add.reduceat(docs, first))]
-        table = pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "n", "docs"])
+        parts, self.parts, self.held = [np.concatenate(x) for x in zip(*self.parts)], [], 0
+        self.add(*parts)
+        ((group, _, n, docs, terms),) = self.parts
+        out = [pa.array(group), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int32)), pa.array(docs.astype(np.int32))]
+        table = pa.RecordBatch.from_arrays(out, names=["g", "term", "n", "docs"])
         for k in range(0, len(table), 50_000):
             yield table.slice(k, 50_000)
-        self.clear()
+        self.parts, self.held = [], 0
 
 
-def _counted(batches):
-    """Per (lang, source, term) occurrences and documents, copies counted; a group also has a row with the empty term."""
-    sums, empty = _Sums(), np.array([b""], object)
-    for b in batches:
-        langs, sources, copies = (b.column(c).to_pylist() for c in ("lang", "sources", "copies"))
-        for lang, own in zip(langs, sources):
-            for s in own:
-                if (lang, s) not in sums.groups:
-                    sums.add(np.array([sums.group((lang, s))]), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), empty)
-        for first, data, offsets in T.slices(b.column("text")):
-            w = T.Words(data, offsets, gap=NOT_TERM)
-            if not len(w.hash):
-                continue
-            row = w.row_of_word()
-            # one entry per text and term: where it starts, and how often it occurs
-            _, once, tf = np.unique(T.mix(w.hash + T.mix(row.astype(np.uint64))), return_index=True, return_counts=True)
-            text, h = row[once], w.hash[once]
-            _, at, name = np.unique(h, return_index=True, return_inverse=True)
-            names = np.empty(len(at), object)
-            names[:] = [w.text(k).translate(_LOWER) for k in once[at].tolist()]
-            rows = range(first, first + len(offsets) - 1)
-            n_of = np.array([len(sources[k]) for k in rows], np.int64)
-            groups = np.array([sums.group((langs[k], s)) for k in rows for s in sources[k]], np.int64)
-            many = np.array([c for k in rows for c in copies[k]], np.int64)
-            start = np.cumsum(n_of) - n_of
-            take = np.repeat(np.arange(len(text)), n_of[text])
-            inner = np.arange(len(take)) - np.repeat(np.cumsum(n_of[text]) - n_of[text], n_of[text])
-            where = start[text[take]] + inner
-            g, own, hash_, term = groups[where], many[where], h[take], names[name[take]]
-            # summed here already: most terms of a slice recur in it
-            order = np.lexsort((g, hash_))
-            g, own, hash_, tfs = g[order], own[order], hash_[order], tf[take][order]
-            head = np.flatnonzero(np.r_[True, (hash_[1:] != hash_[:-1]) | (g[1:] != g[:-1])])
-            sums.add(g[head], hash_[head], np.add.reduceat(own * tfs, head), np.add.reduceat(own, head), term[order[head]])
-            if sums.held >= HELD_TERMS:
-                yield from sums.batches()
-    yield from sums.batches()
+def _counting(number):
+    """Per (group, term) occurrences and documents, copies counted; ``number`` gives every (lang, source) its group."""
+
+    def run(batches):
+        sums = _Sums()
+        for b in batches:
+            langs, sources, copies = (b.column(c).to_pylist() for c in ("lang", "sources", "copies"))
+            for first, data, offsets in T.slices(b.column("text")):
+                w = T.Words(data, offsets, gap=NOT_TERM)
+                if not len(w.hash):
+                    continue
+                # one entry per text and term: where it starts, and how often it occurs
+                _, once, tf = np.unique(T.mix(w.hash + T.mix(w.row_of_word().astype(np.uint64))), return_index=True, return_counts=True)
+                text, h = np.searchsorted(w.row, once, "right") - 1, w.hash[once]
+                _, at, name = np.unique(h, return_index=True, return_inverse=True)
+                names = np.empty(len(at), object)
+                names[:] = [w.text(k).translate(_LOWER) for k in once[at].tolist()]
+                # then one per text, term and source of the text
+                rows = range(first, first + len(offsets) - 1)
+                n_of = np.array([len(sources[k]) for k in rows], np.int64)
+                groups = np.array([number[langs[k], s] for k in rows for s in sources[k]], np.int64)
+                many = np.array([c for k in rows for c in copies[k]], np.int64)
+                take = np.repeat(np.arange(len(text)), n_of[text])
+                inner = np.arange(len(take)) - np.repeat(np.cumsum(n_of[text]) - n_of[text], n_of[text])
+                where = (np.cumsum(n_of) - n_of)[text[take]] + inner
+                sums.add(groups[where], h[take], many[where] * tf[take], many[where], names[name[take]])
+                if sums.held >= HELD_TERMS:
+                    yield from sums.batches()
+        yield from sums.batches()
+
+    return run
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -166,15 +154,23 @@ def _share(n, total, kinds):
 def counts(docs, **columns):
     """(kept terms: lang, source, term, n; groups: lang, source, total, kinds), both stored.
 
+    Groups are numbered on the driver: the result has a row for every two of a language, so their list is far smaller.
     ``total`` is the number of a group's occurrences of kept terms, ``kinds`` the number of kept terms of its language.
     """
-    counted = collapsed(docs, **columns).mapInArrow(_counted, COUNTS)
-    sums = saved(counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    common = sums.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("lang", "term")
-    kept = saved(sums.where("term <> ''").join(common, ["lang", "term"]).select("lang", "source", "term", "n"), "kept")
+    named = docs.select(*(F.coalesce(F.col(columns.get(c, c)), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
+    found = sorted(tuple(r) for r in named.toLocalIterator())
+    langs = {lang: k for k, lang in enumerate(dict.fromkeys(lang for lang, _ in found))}
+    number = {(lang, source): (langs[lang] << 32) + k for k, (lang, source) in enumerate(found)}
+    names = F.broadcast(docs.sparkSession.createDataFrame([(g, *own) for own, g in number.items()], "g long, lang string, source string"))
+
+    counted = collapsed(docs, **columns).mapInArrow(_counting(number), COUNTS).withColumn("l", F.shiftright("g", 32))
+    parts = tasks_for(docs.sparkSession, docs.count() * TERMS_PER_TEXT, TERMS_PER_TASK)
+    sums = counted.repartition(parts, "l", "term").groupBy("l", "term", "g").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = sums.groupBy("l", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("g", "n")).alias("own")).where(F.col("docs") >= LEAST_DOCS)
+    kept = saved(whole.select("term", F.inline("own")).join(names, "g").select("lang", "source", "term", "n"), "kept")
     kinds = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = sums.where("term = ''").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kinds, "lang", "left")
+    groups = names.select("lang", "source").join(totals, ["lang", "source"], "left").join(kinds, "lang", "left")
     zero = F.lit(0).cast("long")
     return kept, saved(groups.select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("kinds", zero).alias("kinds")), "groups")
 
