@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark import settings as S
+from ragspark.operators import packed
 from ragspark.operators.keywords import terms_of
 
 D = S.DEFAULTS
@@ -63,30 +64,51 @@ def complete(df, payload, out_col="answer", factory=None):
     return infer(df, payload, out_col, factory or echo(), "string", D.encode_batch_query, "empty", "")
 
 
-def hashed_vectors(c, dim=16):
-    """Deterministic unit vector per term of a text, used where no encoder is configured."""
+def hashed(dim=16):
+    """Stand-in encoder: a text is given as its terms, each of which has a unit vector made of its MD5."""
 
-    def vector(term):
-        raw = F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.pmod(F.xxhash64(term, i), F.lit(2001)).cast("double") / 1000 - 1,
-        )
-        return F.transform(
-            F.array(raw),
-            lambda v: F.transform(
-                v, lambda x: (x / F.sqrt(F.aggregate(v, F.lit(1e-12), lambda s, y: s + y * y))).cast("float")
-            ),
-        )[0]
+    def factory():
+        from hashlib import md5
+
+        import numpy as np
+
+        known = {}
+
+        def vector(term):
+            raw = np.frombuffer(md5(term.encode()).digest(), np.uint8)[:dim].astype(np.float64) - 127.5
+            return (raw / np.sqrt((raw * raw).sum())).astype(np.float32)
+
+        def call(texts):
+            if len(known) > 200_000:
+                known.clear()
+            for term in {t for terms in texts for t in terms}.difference(known):
+                known[term] = vector(term)
+            return [[known[t] for t in terms] for terms in texts]
+
+        return call
 
-    return F.transform(terms_of(c), vector)
+    return factory
+
+
+def _packed(factory):
+    def made():
+        call = factory()
+        return lambda texts: [packed.pack(v) for v in call(texts)]
 
+    return made
 
-def encode(df, text="content", out_col="vectors", is_query=False, factory=None):
-    """Ragged token vectors per text; without a model the hashed ones. A failing model call is raised."""
-    if factory is None:
-        return df.withColumn(out_col, hashed_vectors(F.col(text)))
+
+def encode(df, text="content", out_col="vectors", is_query=False, factory=None, as_packed=False):
+    """Ragged token vectors per text; without a model the hashed ones. A failing model call is raised.
+
+    ``as_packed`` gives them as one binary value per text (see ``packed``) instead of nested arrays.
+    """
     size = D.encode_batch_query if is_query else D.encode_batch_document
-    return infer(df, text, out_col, factory, "array<array<float>>", size, "raise", [])
+    kind, empty = ("binary", packed.pack([])) if as_packed else ("array<array<float>>", [])
+    own = factory or hashed()
+    source = df.withColumn("_terms", terms_of(F.col(text))) if factory is None else df
+    made = infer(source, text if factory else "_terms", out_col, _packed(own) if as_packed else own, kind, size, "raise", empty)
+    return made.drop("_terms")
 
 
 def extract_keywords(df, text="text", out_col="keywords", factory=None, chars=D.keyword_chars):

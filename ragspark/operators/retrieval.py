@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark import settings as S
 from ragspark.functions import text as X
-from ragspark.operators import skew
+from ragspark.operators import packed, skew
 
 D = S.DEFAULTS
 HIT_FIELDS = "invoke_id string, query_id string, doc_id string, score double"
@@ -16,6 +16,7 @@ HIT_ARROW = pa.schema(
 # Queries are sent to every task only below both limits; beyond them they are shuffled in blocks.
 QUERY_ROWS = 4096
 QUERY_TOKENS = 65_536
+QUERY_BYTES = 64 << 20
 CHUNKS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 256
 # cells of the largest query-token by document-token matrix held at once
@@ -41,11 +42,13 @@ def maxsim(query, doc):
 
 
 def _matrices(column):
-    """Token matrix of all rows stacked (float64) and the row each token starts at."""
+    """Token matrix of all rows stacked and the row each text starts at, from packed values or nested arrays."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return packed.matrices(column)
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False)
     count = int(starts[-1])
     return flat.reshape(count, -1) if count else flat.reshape(0, 0), starts
 
@@ -58,12 +61,13 @@ def _scores(q_tokens, q_starts, d_tokens, d_starts):
     if not has_q.any() or not has_d.any():
         return out
     docs = np.flatnonzero(has_d)
+    q_tokens = q_tokens.astype(np.float64)
     begins, ends = d_starts[docs], d_starts[docs + 1]
     widest = max(1, MATRIX_CELLS // max(1, len(q_tokens)))
     at = 0
     while at < len(docs):
         to = max(at + 1, int(np.searchsorted(ends, begins[at] + widest, side="right")))
-        products = q_tokens @ d_tokens[begins[at] : ends[to - 1]].T
+        products = q_tokens @ d_tokens[begins[at] : ends[to - 1]].astype(np.float64).T
         best = np.maximum.reduceat(products, begins[at:to] - begins[at], axis=1)
         out[np.ix_(has_q, docs[at:to])] = np.add.reduceat(best, q_starts[:-1][has_q], axis=0)
         at = to
@@ -80,7 +84,7 @@ def _best(scores, ids, k):
     return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
 
 
-class _RunningTop:
+class RunningTop:
     """Best k hits per query seen so far in one task."""
 
     def __init__(self, query_ids, k):
@@ -113,7 +117,7 @@ def _column(table, name):
 
 
 def _search_tables(queries, chunks, room, k):
-    top = _RunningTop(_column(queries, "query_id"), k)
+    top = RunningTop(_column(queries, "query_id"), k)
     top.add(
         _scores(*_matrices(queries.column("q_vectors")), *_matrices(chunks.column("vectors"))),
         _column(chunks, "doc_id"),
@@ -141,7 +145,7 @@ def _candidates_small(queries, chunks, k):
                     continue
                 ids, q_tokens, q_starts = sent.value[room]
                 part = batch.filter(pa.array(rooms == room))
-                top = tops.setdefault(room, _RunningTop(ids, k))
+                top = tops.setdefault(room, RunningTop(ids, k))
                 top.add(_scores(q_tokens, q_starts, *_matrices(part.column("vectors"))), _column(part, "doc_id"))
         for room, top in tops.items():
             yield from top.table(room).to_batches()
@@ -193,8 +197,9 @@ def top_hits(queries, chunks, k=None, max_query_rows=QUERY_ROWS, max_query_token
     """
     k = k or D.top_k
     queries = queries.select("invoke_id", "query_id", "q_vectors")
+    tokens = F.length("q_vectors") / 64 if dict(queries.dtypes)["q_vectors"] == "binary" else F.size("q_vectors")
     size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("q_vectors")), F.lit(0)).alias("tokens")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens")
     ).first()
     if size["n"] <= max_query_rows and size["tokens"] <= max_query_tokens:
         found = _candidates_small(queries, chunks, k)

@@ -1,13 +1,14 @@
 """What a user calls: the operators put together into whole jobs."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import answers as A
-from ragspark.operators import chunking, dialogue, docjson, graph, inference, keywords, memory, retrieval, templates
+from ragspark.operators import chunking, dialogue, docjson, graph, inference, keywords, memory, retrieval, templates, vector_index
 from ragspark.session import saved
-from ragspark.sources import files
+from ragspark.sources import files, store
 
 D = S.DEFAULTS
 
@@ -54,6 +55,39 @@ def search_text(questions, chunks, k=None, min_score=D.min_score, file=None, enc
     return search(q, c, stored, k, min_score, file)
 
 
+def index_chunks(chunks, path, batch, encoder=None):
+    """Encode chunk rows (see ``ingest``), and store them with their index as one batch of the table at ``path``.
+
+    The first batch with tokens fits the codebook of the table, later ones use it. What is stored is encoded once, here.
+    """
+    spark = chunks.sparkSession
+    made = saved(inference.encode(chunks, "content", "vectors", False, encoder, True), "encoded")
+    try:
+        book = vector_index.load_codebook(spark, f"{path}/codebook")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        book = None
+    if book is None or not len(book.centroids):
+        book = vector_index.fit(made)
+        vector_index.save_codebook(spark, book, f"{path}/codebook")
+    store.append_batch(vector_index.indexed(made, book), f"{path}/chunks", batch)
+
+
+def load_index(spark, path, room=None):
+    """(chunk rows with their index, codebook) of a table that ``index_chunks`` wrote; ``room`` reads its bucket alone."""
+    return store.load_rows(spark, f"{path}/chunks", only=room), vector_index.load_codebook(spark, f"{path}/codebook")
+
+
+def search_index(spark, questions, path, k=None, min_score=D.min_score, file=None, encoder=None, room=None):
+    """``search_text`` over a table that ``index_chunks`` wrote: only the questions are encoded."""
+    table, book = load_index(spark, path, room)
+    asked = saved(inference.encode(questions, "question", "q_vectors", True, encoder, True), "queries")
+    hits = saved(vector_index.search(asked, table, book, k), "found")
+    stored = table.select("invoke_id", F.col("id").alias("doc_id"), "content", "source", "page")
+    return retrieval.assemble_context(retrieval.evidence(hits, stored, min_score, file), asked)
+
+
 def build_graph(chunks, factory=None, strict_order=True):
     """(entities, edges, rejected) of stored chunks with ``chunk_no``; keyword co-occurrence without a model.
 
