@@ -1,5 +1,7 @@
 """Entity-relationship graph as two tables, built and searched with joins."""
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
@@ -12,8 +14,8 @@ GRAPH_TYPE = (
     "entities array<struct<name:string,type:string,description:string>>,"
     "relationships array<struct<source:string,target:string,type:string,description:string>>"
 )
-# names and questions are compared by their first characters of this many, longer ones are verified
-ANCHOR = 64
+#: Characters of the texts of one automaton, some hundred bytes each, and of the texts that meet it at once.
+AUTOMATON_CHARS, BLOCK_CHARS = 500_000, 8_000_000
 
 
 def parse_graph(c):
@@ -104,48 +106,114 @@ def resolve_edges(edges, entities, strict_order=True, rows_per_task=skew.ROWS_PE
     return out.select(*edges.columns)
 
 
-def _substrings(text, lengths):
-    """Distinct substrings of the given lengths."""
+def _matcher(shorts):
+    """From (text, extra) pairs a function that lists the pairs whose text a given text contains.
 
-    def of_length(n):
-        last = F.length(text) - n + 1
-        return F.when(
-            last >= 1, F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, n))
-        ).otherwise(F.array().cast("array<string>"))
+    One Aho-Corasick automaton: a text is read once, whatever the number of pairs. The empty text is in every text.
+    """
+    by_text = {}
+    for text, extra in shorts:
+        if text is not None:
+            by_text.setdefault(text, []).append(extra)
+    everywhere = [("", extra) for extra in by_text.pop("", [])]
+    automaton = ahocorasick.Automaton()
+    for text in by_text:
+        automaton.add_word(text, text)
+    if by_text:
+        automaton.make_automaton()
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    def found(text):
+        inside = dict.fromkeys(t for _, t in automaton.iter(text)) if by_text else ()
+        return everywhere + [(t, extra) for t in inside for extra in by_text[t]]
 
+    return found
 
-def _containing(long, long_col, short, short_col):
-    """Rows of both sides (one per true containment) where the long text contains the short one, by equality of keys."""
-    room = ["invoke_id"]
-    keyed = short.withColumn("_key", X.prefix(F.col(short_col), ANCHOR))
-    lengths = keyed.groupBy(*room).agg(F.collect_set(F.length("_key")).alias("_lengths"))
-    hot = skew.hot_keys(skew.count_keys(long, room), room, "_n")
-    spread = skew.salted_join(long, lengths, room, hot, spread=[long_col]).select(
-        *long.columns, F.explode(_substrings(F.col(long_col), F.col("_lengths"))).alias("_key")
-    )
-    return spread.join(keyed, ["invoke_id", "_key"]).where(
-        (F.length(short_col) <= ANCHOR) | F.contains(F.col(long_col), F.col(short_col))
-    ).drop("_key")
+
+def _pairs(room, longs, found):
+    """Columns room, long, long_extra, short, short_extra of all containments of one room."""
+    out = [(long, extra, short, other) for long, extra in longs if long is not None for short, other in found(long)]
+    columns = list(zip(*out)) if out else [()] * 4
+    return pa.table([pa.array([room] * len(out), pa.string()), *(pa.array(c, pa.string()) for c in columns)], names=PAIRS)
+
+
+PAIRS = ["invoke_id", "long", "long_extra", "short", "short_extra"]
+PAIRS_SCHEMA = ", ".join(f"{c} string" for c in PAIRS)
 
 
-def match_entities(questions, entities, file=None):
+def _rows(table, *names):
+    return list(zip(*(table.column(c).to_pylist() for c in names)))
+
+
+def contained(longs, shorts, automaton_chars=AUTOMATON_CHARS, block_chars=BLOCK_CHARS):
+    """(invoke_id, long, long_extra, short, short_extra): within each room the short texts that long texts contain.
+
+    Both sides are (invoke_id, text, extra). Short texts of at most ``automaton_chars`` characters in all go to every task, and
+    long texts are not shuffled. Otherwise a room's short texts are cut into buckets and its long ones into blocks of about
+    these sizes, and each bucket meets each block once, so that neither side of a room is ever in one task. Null texts
+    contain nothing and are in nothing.
+    """
+    spark = longs.sparkSession
+    shorts, longs = shorts.select("invoke_id", "text", "extra"), longs.select("invoke_id", "text", "extra")
+    # each text also counts as a few characters: an automaton has nodes for every one of them
+    sized = lambda df: df.agg(F.coalesce(F.sum(F.length("text") + 8), F.lit(0)).cast("long").alias("_chars"))
+    if sized(shorts).first()[0] <= automaton_chars:
+        by_room = {}
+        for r in shorts.toLocalIterator():
+            by_room.setdefault(r.invoke_id, []).append((r.text, r.extra))
+        sent = spark.sparkContext.broadcast(by_room)
+
+        def scan(batches):
+            built = {}
+            for b in batches:
+                own = {}
+                for room, *row in _rows(b, "invoke_id", "text", "extra"):
+                    own.setdefault(room, []).append(row)
+                for room, rows in own.items():
+                    if room is None or room not in sent.value:
+                        continue
+                    if room not in built:
+                        built[room] = _matcher(sent.value[room])
+                    yield from _pairs(room, rows, built[room]).to_batches()
+
+        return longs.mapInArrow(scan, PAIRS_SCHEMA)
+
+    def cut(df, chars, name):
+        return sized(df.groupBy("invoke_id")).select("invoke_id", F.ceil(F.col("_chars") / chars).cast("int").alias(name))
+
+    sizes = cut(shorts, automaton_chars, "_ns").join(cut(longs, block_chars, "_nl"), "invoke_id")
+
+    def placed(df, own, others, tags):
+        mine, other = tags
+        counts = skew.count_keys(df, ["invoke_id"])
+        joined = skew.salted_join(df, sizes, ["invoke_id"], skew.hot_keys(counts, ["invoke_id"], "_n"), spread=["text"])
+        return joined.withColumns({mine: F.pmod(F.xxhash64("text"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(others) - 1))})
+
+    def meet(key, left, right):
+        return _pairs(key[0].as_py(), _rows(left, "text", "extra"), _matcher(_rows(right, "text", "extra")))
+
+    columns = ["invoke_id", "_s", "_l", "text", "extra"]
+    left = placed(longs, "_nl", "_ns", ("_l", "_s")).select(*columns).groupBy("invoke_id", "_s", "_l")
+    right = placed(shorts, "_ns", "_nl", ("_s", "_l")).select(*(F.col(c).alias(c) for c in columns)).groupBy("invoke_id", "_s", "_l")
+    return left.cogroup(right).applyInArrow(meet, PAIRS_SCHEMA)
+
+
+def match_entities(questions, entities, file=None, automaton_chars=AUTOMATON_CHARS, block_chars=BLOCK_CHARS):
     """Entities whose name contains the question or is contained in it, per (invoke_id, question_id).
 
-    Each distinct question text is cut into substrings of the lengths that names have (at most ``ANCHOR`` + 1
-    of them) and joined by equality, and the same the other way round, so only true matches are produced.
-    A file name restricts names found inside the question, not names that contain it.
+    Each distinct question text is read once by the automata of its room's names, and each name by those of the questions,
+    so only true matches are produced. A file name restricts names found inside the question, not names that contain it.
     """
     asked = ["invoke_id", "question"]
-    texts = questions.select(*asked).distinct()
-    names = entities.select("invoke_id", "name", "source")
-    inside = names.where((F.col("source") == file) | F.contains("source", F.lit(file))) if file else names
-    found = (
-        _containing(names, "name", texts, "question").select(*asked, "name", "source")
-        .union(_containing(texts, "question", inside, "name").select(*asked, "name", "source"))
-        .distinct()
+    texts = questions.select("invoke_id", F.col("question").alias("text"), F.lit(None).cast("string").alias("extra")).distinct()
+    names = entities.select("invoke_id", F.col("name").alias("text"), F.col("source").alias("extra"))
+    inside = names.where((F.col("extra") == file) | F.contains("extra", F.lit(file))) if file else names
+    around = contained(names, texts, automaton_chars, block_chars).select(
+        "invoke_id", F.col("short").alias("question"), F.col("long").alias("name"), F.col("long_extra").alias("source")
+    )
+    within = contained(texts, inside, automaton_chars, block_chars).select(
+        "invoke_id", F.col("long").alias("question"), F.col("short").alias("name"), F.col("short_extra").alias("source")
     )
+    found = around.union(within).distinct()
     hot = skew.hot_keys(skew.count_keys(questions, asked), asked, "_n")
     return skew.salted_join(questions.select(*asked, "question_id"), found, asked, hot, spread=["question_id"]).select(
         "invoke_id", "question_id", "name", "source"

@@ -77,10 +77,21 @@ def test_matches_equal_a_nested_loop(spark):
             for (r, n), s in entities.items()
             if r == room and (t in n or (n in t and (file is None or file in s)))
         }
-        found = G.match_entities(q, e, file)
-        assert {(r["question_id"], r["name"]) for r in found.collect()} == want
-        assert found.count() == len(want)
-    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+        for bounds in ({}, {"automaton_chars": 60, "block_chars": 90}):
+            found = G.match_entities(q, e, file, **bounds)
+            rows = [(r["question_id"], r["name"]) for r in found.collect()]
+            assert set(rows) == want and len(rows) == len(want)
+            for unwanted in ("NestedLoop", "Cartesian", "sequence(1"):
+                assert unwanted not in plan(found)
+
+
+def test_empty_and_missing_texts(spark):
+    e, q = tables(spark, [("r", "", "f"), ("r", None, "f"), ("r", "abc", None), (None, "abc", "f")], [("r", "q1", "xabcx"), ("r", "q2", ""), ("r", "q3", None), (None, "q4", "abc"), ("s", "q5", "abc")])
+    for bounds in ({}, {"automaton_chars": 1, "block_chars": 1}):
+        got = sorted((r.question_id, r.name) for r in G.match_entities(q, e, **bounds).collect())
+        assert got == [("q1", ""), ("q1", "abc"), ("q2", ""), ("q2", "abc")]
+        assert {r.name for r in G.match_entities(q, e, "f", **bounds).where("question_id = 'q1'").collect()} == {""}
+    assert G.match_entities(q.where("false"), e).isEmpty() and G.match_entities(q, e.where("false"), automaton_chars=0).isEmpty()
 
 
 def test_neighbours_limit_and_context(spark):
