@@ -8,7 +8,7 @@ from ragspark.functions import text as X
 from ragspark.operators import answers as A
 from ragspark.operators import chunking, dialogue, docjson, graph, inference, keywords, memory, retrieval, templates, vector_index
 from ragspark.session import saved
-from ragspark.sources import files, store
+from ragspark.sources import files, graph_store, store
 
 D = S.DEFAULTS
 
@@ -101,6 +101,19 @@ def build_graph(chunks, factory=None, strict_order=True):
     return graph.build_graph(found, strict_order=strict_order)
 
 
+def extend_graph(chunks, path, batch, factory=None):
+    """Merge the facts of one batch of stored chunks with ``chunk_no`` into the graph at ``path`` (see ``graph_store``).
+
+    As ``build_graph``, but what earlier batches stored is neither read nor rewritten.
+    """
+    if factory is None:
+        found = keywords.cooccurrence_graph(chunks)
+    else:
+        answered = saved(inference.extract_graph(chunks, "content", "json", factory), "extracted")
+        found = answered.withColumn("graph", graph.parse_graph(F.col("json")))
+    graph_store.append_facts(found, path, batch)
+
+
 def analyze(threads, clarify=S.PROMPT_CLARIFY):
     """Threads (thread_id, original, response) with the parsed analysis columns."""
     return threads.withColumn("_a", A.parse_analysis(F.col("response"), F.col("original"), clarify)).select(
