@@ -127,9 +127,9 @@ def facts(spark, folder):
 
 
 ORACLE["extract_graph"] = SQL_KEYWORDS + """,
-top AS (SELECT doc_id, chunk_seq, term FROM ranked WHERE rn <= 10)
-SELECT a.doc_id, a.chunk_seq, a.term AS source, b.term AS target, 'CO_OCCURS' AS type
-FROM top a JOIN top b ON a.doc_id = b.doc_id AND a.chunk_seq = b.chunk_seq AND a.term < b.term
+top AS (SELECT doc_id, chunk_seq, list(term) AS terms FROM ranked WHERE rn <= 10 GROUP BY ALL),
+one AS (SELECT doc_id, chunk_seq, terms, unnest(terms) AS source FROM top)
+SELECT doc_id, chunk_seq, source, unnest(list_filter(terms, lambda t: t > source)) AS target, 'CO_OCCURS' AS type FROM one
 """
 
 QUERIES.update(
