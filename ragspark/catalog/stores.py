@@ -16,6 +16,7 @@ from ragspark.streaming import chatlog, history, ingest
 QUERIES, ORACLE = {}, {}
 FIRST, SECOND = "2024-01-01 00:00:00", "2024-01-05 00:00:00"
 TTL = 2  # days, so that conversations of the events table expire
+AS_OF = "2024-01-31"  # some rooms have been silent for so long by then
 
 
 def stamp(s):
@@ -214,7 +215,20 @@ def pairs_of(events):
 def streamed_history(spark, folder):
     base = shared_folder(spark, "stream-history")
     run(history.stream_history(pairs_of(stream(spark, folder, "events")), f"{base}/table", f"{base}/checkpoint"))
-    return history.read_history(spark, f"{base}/table", stamp("2024-02-06"), ttl_days=TTL).select("invoke_id", "seq", "role", "content")
+    return history.read_history(spark, f"{base}/table", stamp(AS_OF), ttl_days=TTL).select("invoke_id", "seq", "role", "content")
+
+
+def remembered_rooms(spark, folder):
+    """The same from state: the events come in four files, each a quarter of the time, and each is one micro-batch."""
+    base = shared_folder(spark, "room-memory")
+    events = C.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    quarter = F.least(F.floor((F.col("ts").cast("double") - F.lit(span.a).cast("double")) / (F.lit(span.b).cast("double") - F.lit(span.a).cast("double")) * 4), F.lit(3))
+    for k in range(4):
+        events.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run(history.stateful_history(pairs_of(source), f"{base}/table", f"{base}/checkpoint", ttl_days=TTL))
+    return history.read_live_history(spark, f"{base}/table", stamp(AS_OF), ttl_days=TTL).select("invoke_id", "seq", "role", "content")
 
 
 def lines_of(events):
@@ -255,6 +269,15 @@ FROM line JOIN ends USING (user_id) WHERE kind = 'delta' AND (last IS NULL OR ev
 SQL_STREAM_CHUNKS = C.SQL_CHUNKS + f"""
 SELECT DISTINCT invoke_id, {C.SQL_ID} AS id, '[문서: ' || source || ' | 페이지: ' || page || ']' || chr(10) || chr(10) || text AS content, source, page FROM chunk"""
 
+SQL_ROOMS = """
+WITH pair AS (SELECT user_id::VARCHAR AS invoke_id, event_id, event_type, props, ts FROM events WHERE event_type <> 'error'),
+m AS (SELECT invoke_id, event_id * 2 AS seq, 'user' AS role, event_type AS content FROM pair
+  UNION ALL SELECT invoke_id, event_id * 2 + 1, 'assistant', props FROM pair),
+gap AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY invoke_id ORDER BY event_id) + INTERVAL 2 DAY AS expired FROM pair),
+run AS (SELECT invoke_id, coalesce(max(event_id) FILTER (WHERE expired), -1) AS first, arg_max(ts, event_id) AS last FROM gap GROUP BY ALL)
+SELECT m.* FROM m JOIN run USING (invoke_id) WHERE seq >= first * 2 AND last > TIMESTAMP '2024-01-31' - INTERVAL 2 DAY
+QUALIFY row_number() OVER (PARTITION BY invoke_id ORDER BY seq DESC) <= 10"""
+
 LINE_OPEN, LINE_CLOSE = S.LINE_PARAGRAPH_OPEN, S.LINE_PARAGRAPH_CLOSE
 
 QUERIES.update(
@@ -281,6 +304,7 @@ QUERIES.update(
     last_answers=lambda s, d: streamlog.last_answers(streamlog.decode_sse(answer_lines(C.table(s, d, "events")))),
     stream_ingest=streamed_chunks,
     stream_history=streamed_history,
+    stateful_history=remembered_rooms,
     stream_chat_log=streamed_log,
     doc_json_to_pages=lambda s, d: chunking.split_pages(flows.doc_json_to_markdown(J.pdf_documents(s, d))).drop("page_seq"),
 )
@@ -334,14 +358,8 @@ FROM line WHERE kind IN ('done', 'delta')""",
     stream_chat_log=SQL_DELTAS,
     last_answers="SELECT user_id AS request_id, arg_max(props, event_id) AS text FROM events WHERE event_type = 'view' GROUP BY ALL",
     stream_ingest=SQL_STREAM_CHUNKS,
-    stream_history="""
-WITH pair AS (SELECT user_id::VARCHAR AS invoke_id, event_id, event_type, props, ts FROM events WHERE event_type <> 'error'),
-m AS (SELECT invoke_id, event_id * 2 AS seq, 'user' AS role, event_type AS content FROM pair
-  UNION ALL SELECT invoke_id, event_id * 2 + 1, 'assistant', props FROM pair),
-gap AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY invoke_id ORDER BY event_id) + INTERVAL 2 DAY AS expired FROM pair),
-run AS (SELECT invoke_id, coalesce(max(event_id) FILTER (WHERE expired), -1) AS first, arg_max(ts, event_id) AS last FROM gap GROUP BY ALL)
-SELECT m.* FROM m JOIN run USING (invoke_id) WHERE seq >= first * 2 AND last > TIMESTAMP '2024-02-06' - INTERVAL 2 DAY
-QUALIFY row_number() OVER (PARTITION BY invoke_id ORDER BY seq DESC) <= 10""",
+    stream_history=SQL_ROOMS,
+    stateful_history=SQL_ROOMS,
     doc_json_to_pages=f"""
 WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS page FROM documents),
 p AS (SELECT doc_id, page, t AS text FROM line UNION ALL SELECT doc_id, 1, '# ' || source FROM documents

@@ -1,7 +1,16 @@
-"""Streaming conversation memory: append, trim, expire."""
+"""Streaming conversation memory: append, trim, expire.
 
+Two forms with one result. ``stream_history`` appends what every micro-batch brings, and readers trim: cheapest for logs that
+are read rarely. ``stateful_history`` keeps the few live messages of every room as state, with a timer that ends a room's
+state after its retention period: a micro-batch writes only the rooms that it touches, and readers never see old batches.
+"""
+
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ragspark import settings as S
 from ragspark.operators import memory
@@ -52,3 +61,90 @@ def compact_history(spark, table, target, keep=2 * D.history_messages):
     """Rewrite the trimmed table into a new folder as batch 0."""
     read_history(spark, table, keep=keep).write.mode("overwrite").parquet(f"{target}/batch=0")
 
+
+MESSAGES = "seq long, role string, content string, written_at timestamp"
+ROOM = f"invoke_id string, {MESSAGES}"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def remembered(messages, keep, ttl):
+    """Of (seq, role, content, written_at) the newest ``keep``, in order, after their last silence of ``ttl`` or more."""
+    kept = sorted(messages)[-keep:]
+    for k in range(len(kept) - 1, 0, -1):
+        if kept[k][3] >= kept[k - 1][3] + ttl:
+            return kept[k:]
+    return kept
+
+
+class RoomMemory(StatefulProcessor):
+    """The live messages of one room: at most ``keep``, forgotten by a timer ``ttl`` after the last was written.
+
+    Emits a room's messages whenever they change, and one row without a message when they are forgotten.
+    """
+
+    def __init__(self, keep, ttl_days):
+        self.keep, self.ttl = keep, timedelta(days=ttl_days)
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("messages", f"own array<struct<{', '.join(c.replace(' ', ':') for c in MESSAGES.split(', '))}>>")
+
+    def _stored(self):
+        return [tuple(m) for m in self.state.get()[0]] if self.state.exists() else []
+
+    def _frame(self, key, messages):
+        seq, role, content, written_at = zip(*messages)
+        return pd.DataFrame({"invoke_id": [key[0]] * len(messages), "seq": pd.array(seq, "Int64"), "role": role, "content": content, "written_at": pd.to_datetime(list(written_at))})
+
+    def handleInputRows(self, key, rows, timerValues):
+        own = self._stored()
+        for frame in rows:
+            seqs, roles, contents = (frame[c].tolist() for c in ("seq", "role", "content"))
+            own = sorted(own + list(zip(seqs, roles, contents, (t.to_pydatetime() for t in frame["written_at"]))))[-self.keep :]
+        own = remembered(own, self.keep, self.ttl)
+        self.state.update((own,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(self._end(own))
+        yield self._frame(key, own)
+
+    def _end(self, own):
+        return int((pd.Timestamp(max(m[3] for m in own)) + self.ttl - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield self._frame(key, [(pd.NA, None, None, pd.NaT)])
+
+    def close(self):
+        pass
+
+
+def stateful_history(pairs, table, checkpoint, keep=2 * D.history_messages, ttl_days=D.ttl_days, trigger=None):
+    """Start keeping the live messages of every room of a stream of pairs; ``read_live_history`` shows them.
+
+    Time is that of the messages. Rooms end when the newest message of the stream is the retention period ahead of the room's last and
+    of the same length as lateness; messages that come still later are dropped. A micro-batch that is run again replaces its own folder.
+    """
+    spark = pairs.sparkSession
+    late = pairs_to_messages(pairs.withWatermark("written_at", f"{int(ttl_days)} days"))
+    rooms = late.groupBy("invoke_id").transformWithStateInPandas(RoomMemory(keep, ttl_days), ROOM, "Update", "EventTime")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    writer = rooms.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # a query takes its settings when it starts
+    try:
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
+def read_live_history(spark, table, as_of=None, ttl_days=D.ttl_days):
+    """Messages of the rooms as their state last stood; with ``as_of``, rooms that have been silent since are left out."""
+    rows = spark.read.schema(f"{ROOM}, batch long").parquet(table)
+    last = rows.groupBy("invoke_id").agg(F.max("batch").alias("batch"), F.max_by("written_at", F.struct("batch", "seq")).alias("_newest"))
+    live = last if as_of is None else memory.live_rows(last, as_of, ttl_days, "_newest")
+    return rows.join(live.select("invoke_id", "batch"), ["invoke_id", "batch"]).where("seq IS NOT NULL").drop("batch")

@@ -91,3 +91,38 @@ def test_progress_listener(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert {r["stage"] for r in listener.events().collect()} == {"start", "batch", "done"}
+
+
+def test_room_memory_equals_batch(spark, tmp_path):
+    """Rooms that stay, end, restart after a silence or are busy, over five micro-batches and a restart."""
+    day = lambda d: F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(86_400.0) * d)
+    rows = [("busy", s, s / 40, "x") for s in range(400)] + [("ends", 1, 0.5, "a"), ("ends", 2, 0.9, "b"), ("back", 3, 0.2, "old"), ("back", 4, 8.0, "new"), ("back", 5, 9.5, "newer"), ("mute", 6, 9.0, "")]
+    pairs = spark.createDataFrame(rows, "invoke_id string, seq long, d double, assistant string").withColumns({"user": F.concat(F.lit("q"), F.col("seq").cast("string")), "written_at": day(F.col("d"))})
+    base = str(tmp_path)
+    kind = pairs.drop("d").schema
+
+    def feed(part):
+        pairs.where(F.floor(F.col("d") / 2) == part).drop("d").coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def start():
+        finish(history.stateful_history(source(spark, f"{base}/in", kind), f"{base}/table", f"{base}/checkpoint", ttl_days=2))
+
+    before = spark.conf.get(history.STATE_STORE, None)
+    for part in range(3):
+        feed(part)
+    start()
+    early = {r.invoke_id for r in history.read_live_history(spark, f"{base}/table").collect()}
+    for part in (3, 4):
+        feed(part)
+    start()
+    assert spark.conf.get(history.STATE_STORE, None) == before
+    got = history.read_live_history(spark, f"{base}/table", day(F.lit(10.0)), 2)
+    want = memory.last_run(memory.trim_history(history.pairs_to_messages(pairs)), 2)
+    newest = want.groupBy("invoke_id").agg(F.max("written_at").alias("_newest"))
+    want = memory.live_rows(want.join(newest, "invoke_id"), day(F.lit(10.0)), 2, "_newest").select(*got.columns)
+    assert got.count() == want.count() == 14 and got.exceptAll(want).isEmpty()
+    assert early == {"busy"} and {r.invoke_id for r in history.read_live_history(spark, f"{base}/table").collect()} == {"busy", "back"}
+    gone = spark.read.parquet(f"{base}/table").where("seq IS NULL")
+    assert {r.invoke_id for r in gone.collect()} >= {"ends"}
+    sizes = spark.read.parquet(f"{base}/table").groupBy("batch", "invoke_id").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 10
