@@ -144,8 +144,11 @@ def batches(spark, folder):
 
 
 def stages(spark, folder):
-    runs = C.table(spark, folder, "labels").select(F.col("doc_id").alias("run_id"), (F.col("toxic") == 1).alias("failed"))
-    return progress.stage_events(runs)
+    """The events of one ingestion of all documents, with the rows that its jobs have written."""
+    base = shared_folder(spark, "recorded")
+    docs = C.table(spark, folder, "documents").select(F.col("lang").alias("invoke_id"), "source", F.col("text").alias("markdown"))
+    flows.ingest_recorded(docs, f"{base}/chunks", 0, f"{base}/events", "documents", stamp(FIRST))
+    return progress.run_events(spark, f"{base}/events").drop("message")
 
 
 # --- templates: each document fills a memo and a report ---
@@ -330,10 +333,13 @@ SELECT request_id, pos, id::VARCHAR AS parent_id, text AS content FROM want JOIN
     batch_progress="""
 WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq, count(*) OVER (PARTITION BY source) AS total FROM documents)
 SELECT source, seq // 8 AS batch, max(seq) + 1 AS done, total, (50 + floor((max(seq) + 1) / total * 45))::INT AS percent FROM r GROUP BY source, seq // 8, total""",
-    stage_events="""
-WITH s AS (SELECT unnest(range(0, 8))::INT AS step, unnest([0, 5, 10, 15, 20, 30, 90, 100]) AS percent, unnest(['start', 'parse', 'parsed', 'keywords', 'chunked', 'index', 'indexed', 'done']) AS stage)
-SELECT doc_id AS run_id, step, percent, stage FROM labels, s WHERE toxic = 0 OR step = 0
-UNION ALL SELECT doc_id, 1, -1, 'error' FROM labels WHERE toxic = 1""",
+    stage_events=C.SQL_CHUNKS + f""",
+n AS (SELECT (SELECT count(*) FROM sheet WHERE length(t) > 0) AS pages, (SELECT count(*) FROM chunk) AS chunks,
+  (SELECT count(*) FROM (SELECT DISTINCT invoke_id, {C.SQL_ID} FROM chunk)) AS written),
+s AS (SELECT unnest(range(0, 8))::INT AS step, unnest([0, 5, 10, 15, 20, 30, 90, 100]) AS percent,
+  unnest(['start', 'parse', 'parsed', 'keywords', 'chunked', 'index', 'indexed', 'done']) AS stage,
+  unnest([NULL, NULL, pages, NULL, chunks, NULL, written, written]) AS n_rows FROM n)
+SELECT 'documents' AS run_id, step, percent, stage, n_rows FROM s""",
     fill_placeholders="SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents",
     render_memo=f"""
 SELECT doc_id, '<s><hp:p a>' || source || ' to ' || lang || ' via </hp:p>' || array_to_string(list_transform(string_split(text, chr(10)),

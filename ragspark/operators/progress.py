@@ -1,9 +1,11 @@
 """Progress rows of batch runs."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
 from ragspark.operators import skew
+from ragspark.session import saved
 
 D = S.DEFAULTS
 # Percent and stage of the ingest and call-summary runs.
@@ -33,9 +35,47 @@ def batch_progress(rows, key="source", position="seq", batch=D.graph_batch):
     )
 
 
-def stage_events(runs, stages=INGEST_STAGES, failed="failed", run="run_id"):
-    """Ordered events of each run; a failed run ends in one error event after its first stage."""
-    all_ = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(s).alias("stage")) for p, s in stages])
-    error = F.array(F.struct(F.lit(-1).alias("percent"), F.lit("error").alias("stage")))
-    events = F.when(F.coalesce(failed, F.lit(False)), F.concat(F.slice(all_, 1, 1), error)).otherwise(all_)
-    return runs.select(run, F.posexplode(events).alias("step", "e")).select(run, "step", "e.percent", "e.stage")
+EVENTS = "run_id string, step int, percent int, stage string, n_rows long, message string"
+
+
+class Run:
+    """The events of one run, told by its own jobs: a stage that has written rows carries their observed number.
+
+    A run is a ``with`` block. Its events, one per stage and one for an error, are written as one batch when it ends, however it ends.
+    """
+
+    def __init__(self, spark, path, run_id, stages=INGEST_STAGES):
+        self.spark, self.path, self.run_id = spark, path, run_id
+        self.percent = {stage: percent for percent, stage in stages}
+        self.events = []
+
+    def reach(self, stage, n_rows=None, message=None):
+        self.events.append((self.run_id, len(self.events), self.percent.get(stage, -1), stage, n_rows, message))
+
+    def watched(self, write):
+        """Calls ``write`` with a function that observes the rows passing through a frame; gives (result, their number).
+
+        The frame should be the last one before rows are written, so that a repeated earlier stage counts nothing twice.
+        """
+        seen = Observation()
+        result = write(lambda df: df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        return result, seen.get["rows"]
+
+    def stored(self, before, after, df, name):
+        """``df`` written to the shared folder between two stages, the second with the number of its rows."""
+        self.reach(before)
+        out, n = self.watched(lambda watch: saved(watch(df), name))
+        self.reach(after, n)
+        return out
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, error, trace):
+        if error is not None:
+            self.reach("error", message=str(error)[:1000])
+        self.spark.createDataFrame(self.events, EVENTS).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def run_events(spark, path):
+    return spark.read.schema(EVENTS).parquet(path)

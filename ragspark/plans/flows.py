@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from ragspark import settings as S
 from ragspark.functions import text as X
 from ragspark.operators import answers as A
-from ragspark.operators import chunking, dialogue, docjson, graph, inference, keywords, memory, retrieval, templates, vector_index
+from ragspark.operators import chunking, dialogue, docjson, graph, inference, keywords, memory, progress, retrieval, templates, vector_index
 from ragspark.session import saved
 from ragspark.sources import files, graph_store, store
 
 D = S.DEFAULTS
+STORED = ("invoke_id", "id", "content", "source", "page", "written_at")
 
 
 def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_keywords=True,
@@ -34,6 +35,21 @@ def ingest(docs, written_at, size=D.chunk_size, overlap=D.chunk_overlap, with_ke
     return made.withColumn("written_at", written_at)
 
 
+def ingest_recorded(docs, path, batch, events, run_id, written_at, size=D.chunk_size, overlap=D.chunk_overlap):
+    """``ingest`` of one batch into the table at ``path``, with the run's progress in ``events`` (see ``progress.Run``)."""
+    spark = docs.sparkSession
+    with progress.Run(spark, events, run_id) as run:
+        run.reach("start")
+        row = F.monotonically_increasing_id().alias("_row")
+        pages = run.stored("parse", "parsed", chunking.split_pages(docs.select("*", row)), "pages")
+        worded = keywords.tfidf_keywords(saved(chunking.chunk_text(pages, size, overlap), "chunks"), key=("_row", "page_seq", "chunk_seq"))
+        chunks = run.stored("keywords", "chunked", chunking.identify_chunks(worded.drop("_row"), "keywords").withColumn("written_at", written_at), "made")
+        run.reach("index")
+        _, n = run.watched(lambda watch: store.append_batch(chunks.select(*STORED), path, batch, watch=watch))
+        run.reach("indexed", n)
+        run.reach("done", n)
+
+
 def search(queries, chunks, stored, k=None, min_score=D.min_score, file=None):
     """Context and references per query; ``file`` narrows to one file after the top-k, as the reference does."""
     hits = retrieval.top_hits(queries, chunks, k)

@@ -35,9 +35,13 @@ def bucket_of(room):
     return F.pmod(F.xxhash64(room), F.lit(BUCKETS)).cast("int")
 
 
-def append_batch(rows, path, batch, room="invoke_id", key=CHUNK_KEY, newest="written_at"):
-    """Write the newest row of each key as one batch; a bucket is a folder, Spark splits large ones into files."""
+def append_batch(rows, path, batch, room="invoke_id", key=CHUNK_KEY, newest="written_at", watch=None):
+    """Write the newest row of each key as one batch; a bucket is a folder, Spark splits large ones into files.
+
+    ``watch`` may observe the rows as they are written (see ``progress.Run``).
+    """
     dealt = latest_rows(rows, key, newest).withColumn("bucket", bucket_of(F.col(room))).hint("rebalance", "bucket")
+    dealt = watch(dealt) if watch else dealt
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={int(batch)}")
 
 

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ragspark.operators import inference, parents
+from ragspark.operators import inference, parents, progress
 from ragspark.plans import flows
 from ragspark.sources import files, store
 
@@ -116,3 +116,21 @@ def test_vectors_are_stored_once_and_searched(spark, tmp_path):
     want = flows.search_text(asked, stored.drop("vectors"), k=1, min_score=0.5)
     assert got.count() == 2 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert got.orderBy("query_id").first()["references"][0]["source"] == "f"
+
+
+def test_recorded_ingestion(spark, tmp_path):
+    docs = spark.createDataFrame([("r", "a.md", "one two three"), ("r", "a.md", "one two three"), ("r", "b.md", " "), ("s", "c.md", "x\n--- Page 2 ---\ny")], "invoke_id string, source string, markdown string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    events = str(tmp_path / "events")
+    flows.ingest_recorded(docs, str(tmp_path / "chunks"), 0, events, "first", at)
+    rows = progress.run_events(spark, events).orderBy("step").collect()
+    assert [(r.stage, r.percent, r.n_rows) for r in rows] == [
+        ("start", 0, None), ("parse", 5, None), ("parsed", 10, 4), ("keywords", 15, None), ("chunked", 20, 4), ("index", 30, None), ("indexed", 90, 3), ("done", 100, 3),
+    ]
+    got = store.load_rows(spark, str(tmp_path / "chunks"))
+    want = store.latest_rows(flows.ingest(docs, at).select(*flows.STORED))
+    assert got.count() == 3 and got.exceptAll(want).isEmpty()
+    with pytest.raises(ValueError):
+        flows.ingest_recorded(docs, str(tmp_path / "chunks"), 1, events, "second", at, 100, 90)
+    rows = progress.run_events(spark, events).where("run_id = 'second'").orderBy("step").collect()
+    assert [(r.stage, r.percent) for r in rows] == [("start", 0), ("parse", 5), ("parsed", 10), ("error", -1)] and "overlap" in rows[-1].message

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from ragspark.operators import memory, streamlog
@@ -84,13 +86,12 @@ def test_progress_listener(spark, tmp_path):
     finish(chatlog.stream_chat_log(source(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/t", f"{tmp_path}/c"))
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     for _ in range(100):
-        if not listener.events().where("stage = 'done'").isEmpty():
+        if listener.last is not None:
             break
-        import time
-
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert {r["stage"] for r in listener.events().collect()} == {"start", "batch", "done"}
+    assert len(listener.events().inputFiles()) == 1
 
 
 def test_room_memory_equals_batch(spark, tmp_path):
