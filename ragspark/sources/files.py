@@ -4,14 +4,17 @@ import csv
 import io
 import itertools
 import re
+from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as X
 from ragspark.operators import skew
+from ragspark.session import saved
 
 # The columns of a chat log.
 CHAT_COLUMNS = ("sTalkerName", "formatted_date", "sTalkerContent", "sOriginalFileName")
@@ -77,8 +80,14 @@ def list_room_files(spark, path, room):
 
 
 def below(path, root):
-    """A file's path below the folder that was read."""
-    return F.element_at(F.split(path, "/" + re.escape(root.rstrip("/").split("/")[-1]) + "/", 2), -1)
+    """A file's path below the folder that was read; ``root`` may hold patterns only if it is relative."""
+    whole = urlsplit(root).path.rstrip("/")
+    known = whole if whole.startswith("/") and not set("*?[{") & set(whole) else "/" + root.rstrip("/").split("/")[-1]
+    return F.element_at(F.split(path, re.escape(known) + "/", 2), -1)
+
+
+def decoded_uri(uri):
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def decoded(content):
@@ -91,38 +100,141 @@ def decoded(content):
     return None
 
 
-def read_chat_csv(spark, path, rows_per_batch=10_000):
-    """Rows of ``.csv`` chat logs with ``file`` (the path below ``path``) and ``row_seq``; UTF-8, else CP949.
+_SPECIAL = re.compile(b'[",\r]')
+_PIECE = ["file", "block"]
+SCANNED = "file string, block long, line_no long, line binary, utf8 boolean, start0 boolean, start1 boolean, end0 boolean, end1 boolean"
+FIELDS = "file string, block long, local long, fields array<string>"
+
 
-    Each file is read by one task, which hands its records on in batches, so their order is kept and the file's own
-    header applies. Blank records are skipped but counted.
+def ends_inside(line, inside):
+    """Whether a line of bytes that starts inside a quoted field, or outside, ends inside one.
+
+    A quote opens a field only at its start; in CP949 no part of a character looks like a quote, comma or line end.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    schema = pa.schema([("file", pa.string()), ("row_seq", pa.int64()), *((c, pa.string()) for c in CHAT_COLUMNS)])
-
-    def records(name, content):
-        text = decoded(content)
-        if text is None:
-            raise ValueError(f"neither UTF-8 nor CP949: {name}")
-        lines = csv.reader(io.StringIO(text, newline=""))
-        header = next(lines, [])
-        absent = [c for c in CHAT_COLUMNS if c not in header]
-        if absent:
-            raise ValueError(f"missing columns {', '.join(absent)} in {name}")
-        at = [header.index(c) for c in CHAT_COLUMNS]
-        for seq, fields in enumerate(lines, 1):
-            if fields:
-                yield (name, seq, *(fields[k] if k < len(fields) else "" for k in at))
-
-    def read(batches):
+    opening, plain, quoted, closed = range(4)
+    state, at = (quoted if inside else opening), 0
+    for m in _SPECIAL.finditer(line):
+        if m.start() > at and state in (opening, closed):
+            state = plain
+        at = m.end()
+        if state == quoted:
+            state = closed if m.group() == b'"' else quoted
+        elif m.group() != b'"':
+            state = opening
+        elif state != plain:
+            state = quoted
+    return state == quoted
+
+
+def _scan(batches):
+    """Numbers the lines of every split and follows both cases: that it starts outside a quoted field, or inside."""
+    piece, n, now = None, 0, (False, True)
+    for b in batches:
+        out = []
+        for file, block, line, utf8 in zip(*(c.to_pylist() for c in b.columns)):
+            if piece != (file, block):
+                piece, n, now = (file, block), 0, (False, True)
+                if block == 0 and line.startswith(b"\xef\xbb\xbf"):
+                    line = line[3:]
+            end = tuple(ends_inside(line, x) for x in now) if b'"' in line or now[0] else now
+            out.append((file, block, n, line, utf8, *now, *end))
+            n, now = n + 1, end
+        if out:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), *[pa.bool_()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in SCANNED.split(", ")])
+
+
+def _placed(scanned):
+    """Per split: whether it starts inside a quoted field, the first line that starts a record, the split before it
+    in which one starts, and the file's encoding."""
+    pieces = saved(
+        scanned.groupBy(*_PIECE).agg(
+            F.max_by(F.struct("end0", "end1"), "line_no").alias("end"), F.min(F.when(~F.col("start1"), F.col("line_no"))).alias("_first1"), F.min("utf8").alias("utf8"),
+        ), "pieces",
+    )
+    to_here = W.partitionBy("file").orderBy("block")
+    before = to_here.rowsBetween(W.unboundedPreceding, -1)
+    # a split either fixes the state behind it, or swaps it, or leaves it: the last that fixes it and the swaps since decide
+    swaps = F.sum((F.col("end.end0") & ~F.col("end.end1")).cast("long")).over(to_here)
+    fixed = F.when(F.col("end.end0") == F.col("end.end1"), (F.col("end.end0").cast("long") + F.col("_swaps")) % 2)
+    known = pieces.withColumn("_swaps", swaps).withColumn("_fixed", fixed)
+    inside = (F.coalesce(F.last("_fixed", True).over(before), F.lit(0)) + F.coalesce(F.last("_swaps").over(before), F.lit(0))) % 2 == 1
+    known = known.withColumn("inside", inside)
+    first = F.when(F.col("inside"), F.col("_first1")).otherwise(F.lit(0))
+    known = known.withColumn("first", first)
+    owner = F.last(F.when(F.col("first").isNotNull(), F.col("block")), True).over(before)
+    utf8 = F.min("utf8").over(W.partitionBy("file"))
+    return known.select(*_PIECE, "first", owner.alias("owner"), utf8.alias("utf8"))
+
+
+def _records(batches):
+    """Records of lines that come sorted by file, split and place; a last row per split without fields counts them."""
+    csv.field_size_limit(2**31 - 1)
+
+    def rows():
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = records(name, content.as_py())
-                while part := list(itertools.islice(rows, rows_per_batch)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def text(lines, encoding, file):
+        line = next(lines, None)
+        while line is not None:
+            after = next(lines, None)
+            try:
+                whole = line[-1].decode(encoding) + ("\n" if after is not None or not line[-1] else "")
+            except UnicodeDecodeError:
+                raise ValueError(f"neither UTF-8 nor CP949: {file}") from None
+            yield from io.StringIO(whole, newline="")
+            line = after
+
+    def parsed():
+        for (file, block, utf8), lines in itertools.groupby(rows(), key=lambda r: r[:3]):
+            n = -1
+            for n, fields in enumerate(csv.reader(text(lines, "utf-8" if utf8 else "cp949", file))):
+                if fields:
+                    yield file, block, n, fields
+            yield file, block, n + 1, None
+
+    found = parsed()
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    while part := list(itertools.islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=["file", "block", "local", "fields"])
+
+
+def read_chat_csv(spark, path):
+    """Rows of ``.csv`` chat logs with ``file`` (the path below ``path``) and ``row_seq``; UTF-8, else CP949.
 
-    kind = "file string, row_seq long, " + ", ".join(f"{c} string" for c in CHAT_COLUMNS)
-    return files.select(below(F.col("path"), path), "content").mapInArrow(read, kind)
+    A file is read in splits by many tasks. A first pass follows quotes through the lines of each split, for both ways in which it may
+    start; how each does start follows from one row per split. Lines of a record that begins in an earlier split go there, and
+    each split's records are parsed in order as a stream, so that neither a file nor a long field limits anything. The
+    first record of a file names its columns. Blank records are skipped but counted.
+    """
+    raw = spark.read.option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(path)
+    lines = raw.select(below(decoded_uri(F.col("_metadata.file_path")), path).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary"), F.is_valid_utf8("value"))
+    scanned = saved(lines.mapInArrow(_scan, SCANNED), "lines")
+    pieces = saved(_placed(scanned), "splits")
+    few = skew.hot_keys(skew.count_keys(scanned, _PIECE), _PIECE, "_n")
+    placed = skew.lookup_join(scanned.select(*_PIECE, "line_no", "line"), pieces, _PIECE, few, spread=["line_no"])
+    own = F.when(F.col("line_no") >= F.col("first"), F.col("block")).otherwise(F.col("owner"))
+    ordered = placed.withColumn("_own", own).repartition("file", "_own").sortWithinPartitions("file", "_own", "block", "line_no")
+    records = saved(ordered.select("file", "_own", "utf8", "line").mapInArrow(_records, FIELDS), "records")
+
+    counts = records.where("fields IS NULL").select(*_PIECE, "local")
+    base = F.coalesce(F.sum("local").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = saved(counts.select(*_PIECE, base.alias("_base")), "starts")
+    head = records.where("block = 0 AND local = 0").select("file", "fields")
+    known = counts.select("file").distinct().join(head.where("fields IS NOT NULL"), "file", "left")
+    wanted = F.array(*map(F.lit, CHAT_COLUMNS))
+    absent = F.array_except(wanted, F.coalesce("fields", F.array().cast("array<string>")))
+    wrong = F.raise_error(F.concat(F.lit("missing columns "), F.array_join(absent, ", "), F.lit(" in "), F.col("file"))).cast("array<int>")
+    places = F.when(F.size(absent) > 0, wrong).otherwise(F.transform(wanted, lambda c: F.array_position("fields", c).cast("int")))
+    heads = saved(known.select("file", places.alias("_at")), "headers")
+
+    rows = records.where("fields IS NOT NULL AND NOT (block = 0 AND local = 0)")
+    hot = skew.hot_keys(counts.groupBy("file").agg(F.sum("local").alias("_n")), ["file"], "_n")
+    rows = skew.lookup_join(rows, heads, ["file"], hot, spread=["block", "local"])
+    rows = skew.lookup_join(rows, starts, _PIECE, skew.hot_keys(counts, _PIECE, "local"), spread=["local"])
+    columns = [F.coalesce(F.get("fields", F.get("_at", F.lit(k)) - 1), F.lit("")).alias(c) for k, c in enumerate(CHAT_COLUMNS)]
+    return rows.select("file", (F.col("_base") + F.col("local")).alias("row_seq"), *columns)
 
 
 # Converter output names in order of preference, then the pattern of any other.
@@ -146,5 +258,5 @@ def read_doc_json(spark, path):
     texts = spark.read.options(**options).text(path, wholetext=True).select(
         F.input_file_name().alias("_uri"), F.col("value").alias("json")
     )
-    file = below(F.url_decode(F.replace("_uri", F.lit("+"), F.lit("%2B"))), path)
+    file = below(decoded_uri(F.col("_uri")), path)
     return texts.select(file.alias("_file"), "json").join(chosen, "_file").select("doc_id", "json")
