@@ -261,7 +261,7 @@ def repair(rows):
     copies = W.partitionBy("gone", "conv_id", "role", "digest").orderBy(F.col("turn").asc_nulls_first(), "copy")
     narrow = told.select("conv_id", "turn", "role", "digest", "copy", "gone", tail.alias("tail")).withColumn("nth", F.row_number().over(copies))
     fault = F.when(F.col("tail") == "", "blank").when(F.col("nth") > 1, "duplicate").when(~F.col("tail").isin(".", "!", "?"), "truncated").otherwise("")
-    judged = narrow.withColumn("fault", fault).repartition("conv_id").sortWithinPartitions(*_order()).select("conv_id", "turn", F.left("role", F.lit(1)).alias("initial"), "fault", "gone")
+    judged = narrow.withColumn("fault", fault).repartition("conv_id").sortWithinPartitions(*_order(), "nth").select("conv_id", "turn", F.left("role", F.lit(1)).alias("initial"), "fault", "gone")
 
     def parse(batches):
         key, now = None, None
@@ -330,8 +330,8 @@ told as (
 judged as (
   select conv_id, turn, role, text, left(role, 1) as initial,
     case when tail = '' then 'blank' when nth > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' else '' end as fault,
-    row_number() over (partition by conv_id order by turn nulls first, role, digest, copy) as i,
-    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, digest, copy) as prior from told),
+    row_number() over (partition by conv_id order by turn nulls first, role, digest, copy, nth) as i,
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, digest, copy, nth) as prior from told),
 jumps(a, b, ins) as (values (0,0,''), (0,2,'I'), (0,3,'II'), (1,1,''), (1,2,'I'), (1,3,'II'), (2,2,''), (2,3,'I'), (3,3,''), (3,2,'I'), (2,2,'II'), (3,3,'II')),
 moves(a, b, edit, symbol) as (values
   (0,1,'K','s'), (0,2,'K','u'), (1,2,'K','u'), (3,2,'K','u'), (2,3,'K','a'), (0,2,'R',''), (1,2,'R',''), (3,2,'R',''), (2,3,'R',''),
