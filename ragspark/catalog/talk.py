@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ragspark.catalog import common as C
 from ragspark.functions import text as X
 from ragspark.operators import dialogue, memory
+from ragspark.plans import flows
+from ragspark.session import shared_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -90,6 +92,26 @@ def chat_log(spark, folder):
     )
 
 
+def written_log(spark, folder):
+    """The same logs as CSV files, one per user, with quotes, commas and line ends inside fields."""
+    path = shared_folder(spark, "chat-logs")
+    made = chat_log(spark, folder).withColumns(
+        {
+            "sTalkerContent": F.concat("sTalkerContent", F.lit(' "가", \n'), F.col("row_seq").cast("string")),
+            "formatted_date": F.coalesce("formatted_date", F.lit("")), "row_seq": F.col("row_seq").cast("string"),
+        }
+    )
+    dealt = made.repartition("file").sortWithinPartitions("file", F.col("row_seq").cast("long"))
+    dealt.write.partitionBy("file").options(header=True, quoteAll=True, escape='"', lineSep="\n").csv(path)
+    return path
+
+
+def file_transcripts(spark, folder):
+    """Transcripts read back from the files."""
+    user = F.regexp_extract("file", "file=([0-9]+)", 1).cast("long")
+    return flows.dialogue_transcripts(spark, written_log(spark, folder)).select(user.alias("file"), "row_seq", "kind", "line")
+
+
 SQL_LOG = """
 WITH log AS (
   SELECT user_id AS file, event_id AS row_seq,
@@ -123,8 +145,28 @@ QUERIES.update(
     date_headers=lambda s, d: dialogue.dialogue_rows(chat_log(s, d), rows_per_piece=1000)
     .where("new_date").select("file", "row_seq", "date", "later_date"),
     dialogue_transcripts=lambda s, d: dialogue.dialogue_lines(chat_log(s, d)),
+    dialogue_run_texts=lambda s, d: dialogue.run_texts(chat_log(s, d), 1000, 60),
+    file_transcripts=file_transcripts,
 )
+SQL_LINES = """
+SELECT file, SEQ AS row_seq, 0 AS kind, CASE WHEN p_day IS NULL THEN '' ELSE chr(10) END || '===== ' || day || ' =====' AS line
+FROM marked WHERE new_date
+UNION ALL
+SELECT file, SEQ, 1, CASE WHEN NOT new_run THEN text WHEN tm = '' THEN talker || ': ' || text
+  ELSE '[' || tm || '] ' || talker || ': ' || text END
+FROM marked WHERE talker <> ''"""
+SQL_FILES = SQL_LOG.replace(
+    "props ELSE props || '</FONT>' END AS text", "props || more ELSE props || '</FONT>' || more END AS text"
+).replace("WHEN event_id % 17 = 0 THEN ''", "WHEN event_id % 17 = 0 THEN trim(more)").replace(
+    "FROM events)", "FROM (SELECT *, ' \"가\", ' || chr(10) || event_id AS more FROM events))"
+).replace("AS row_seq,", "AS row_seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,", 1)
+
 ORACLE.update(
+    dialogue_run_texts=SQL_LOG + """,
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY file, run ORDER BY row_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 60 AS part,
+  min(row_seq) OVER (PARTITION BY file, run) AS first_row, first_value(tm) OVER (PARTITION BY file, run ORDER BY row_seq) AS time FROM runs)
+SELECT file, first_row, part::BIGINT AS part, talker, time, string_agg(text, chr(10) ORDER BY row_seq) AS text FROM placed WHERE talker <> '' GROUP BY ALL""",
+    file_transcripts=SQL_FILES + SQL_LINES.replace("SEQ", "n"),
     clean_content=SQL_LOG + "SELECT row_seq, text, att AS is_attachment FROM log",
     split_stamp=SQL_LOG + "SELECT row_seq, split_part(stamp, ' ', 1) AS day, split_part(stamp, ' ', 2) AS time FROM log",
     dialogue_runs=SQL_LOG + """

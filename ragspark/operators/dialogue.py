@@ -5,6 +5,7 @@ follow each other, so joining their text and writing them one by one give the sa
 more than a bounded piece of a file.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
@@ -13,6 +14,7 @@ from ragspark.operators import skew
 from ragspark.session import saved
 
 ROWS_PER_PIECE = 65_536
+PART_CHARS = 1_000_000
 HEADER, MESSAGE = 0, 1
 
 
@@ -107,3 +109,30 @@ def dialogue_runs(log, rows_per_piece=ROWS_PER_PIECE):
             F.sum(F.length("text")).alias("n_chars"),
         )
     )
+
+
+def run_texts(log, rows_per_piece=ROWS_PER_PIECE, part_chars=PART_CHARS):
+    """Runs with their text, in parts: file, first_row, part (from 0), talker, time, text.
+
+    A run's rows are joined by line ends; a row goes to the part in which its first character lies, counted in ``part_chars`` from the
+    start of the run, so a part holds about so many characters and joining the parts gives the run. Places are counted per piece of
+    a file and moved on by one sum per piece: no task holds a run or a file.
+    """
+    piece = ["file", "_piece"]
+    rows = saved(dialogue_rows(log, rows_per_piece), "dialogue").withColumns(
+        {"_piece": F.floor(F.col("row_seq") / rows_per_piece), "_n": F.length("text") + 1}
+    )
+    sums = rows.groupBy(*piece).agg(F.sum("_n").alias("_n"))
+    earlier = W.partitionBy("file").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    moved = sums.select(*piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_moved"))
+    inside = W.partitionBy(*piece).orderBy("row_seq").rowsBetween(W.unboundedPreceding, -1)
+    place = F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_moved")
+    counted = saved(rows.join(moved, piece).withColumn("_place", place).drop("_moved", "_n"), "places")
+    starts = counted.withColumn("_run", F.when(F.col("new_run"), F.struct(F.col("row_seq").alias("row"), F.col("_place").alias("place"), "talker", "time")))
+    placed = skew.with_carried(starts, ["file"], "_piece", "row_seq", last_set=["_run"]).withColumn("_run", F.coalesce("_run", "last__run"))
+    part = F.floor((F.col("_place") - F.col("_run.place")) / part_chars).alias("part")
+    parts = placed.where(F.length("talker") > 0).select("file", F.col("_run.row").alias("first_row"), part, F.col("_run.talker").alias("talker"), F.col("_run.time").alias("time"), "row_seq", "text")
+    lines = F.array_sort(F.collect_list(F.struct("row_seq", "text")))
+    return parts.groupBy("file", "first_row", "part", "talker", "time").agg(
+        F.array_join(F.transform(lines, lambda r: r["text"]), "\n").alias("text")
+    )

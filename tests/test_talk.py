@@ -147,3 +147,16 @@ def test_live_rows(spark):
     df = spark.createDataFrame([("old", "2024-01-01 00:00:00"), ("edge", "2024-01-03 00:00:00"), ("new", "2024-01-04 00:00:00")], "id string, t string")
     df = df.withColumn("written_at", F.to_timestamp("t"))
     assert {r["id"] for r in memory.live_rows(df, F.lit("2024-01-10").cast("timestamp")).collect()} == {"new"}
+
+
+def test_run_texts_in_parts(spark):
+    rng = random.Random(8)
+    rows = [("f", k, rng.choice(["a", "a", "a", "b", ""]), "" if k % 3 else f"2024-01-0{1 + k // 40} 10:0{k % 10}", "x" * rng.randrange(0, 30), "") for k in range(120)]
+    log = spark.createDataFrame(rows, "file string, row_seq long, sTalkerName string, formatted_date string, sTalkerContent string, sOriginalFileName string")
+    whole = {(r.first_row, r.talker, r.time): r.text for r in dialogue.run_texts(log, 7).collect()}
+    assert sum(len(t) for t in whole.values()) == sum(r.n_chars + r.n_rows - 1 for r in dialogue.dialogue_runs(log, 7).collect())
+    parts = {}
+    for r in sorted(dialogue.run_texts(log, 7, 40).collect(), key=lambda r: (r.first_row, r.part)):
+        assert len(r.text) < 40 + 30
+        parts.setdefault((r.first_row, r.talker, r.time), []).append(r.text)
+    assert {k: "\n".join(v) for k, v in parts.items()} == whole and any(len(v) > 1 for v in parts.values())
