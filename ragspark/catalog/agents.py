@@ -9,6 +9,8 @@ from ragspark.functions import text as X
 from ragspark.operators import answers as A
 from ragspark.operators import inference, memory
 from ragspark.plans import flows
+from ragspark.session import shared_folder
+from ragspark.sources import store
 
 QUERIES, ORACLE = {}, {}
 
@@ -140,6 +142,13 @@ WITH call AS (
   FROM conversations)
 """
 
+def written_results(spark, folder):
+    """Call summaries as a user keeps them: written to a table and read back."""
+    path = shared_folder(spark, "results")
+    store.write_results(flows.call_summaries(call_responses(spark, folder), model=inference.digest())[0], path)
+    return spark.read.parquet(path)
+
+
 QUERIES.update(
     parse_analysis=lambda s, d: flows.analyze(threads(s, d)).select(
         "thread_id", "is_clear", F.array_join("questions", "|").alias("questions"), "clarification", "awaiting"
@@ -147,6 +156,11 @@ QUERIES.update(
     strip_code_fence=lambda s, d: threads(s, d).select("thread_id", X.strip_code_fence(F.col("response")).alias("body")),
     route=lambda s, d: A.route(flows.analyze(threads(s, d)))[1].select("thread_id", "clarification"),
     explode_questions=lambda s, d: questions(s, d).select("thread_id", "idx", "question"),
+    explode_questions_capped=lambda s, d: A.explode_questions(A.route(flows.analyze(threads(s, d)))[0], limit=2).select("thread_id", "idx", "question"),
+    transcribe=lambda s, d: inference.transcribe(
+        C.table(s, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    ).select("doc_id", "response"),
+    write_results=written_results,
     hybrid_context=lambda s, d: evidence(s, d).drop("references"),
     choose_prompt=lambda s, d: evidence(s, d).select("thread_id", "idx", A.choose_prompt().alias("prompt")),
     no_evidence_answer=lambda s, d: evidence(s, d).where(~A.has_evidence()).select(
@@ -169,6 +183,11 @@ ORACLE.update(
     parse_analysis=SQL_THREADS + "SELECT thread_id, is_clear, array_to_string(questions, '|') AS questions, clarification, awaiting FROM parsed",
     route=SQL_THREADS + "SELECT thread_id, clarification FROM parsed WHERE NOT is_clear",
     explode_questions=SQL_THREADS + "SELECT thread_id, idx, question FROM question",
+    explode_questions_capped=SQL_THREADS + "SELECT thread_id, idx, question FROM question WHERE idx < 2",
+    transcribe="SELECT doc_id, text AS response FROM documents",
+    write_results=SQL_CALLS + f"""SELECT transcript, 0.0::DOUBLE AS duration_seconds, md5(to_json({{'model': 'model', 'messages': [
+  {{'role': 'system', 'content': {C.quoted(SUMMARY_HEAD)}}}, {{'role': 'user', 'content': {C.quoted(S.SUMMARY_LEAD_IN + chr(10) * 2)} || transcript}}],
+  'max_tokens': 4096, 'temperature': 0.0::DOUBLE}})::VARCHAR) AS summary FROM call WHERE transcript <> ''""",
     hybrid_context=SQL_THREADS + "SELECT thread_id, idx, question, context, CASE WHEN context IS NULL AND graph_context = '' THEN NULL ELSE graph_context END AS graph_context FROM evidence",
     choose_prompt=SQL_THREADS + "SELECT thread_id, idx, prompt FROM prompted",
     no_evidence_answer=SQL_THREADS + "SELECT thread_id, idx, answer FROM answered WHERE prompt IS NULL",

@@ -95,7 +95,44 @@ def sheet_documents(spark, folder):
     return C.table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), body.alias("json"))
 
 
+def _paragraph(*parts):
+    """JSON of a paragraph of texts (columns) and references to frames (numbers)."""
+    made = [F.to_json(F.struct(p.alias("text"))) if not isinstance(p, int) else F.lit(f'{{"objectID":{{"kind":"s","shapeID":{p}}}}}') for p in parts]
+    return F.concat(F.lit('{"content":['), F.concat_ws(",", *made), F.lit("]}"))
+
+
+def slide_documents(spark, folder):
+    """Each document is a deck of one slide: its source, its text inside up to ten groups, and its language."""
+    def shape(c):
+        return F.concat(F.lit('{"type":"shape","shape":{"para":['), _paragraph(c), F.lit("]}}"))
+
+    def grouped(inner, _):
+        return F.concat(F.lit('{"type":"group","group":{"shapes":['), inner, F.lit("]}}"))
+
+    depth = (F.col("doc_id") % 11).cast("int")
+    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    deep = F.aggregate(levels, shape(F.col("text")), grouped)
+    return C.table(spark, folder, "documents").select("doc_id", F.concat(
+        F.lit('{"summary_info":{"docName":"'), "source", F.lit('"},"slide":[{"slide_number":3,"note":"'), "lang",
+        F.lit('","contents":['), shape(F.col("source")), F.lit(","), deep, F.lit(","), shape(F.col("lang")), F.lit("]}]}"),
+    ).alias("json"))
+
+
+def word_documents(spark, folder):
+    """Each document is a page whose paragraph shows a frame, which shows the next of five, the last with the text."""
+    def frame(number, content):
+        return F.concat(F.lit(f'{{"ID":{number},"type":"shape","para":['), content, F.lit("]}"))
+
+    chain = [frame(k, _paragraph(F.lit(f"f{k} "), k + 1)) for k in range(1, 5)] + [frame(5, _paragraph(F.col("text")))]
+    return C.table(spark, folder, "documents").select("doc_id", F.concat(
+        F.lit('{"docName":"'), "source", F.lit('","frames":['), F.concat_ws(",", *chain),
+        F.lit('],"body":[{"pageInfo":{"pageNum":2},"para":['), _paragraph(F.concat("lang", F.lit(": ")), 1), F.lit("]}]}"),
+    ).alias("json"))
+
+
 QUERIES.update(
+    slides_md=lambda s, d: docjson.slides_md(slide_documents(s, d)),
+    word_body_md=lambda s, d: docjson.word_body_md(word_documents(s, d)),
     html_to_text=lambda s, d: C.table(s, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text")),
     validate_bullets=lambda s, d: C.table(s, d, "documents").select("doc_id", X.validate_bullets(F.col("text")).alias("text")),
     sheet_grid_md=sheet_grid,
@@ -131,7 +168,12 @@ SQL_LAST_PAGE = """chr(10) || '--- Page 0 ---' || chr(10) || chr(10) || chr(10)
   || chr(10) || chr(10) || chr(10) || '### Chart: ' || source || chr(10) || chr(10) || '**T**' || chr(10) || chr(10) || chr(10)
   || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || chr(10) || '$x^2$'
   || chr(10) || chr(10) || '[Equation: y=z]'"""
+SQL_SHOWN = f"CASE WHEN {C.sql_strip('text')} = '' THEN '' ELSE text END"
 ORACLE.update(
+    slides_md=f"""SELECT doc_id, '# ' || source || chr(10) || chr(10) || chr(10) || '--- Slide 3 ---' || chr(10) || chr(10) || '> **Note:** ' || lang || chr(10) || chr(10)
+  || source || chr(10) || chr(10) || CASE WHEN {SQL_SHOWN} = '' THEN '' ELSE text || chr(10) || chr(10) END || lang AS markdown FROM documents""",
+    word_body_md=f"""SELECT doc_id, '# ' || source || chr(10) || chr(10) || chr(10) || '--- Page 2 ---' || chr(10) || chr(10)
+  || lang || ': f1 f2 f3 f4 ' || {SQL_SHOWN} AS markdown FROM documents""",
     html_to_text=f"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(t, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title)\\b[^>]*>', chr(10), 'g') AS t FROM a),
