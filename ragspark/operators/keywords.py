@@ -1,11 +1,19 @@
 """Deterministic keywords and graph facts, used where no model is configured."""
 
+from collections import Counter
+from heapq import nsmallest
+from math import log
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragspark.functions import text as X
 from ragspark.operators import skew
 from ragspark.session import saved
 
+#: A dictionary of at most so many terms and characters may be held by every task, some hundred bytes a term.
+TASK_TERMS, TASK_CHARS = 500_000, 16_000_000
 # distinct terms of a full chunk, to turn chunk counts into row counts
 TERMS_PER_CHUNK = 128
 
@@ -22,17 +30,48 @@ def document_frequencies(chunks, scope, text):
     )
 
 
+def _scored_in_tasks(chunks, counted, n, scope, text):
+    """Chunks with their keywords, scored where they lie by a dictionary that every task holds; nothing is shuffled."""
+    sizes, terms = {}, {}
+    for *own, term, df in counted.where("term = '' OR df > 1").select(*scope, "term", "df").toLocalIterator():
+        if term:
+            terms.setdefault(tuple(own), {})[term] = df
+        else:
+            sizes[tuple(own)] = df
+    sent = chunks.sparkSession.sparkContext.broadcast((sizes, terms))
+    schema = T.StructType([*(f for f in chunks.schema.fields if f.name != "keywords"), T.StructField("keywords", T.StringType())])
+    names = schema.names[:-1]
+
+    def run(batches):
+        sizes, terms = sent.value
+        for b in batches:
+            found = []
+            for own, words in zip(zip(*(b.column(c).to_pylist() for c in scope)), b.column("_terms").to_pylist()):
+                if own not in sizes or None in own:
+                    found.append("")
+                    continue
+                size, known = sizes[own], terms.get(own, {})
+                weighed = ((-round(tf * log(size / known.get(t, 1)), 9), t) for t, tf in Counter(words or ()).items())
+                found.append(", ".join(t for _, t in nsmallest(n, weighed)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, pa.string())], names=[*names, "keywords"])
+
+    return chunks.select(*names, terms_of(F.col(text)).alias("_terms")).mapInArrow(run, schema)
+
+
 def tfidf_keywords(chunks, n=10, scope=("invoke_id",), key=("id",), text="text",
-                   max_broadcast_rows=skew.MAX_LOOKUP_ROWS, rows_per_task=skew.ROWS_PER_TASK):
+                   max_broadcast_rows=skew.MAX_LOOKUP_ROWS, rows_per_task=skew.ROWS_PER_TASK, task_terms=TASK_TERMS):
     """Adds ``keywords``: the ``n`` terms with the largest tf * ln(N / df), ties by term, comma separated.
 
-    The dictionary is written once, so its size is known: a small one is sent to every task and the chunks are
-    not shuffled by term; a large one is joined by term with frequent terms spread over several tasks. Terms
+    The dictionary is written once, so its size is known: one that a task can hold is sent to every task, and chunks
+    stay where they are. Chunks without a scope have none. A larger one is sent as a table, or joined by term with frequent terms spread over several tasks. Terms
     seen in one chunk only are left out of it, because a term that is not found has a df of 1.
     """
     scope, key = list(scope), list(key)
     on = [*scope, "term"]
     counted = saved(document_frequencies(chunks, scope, text), "terms")
+    held = counted.where("term = '' OR df > 1").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if held[0] <= task_terms and held[1] <= TASK_CHARS:
+        return _scored_in_tasks(chunks, counted, n, scope, text)
     size = counted.where("term = ''").select(*scope, F.col("df").alias("_size"))
     frequent = counted.where("term <> '' AND df > 1")
 

@@ -40,8 +40,11 @@ def test_keywords_with_hot_terms(spark):
     rows = [("r", str(i), f"common common word{i % 4} only{i}") for i in range(40)] + [("r", "blank", "..."), ("s", "x", "common")]
     df = spark.createDataFrame(rows, "invoke_id string, id string, text string")
     plain = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2).collect()}
-    salted = {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, max_broadcast_rows=0, rows_per_task=3).collect()}
-    assert plain == salted
+    for bounds in ({"task_terms": 0}, {"task_terms": 0, "max_broadcast_rows": 0, "rows_per_task": 3}):
+        assert plain == {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(df, 2, **bounds).collect()}
+    nowhere = df.limit(3).unionByName(df.limit(1).withColumns({"invoke_id": F.lit(None).cast("string"), "id": F.lit("null room")}))
+    for bounds in ({}, {"task_terms": 0}):
+        assert {r["id"]: r["keywords"] for r in keywords.tfidf_keywords(nowhere, 2, **bounds).collect()}["null room"] == ""
     assert plain["5"] == "only5, word1" and plain["blank"] == ""
 
 
