@@ -167,6 +167,7 @@ QUERIES.update(
         "thread_id", "idx", X.no_evidence_answer(F.col("question")).alias("answer")
     ),
     answer_questions=lambda s, d: answered(s, d)[0],
+    final_answers=lambda s, d: flows.merge_texts(answered(s, d)[0], inference.digest()),
     merge_references=lambda s, d: answered(s, d)[1],
     chat_payload=chat,
     transcript_of=lambda s, d: flows.call_summaries(call_responses(s, d))[0].select("call_id", "transcript"),
@@ -192,6 +193,7 @@ ORACLE.update(
     choose_prompt=SQL_THREADS + "SELECT thread_id, idx, prompt FROM prompted",
     no_evidence_answer=SQL_THREADS + "SELECT thread_id, idx, answer FROM answered WHERE prompt IS NULL",
     answer_questions=SQL_THREADS + "SELECT * FROM final",
+    final_answers=SQL_THREADS + "SELECT thread_id, n_answers, CASE WHEN n_answers > 1 THEN md5(text) ELSE text END AS text FROM final",
     merge_references=SQL_THREADS + """, ref AS (
   SELECT thread_id, idx, 0 AS pos, 'f' || conv_id % 5 AS source, 1 AS page FROM evidence WHERE context IS NOT NULL
   UNION ALL SELECT thread_id, idx, 1, 'common', idx FROM evidence WHERE context IS NOT NULL

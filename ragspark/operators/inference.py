@@ -1,5 +1,7 @@
 """One batch-inference operator; every model call is a function from a list of inputs to a list of outputs."""
 
+import logging
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,7 @@ def infer(df, in_col, out_col, factory, out_type="string", batch_size=D.encode_b
                 except Exception:
                     if on_error != "empty":
                         raise
+                    logging.getLogger(__name__).warning("a call for %d rows failed; %s is left empty", len(batch), out_col, exc_info=True)
                     got = []
                 outputs += (got + [empty] * len(batch))[: len(batch)]
             yield frame.assign(**{out_col: outputs})

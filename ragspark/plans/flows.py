@@ -159,6 +159,57 @@ def answer_questions(threads, passages, relations, model=None, limit=None):
     )
 
 
+def merge_texts(combined, model=None):
+    """``combine_answers`` with the merging call made: several answers become the model's text, others stay as they are."""
+    several = F.col("n_answers") > 1
+    merged = inference.complete(combined.where(several), "text", "_final", model)
+    merged = merged.select("thread_id", "n_answers", F.col("_final").alias("text"))
+    return merged.unionByName(combined.where(~several).select("thread_id", "n_answers", "text"))
+
+
+def asked_threads(messages, analyst=None):
+    """The latest question of every room with the analysis response to it: (thread_id, original, response).
+
+    The recent conversation is summarised by the model, then the question is analysed in its light; a room without
+    earlier messages is analysed without a summary.
+    """
+    rooms = conversation_context(messages).select(F.col("invoke_id").alias("thread_id"), "original", "conversation")
+    told = F.length(F.coalesce("conversation", F.lit(""))) > 0
+    prompted = rooms.withColumn("prompt", X.literal_template(S.PROMPT_RECALL, conversation=F.col("conversation")))
+    recalled = inference.complete(prompted.where(told), "prompt", "summary", analyst)
+    summed = saved(recalled.unionByName(prompted.where(~told).withColumn("summary", F.lit(""))), "summaries")
+    analysed = summed.withColumn("prompt", X.literal_template(S.PROMPT_ANALYZE, summary=F.col("summary"), question=F.col("original")))
+    return saved(inference.complete(analysed, "prompt", "response", analyst).select("thread_id", "original", "response"), "analysed")
+
+
+def answer_rooms(spark, messages, index_path, graph_path, analyst=None, model=None, k=None, min_score=D.min_score, file=None, encoder=None, limit=None):
+    """From stored messages to final texts: (texts, references, waiting), a room being a thread.
+
+    History, summary, analysis, one search in the stored vectors and one in the stored graph per question, an answer
+    for each, and one merging call for rooms with several. ``messages`` is as ``conversation_context`` takes it; every model call is stored.
+    """
+    threads = asked_threads(messages, analyst)
+    entities, edges = graph_store.load_graph(spark, graph_path)
+
+    def named(questions):
+        return questions.select(
+            F.col("thread_id").alias("invoke_id"), F.concat_ws("#", "thread_id", "idx").alias("query_id"), "thread_id", "idx", "question"
+        )
+
+    def passages(questions):
+        asked = saved(named(questions), "asked")
+        found = search_index(spark, asked.select("invoke_id", "query_id", "question"), index_path, k, min_score, file, encoder)
+        return asked.select("query_id", "thread_id", "idx").join(found, "query_id").select("thread_id", "idx", "context", "references")
+
+    def relations(questions):
+        asked = saved(named(questions).withColumnRenamed("query_id", "question_id"), "asked")
+        found = graph.graph_search(asked.select("invoke_id", "question_id", "question"), entities, edges, file)
+        return asked.select("question_id", "thread_id", "idx").join(found, "question_id").select("thread_id", "idx", "graph_context")
+
+    combined, references, waiting = answer_questions(threads, passages, relations, model, limit)
+    return merge_texts(combined, model), references, waiting
+
+
 def conversation_context(messages):
     """Latest question and recent-conversation text per room, the input of the analysis prompt."""
     asked = memory.last_message(messages).withColumnRenamed("content", "original")

@@ -82,6 +82,11 @@ PROMPT_CROSS = (
 )
 PROMPT_NO_PASSAGES = "(no passages)"
 PROMPT_MERGE = "Merge the answers below into one answer to: {question}\n{answers}"
+PROMPT_RECALL = "Summarise this conversation in a few sentences, for someone who answers its next question:\n{conversation}"
+PROMPT_ANALYZE = (
+    "Decide whether the question can be answered as it stands, and rewrite it as one or more questions that need no conversation. Reply"
+    " with JSON: is_clear, rewritten_questions, clarification_message.\n\nConversation so far:\n{summary}\n\nQuestion:\n{question}"
+)
 PROMPT_CLARIFY = "Please state your question more precisely."
 CHAT_SYSTEM = "You are a careful assistant. Rely on the supplied reference material."
 CHAT_WITH_CONTEXT = (
