@@ -20,8 +20,8 @@ from ragspark.llm.shared import saved
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length are numbered in so many parts.
-SALTS = 64
+#: Pieces of one length are numbered in parts of about so many.
+PART = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -106,15 +106,18 @@ def placed(counts, **limits):
 
 def pack(docs, path, capacity=CAPACITY, **limits):
     """Pieces of all documents with sequence_id and offset; sequences are filled from 0 without gaps."""
-    stored = saved(pieces(docs, path, capacity), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    stored = saved(pieces(docs, path, capacity), "pieces")
+    classes = saved(stored.groupBy("length").agg(F.count("*").alias("n")), "classes")
+    in_class = dict(classes.collect())
+    parts = F.broadcast(classes.select("length", F.ceil(F.col("n") / PART).alias("parts")))
+    stored = stored.join(parts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts")))
     counts = saved(stored.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
-    in_class = dict(counts.groupBy("length").agg(F.sum("n")).collect())
     length, first, sequence, offset = placed(in_class, capacity=capacity, **limits)
     code = (length << 40) + first
     before = counts.select(
         "length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before")
     )
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = stored.withColumn("own", own).join(F.broadcast(before), ["length", "salt"])
 
     def run(batches):

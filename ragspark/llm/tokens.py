@@ -7,6 +7,7 @@ its units. Each distinct unit is encoded once per worker process and remembered
 """
 
 import os
+import re
 
 import numpy as np
 
@@ -55,7 +56,10 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError(f"{path} has added tokens that depend on the text around them")
+        self.added = re.compile(b"|".join(re.escape(c) for c in sorted((t.content.encode() for t in added), key=len, reverse=True)) or b"(?!)")
         self._forget()
 
     def _forget(self):
@@ -68,7 +72,17 @@ class UnitEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def starts(self, data, offsets):
-        return unit_starts(data, offsets)
+        start = unit_starts(data, offsets)
+        raw = data.tobytes()
+        spans = []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()) if self.added.search(raw) else ():
+            spans += [m.span() for m in self.added.finditer(raw, a, z)]
+        if not spans:
+            return start
+        first, stop = np.array(spans, np.int64).T
+        at = np.searchsorted(first, start, "right") - 1
+        inside = (at >= 0) & (start > first[at]) & (start < stop[at])
+        return np.unique(np.concatenate((start[~inside], first, stop[stop < len(data)])))
 
     def _learn(self, hashes, texts):
         encoded = self.units(texts)

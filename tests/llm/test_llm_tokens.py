@@ -5,11 +5,12 @@ from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from ragspark.llm import packing, sentences, tokenfile
+from ragspark.llm import packing, sentences, tokenfile, tokens
 from ragspark.session import shared_folder
 
 WORD, BYTE, PIECE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -17,7 +18,6 @@ WORD, BYTE, PIECE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "b
 
 def ids_of(path, texts, end=()):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, *end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -95,6 +95,35 @@ def test_plans_keep_every_constraint(rule):
     assert back == counts
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_are_the_librarys(path):
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|startoftext|>", "x\n<|endoftext|>\n\ny", "<|endof", "text|> <|endoftext", "|>",
+        "don<|endoftext|>'t", "É<|startoftext|>É  <|endoftext|>  ", "<<|endoftext|>>", "<|endoftext|endoftext|>", "", None,
+    ]
+    column = pa.array(texts)
+    got = [ids[a:z].tolist() for _, ids, rows in tokens.encoded(column, path, 2) for a, z in zip(rows[:-1], rows[1:])]
+    assert got == [i.tolist() for i in ids_of(path, texts, (2,))]
+
+
+@pytest.mark.parametrize("limits, most", [({}, (1024, 1024, 1024**2)), ({"max_docs": 3}, (1024, 3, 1024**2)), ({"max_attention": 30_000}, (1024, 1024, 30_000))])
+def test_each_capacity_binds(limits, most):
+    plan = packing.plan({100: 4000, 90: 500, 7: 300}, **limits)
+    full = np.array([[sum(x), len(x), sum(y * y for y in x)] for x, _ in plan])
+    own = [i for i, k in enumerate(("capacity", "max_docs", "max_attention")) if k in limits] or [0]
+    assert (full <= most).all() and all((full[:, i] > 0.8 * most[i]).any() for i in own)
+    free = np.array([[sum(x), len(x), sum(y * y for y in x)] for x, _ in packing.plan({100: 4000, 90: 500, 7: 300})])
+    assert all((free[:, i] > most[i]).any() for i in own if i)
+
+
+def test_hot_lengths_are_numbered_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 5)
+    got = packing.pack(docs, BYTE).toPandas()
+    assert len(got) == packing.pieces(docs, BYTE).count()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *accumulate(s.length)][:-1] and s.length.sum() <= 1024
+
+
 def test_packing_of_nothing(none):
     assert packing.pack(none, BYTE).isEmpty()
 
