@@ -255,7 +255,7 @@ def near_duplicates(vectors, vec_id="vec_id", embedding="embedding", label="labe
 
     Only vectors of one label and one length are compared. A vector that is null, empty or zero, or holds a null or a
     value that is not finite, and one without a label, links with nothing. Rows with an equal vector and label are linked,
-    whatever their ids; rows that repeat an id count as rows. Other columns are not read.
+    whatever their ids; rows that repeat an id count as rows, each with the links of its own vector. Other columns are not read.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("embedding"))
     sound = (
@@ -265,10 +265,12 @@ def near_duplicates(vectors, vec_id="vec_id", embedding="embedding", label="labe
     valid = rows.where(sound)
     key = F.md5(F.concat_ws(",", F.transform("embedding", lambda x: (x + F.lit(0.0).cast("float")).cast("string"))))
     same = saved(valid.select("vec_id", "label", key.alias("same")), "same")
-    groups = saved(same.groupBy("label", "same").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "groups")
-    first = valid.join(groups.select(F.col("id").alias("vec_id"), "label", "many"), ["vec_id", "label"]).dropDuplicates(["vec_id", "label"])
+    # one number per distinct vector of a label: an id may stand for several vectors
+    groups = same.groupBy("label", "same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("many"))
+    groups = saved(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    first = valid.withColumn("same", key).join(groups, ["label", "same", "vec_id"]).dropDuplicates(["id"])
     turned = saved(
-        first.select(F.col("vec_id").alias("id"), "label", "many", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
+        first.select("id", "label", "many", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
             _rotate, "id long, label long, many long, embedding array<double>, turned array<double>"), "turned"
     )
     cells = saved(turned.select("id", "label", "turned").mapInArrow(_enter, "id long, label long, cell long, part binary"), "cells")
@@ -287,9 +289,11 @@ def near_duplicates(vectors, vec_id="vec_id", embedding="embedding", label="labe
         members.repartition("label", "cell", "tile").sortWithinPartitions("label", "cell", "tile").mapInArrow(_compare, "a long, b long, links long"), "links"
     )
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("a <> b").select("a", "b"))
+    joined = saved(components(found.where("a <> b").select("a", "b")), "joined")
+    least = joined.join(groups.select("id", "vec_id"), "id").groupBy("component_id").agg(F.min("vec_id").alias("least"))
+    joined = joined.join(least, "component_id").select("id", "least")
     own = groups.join(links, "id", "left").join(joined, "id", "left").select(
-        "label", "same", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+        "label", "same", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id")
     )
     found = same.join(own, ["label", "same"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(F.expr(sound), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

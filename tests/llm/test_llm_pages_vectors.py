@@ -96,6 +96,17 @@ def test_links_of_vectors(spark, monkeypatch, tile):
     assert embeddings.near_duplicates(frame.where("false")).isEmpty()
 
 
+def test_ids_that_stand_for_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.standard_normal((3, 40))
+    near = lambda v: (v + rng.standard_normal(40) * 0.01).astype(np.float32).tolist()
+    rows = [(1, near(a), 1), (1, near(b), 1), (2, near(b), 1), (3, near(a), 1), (1, near(c), 2), (5, near(c), 2), (5, near(c), 2), (4, near(a), 2)]
+    rows += [(7, rows[0][1], 1), (3, rows[0][1], 1), (3, rows[0][1], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, embeddings.near_duplicates(frame).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == brute_force(rows)
+
+
 def test_links_of_the_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(1000)
     rows = [(r.vec_id, list(r.embedding), r.label) for r in frame.collect()]
