@@ -191,8 +191,9 @@ def marked(spark, folder):
 
 # --- streams ---
 def stream(spark, folder, name):
-    schema = C.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """One input table as a stream. The pattern stands for its file as well as for the files of a folder of that name."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run(query):

@@ -127,3 +127,14 @@ def test_room_memory_equals_batch(spark, tmp_path):
     assert {r.invoke_id for r in gone.collect()} >= {"ends"}
     sizes = spark.read.parquet(f"{base}/table").groupBy("batch", "invoke_id").count()
     assert sizes.agg(F.max("count")).first()[0] <= 10
+
+
+def test_tables_in_one_file_or_in_a_folder_are_streamed(spark, tmp_path):
+    from ragspark.catalog import stores
+
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    small.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = store.latest_rows(ingest.chunk_rows(small.select(F.col("lang").alias("invoke_id"), "source", F.col("text").alias("markdown")), stores.stamp(stores.FIRST)))
+    got = stores.streamed_chunks(spark, str(tmp_path))
+    assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
+    assert stores.streamed_chunks(spark, "/root/testdata/sf0.001").count() > got.count()
