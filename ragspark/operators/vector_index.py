@@ -1,6 +1,6 @@
 """A stored index of token vectors: centroid lists, compressed residuals, and exact scores of the few best.
 
-A codebook of centroids is fitted to a bounded sample. Every stored chunk has, beside its vectors, the centroids
+A codebook of centroids is fitted to a bounded sample. Every stored chunk has, beside its text, the centroids
 that its tokens are nearest to, and a code of each token: its centroid and, in four bits per number, what is left over. A search
 reads these in turn, each time a narrower column set of fewer rows:
 
@@ -8,7 +8,8 @@ reads these in turn, each time a narrower column set of fewer rows:
 2. the codes of the ``WIDE`` * k best chunks of a query: scores with vectors put together from the codes,
 3. the vectors of the ``NEAR`` * k best: exact scores, of which the k best are returned.
 
-Nothing is encoded but the queries. Queries go to the tasks in blocks of bounded size; chunks are not shuffled.
+Vectors take many times the disk of their texts, so they are stored only on demand; without them the texts of the ``NEAR`` * k
+best chunks of each query are encoded again, and nothing else but the queries. Queries go to the tasks in blocks of bounded size; chunks are not shuffled.
 """
 
 import numpy as np
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ragspark import settings as S
-from ragspark.operators import packed, retrieval, skew
+from ragspark.operators import inference, packed, retrieval, skew
 from ragspark.session import saved
 
 D = S.DEFAULTS
 #: Bounds of the codebook: tokens of the sample, centroids, and rounds of fitting.
 SAMPLE_TOKENS, MAX_LISTS, ROUNDS = 65_536, 2_048, 6
+#: Chunks that are encoded to draw the sample from.
+SAMPLE_CHUNKS = 8_192
 PROBES, WIDE, NEAR = 4, 128, 16
 LEVELS = 16
 PRODUCTS = 4_000_000
@@ -74,10 +77,10 @@ class Codebook:
         return self.centroids[np.ascontiguousarray(rows[:, :2]).view("<u2")[:, 0].astype(np.int64)] + rest, (ends - ends[0]) // width
 
 
-def fit(chunks, vectors="vectors", lists=None):
-    """The codebook of stored chunks, from about SAMPLE_TOKENS of their tokens, chosen by a hash of chunk and place.
+def fit(chunks, vectors="vectors", lists=None, share=1.0):
+    """The codebook of chunks, from about SAMPLE_TOKENS of their tokens, chosen by a hash of chunk and place.
 
-    Without any token it has no centroid; then all scores are 0.
+    ``share`` is the part of all chunks that is given. Without any token the codebook has no centroid; then all scores are 0.
     """
     total = chunks.agg(F.sum(F.length(vectors) - 4)).first()[0] or 0
     dim = chunks.where(F.length(vectors) > 4).select(vectors).first()
@@ -100,7 +103,7 @@ def fit(chunks, vectors="vectors", lists=None):
     rows = sorted(r.v for r in drawn.toLocalIterator())
     sample = np.frombuffer(b"".join(rows), "<f4").reshape(-1, dim)
     different = np.unique(sample, axis=0)
-    wanted = lists or 2 ** int(np.log2(4 * max(1.0, tokens) ** 0.5))
+    wanted = lists or 2 ** int(np.log2(4 * max(1.0, tokens / share) ** 0.5))
     n = max(1, min(MAX_LISTS, wanted, len(different)))
     rng = np.random.default_rng(17)
     book = Codebook(different[rng.permutation(len(different))[:n]], np.zeros((dim, LEVELS - 1)), np.zeros((dim, LEVELS), np.float32))
@@ -121,6 +124,25 @@ def fit(chunks, vectors="vectors", lists=None):
     return Codebook(book.centroids, cuts, means)
 
 
+def fit_texts(chunks, encoder=None, text="content"):
+    """``fit`` for stored chunks without vectors: about SAMPLE_CHUNKS of them, chosen by a hash of their key, are encoded."""
+    n = chunks.count()
+    share = min(1.0, SAMPLE_CHUNKS / max(1, n))
+    some = chunks if share == 1.0 else chunks.where(F.pmod(F.xxhash64("id", "invoke_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    made = saved(inference.encode(some.select("invoke_id", "id", text), text, "vectors", False, encoder, True), "sample")
+    return fit(made, share=share)
+
+
+def _distinct(flat):
+    """Rows of the distinct tokens, and the number of each token among them; equal hashes of unequal tokens count as no repeats."""
+    words = np.ascontiguousarray(flat, "<f4").view("<u4").astype(np.uint64)
+    odd = np.random.default_rng(5).integers(1, 2**63, words.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    _, first, back = np.unique((words * odd).sum(1), return_index=True, return_inverse=True)
+    if (words[first][back] != words).any():
+        return np.arange(len(flat)), np.arange(len(flat))
+    return first, back
+
+
 def save_codebook(spark, book, path):
     row = (book.centroids.shape[1], book.centroids.astype("<f4").tobytes(), book.cuts.astype("<f8").tobytes(), book.means.astype("<f4").tobytes())
     spark.createDataFrame([row], "dim int, centroids binary, cuts binary, means binary").coalesce(1).write.mode("overwrite").parquet(path)
@@ -143,8 +165,9 @@ def indexed(chunks, book, vectors="vectors"):
             flat, starts = packed.matrices(b.column(vectors))
             lists, codes = [b""] * b.num_rows, [b""] * b.num_rows
             if len(flat):
-                own = book.nearest(flat)[:, 0]
-                code = book.code(flat, own)
+                first, back = _distinct(flat)
+                own = book.nearest(flat[first])[:, 0]
+                code, own = book.code(flat[first], own)[back], own[back]
                 for k in range(b.num_rows):
                     lists[k] = np.unique(own[starts[k] : starts[k + 1]]).astype("<u2").tobytes()
                     codes[k] = code[starts[k] : starts[k + 1]].tobytes()
@@ -207,11 +230,17 @@ def _listed(queries, table, book, n, probes):
     return table.select("invoke_id", "id", "lists").mapInArrow(run, retrieval.HIT_FIELDS)
 
 
-def _scored(queries, hits, table, column, decode):
-    """The hits with scores from ``decode`` of their chunks' ``column``; chunks without a hit are not read further."""
+def _scored(queries, hits, table, column, decode, encoder=None):
+    """The hits with scores from ``decode`` of their chunks' ``column``; chunks without a hit are not read further.
+
+    Where the table has no such column it is made from the texts of the chunks that are hit.
+    """
     pairs = saved(hits.groupBy("invoke_id", F.col("doc_id").alias("id")).agg(F.collect_list("query_id").alias("asked")), "hits")
     few = pairs.limit(skew.MAX_LOOKUP_ROWS + 1).count() <= skew.MAX_LOOKUP_ROWS
-    rows = table.select("invoke_id", "id", column).join(F.broadcast(pairs) if few else pairs, ["invoke_id", "id"])
+    given = column in table.columns
+    rows = table.select("invoke_id", "id", column if given else "content").join(F.broadcast(pairs) if few else pairs, ["invoke_id", "id"])
+    if not given:
+        rows = inference.encode(rows, "content", column, False, encoder, True)
     sent = table.sparkSession.sparkContext.broadcast(queries.rooms)
 
     def run(batches):
@@ -233,11 +262,11 @@ def _scored(queries, hits, table, column, decode):
     return rows.mapInArrow(run, retrieval.HIT_FIELDS)
 
 
-def search(queries, table, book, k=None, probes=PROBES, wide=WIDE, near=NEAR):
+def search(queries, table, book, k=None, probes=PROBES, wide=WIDE, near=NEAR, encoder=None):
     """The k best chunks of each query's room: (invoke_id, query_id, doc_id, score, rank), scores exact.
 
     ``queries(invoke_id, query_id, q_vectors)`` with packed vectors, one row per room and query. ``table`` has invoke_id, id,
-    lists, codes and vectors. More queries than one task may hold are taken in blocks, each of which reads the lists once.
+    lists, codes, and vectors or the content from which ``encoder`` makes them. More queries than one task may hold are taken in blocks, each of which reads the lists once.
     """
     k = k or D.top_k
     queries = queries.select("invoke_id", "query_id", "q_vectors").where("invoke_id IS NOT NULL AND query_id IS NOT NULL")
@@ -251,6 +280,6 @@ def search(queries, table, book, k=None, probes=PROBES, wide=WIDE, near=NEAR):
         mine = table.where(room)
         listed = retrieval.rank_hits(_listed(asked, mine, book, wide * k, probes), wide * k)
         coded = retrieval.rank_hits(_scored(asked, listed, mine, "codes", book.decode), near * k)
-        exact = retrieval.rank_hits(_scored(asked, coded, mine, "vectors", packed.matrices), k)
+        exact = retrieval.rank_hits(_scored(asked, coded, mine, "vectors", packed.matrices, encoder), k)
         out = exact if out is None else out.unionByName(exact)
     return out

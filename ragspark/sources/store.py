@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragspark.operators import skew
+from ragspark.session import saved
 
 CHUNK_KEY = ("invoke_id", "id")
 #: A property of the stored tables; readers and writers must agree.
@@ -35,21 +36,31 @@ def bucket_of(room):
     return F.pmod(F.xxhash64(room), F.lit(BUCKETS)).cast("int")
 
 
-def append_batch(rows, path, batch, room="invoke_id", key=CHUNK_KEY, newest="written_at", watch=None):
+def append_batch(rows, path, batch, room="invoke_id", key=CHUNK_KEY, newest="written_at", watch=None, per_file=0):
     """Write the newest row of each key as one batch; a bucket is a folder, Spark splits large ones into files.
 
-    ``watch`` may observe the rows as they are written (see ``progress.Run``).
+    ``watch`` may observe the rows as they are written (see ``progress.Run``). ``per_file`` bounds the rows of a file.
     """
     dealt = latest_rows(rows, key, newest).withColumn("bucket", bucket_of(F.col(room))).hint("rebalance", "bucket")
     dealt = watch(dealt) if watch else dealt
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={int(batch)}")
+    write_batch(dealt, path, batch, per_file)
+
+
+def write_batch(dealt, path, batch, per_file=0):
+    """Write rows that are one of each key and have their ``bucket``, without a shuffle."""
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", per_file).partitionBy("bucket").parquet(f"{path}/batch={int(batch)}")
+
+
+def read_batch(spark, path, batch):
+    """The rows of one batch as they were written, with their ``bucket``."""
+    return spark.read.parquet(f"{path}/batch={int(batch)}")
 
 
 def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id", schema=None, only=None):
     """Newest rows of a stored table; a missing table is empty if ``schema`` is given.
 
     ``only`` names one room and reads its bucket alone. Versions are ranked on keys and times; whole rows only meet the list
-    of rewritten ones, which Spark broadcasts while it is small.
+    of rewritten ones. That is stored first, so that its size is known: one that fits goes to every task.
     """
     try:
         rows = spark.read.option("basePath", path).parquet(path)
@@ -57,11 +68,14 @@ def load_rows(spark, path, key=CHUNK_KEY, newest="written_at", room="invoke_id",
         if schema is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    mine = F.lit(True) if only is None else F.col("bucket") == bucket_of(F.lit(only))
     if only is not None:
-        rows = rows.where((F.col("bucket") == bucket_of(F.lit(only))) & (F.col(room) == F.lit(only)))
+        rows = rows.where(mine & (F.col(room) == F.lit(only)))
     version = [*key, newest, "batch"]
     w = W.partitionBy(*key).orderBy(F.desc(newest), F.desc("batch"))
-    old = rows.select(*version).withColumn("_rn", F.row_number().over(w)).where("_rn > 1").select(*version)
+    ranked = rows.select(*version, "bucket").withColumn("_rn", F.row_number().over(w))
+    old = saved(ranked.where("_rn > 1").drop("_rn"), "rewritten", ["bucket"]).where(mine)
+    old = F.broadcast(old) if old.limit(skew.MAX_LOOKUP_ROWS + 1).count() <= skew.MAX_LOOKUP_ROWS else old
     same = [rows[c].eqNullSafe(old[c]) for c in version]
     return rows.join(old, same, "left_anti").drop("batch", "bucket")
 

@@ -84,3 +84,23 @@ def test_empty_index(spark, tmp_path):
     book = vector_index.fit(chunks)
     queries = inference.encode(spark.createDataFrame([("r", "q", "a b")], "invoke_id string, query_id string, t string"), "t", "q_vectors", True, None, True)
     assert vector_index.search(queries, vector_index.indexed(chunks, book), book).isEmpty()
+
+
+def test_index_takes_less_disk_than_its_vectors(spark, tmp_path):
+    """No step of building or searching the index, and none of the exact search, shuffles or stores all token vectors."""
+    from ragspark.sources import store
+
+    rng = random.Random(7)
+    rows = [("r", f"id{i}", " ".join(f"w{rng.randrange(500)}" for _ in range(200)), "f", 1) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "invoke_id string, id string, content string, source string, page int").withColumn("written_at", F.current_timestamp())
+    flows.index_chunks(chunks, str(tmp_path / "index"), 0)
+    table, book = flows.load_index(spark, str(tmp_path / "index"))
+    written = sum(p.stat().st_size for p in (tmp_path / "index").rglob("*.parquet"))
+    assert "vectors" not in table.columns and written < 300 * 200 * 64 / 2
+    assert "Exchange" not in plan(table.select("codes")).replace("BroadcastExchange", "")
+    queries = inference.encode(spark.createDataFrame([("r", "q", rows[3][2])], "invoke_id string, query_id string, t string"), "t", "q_vectors", True, None, True)
+    want = retrieval.top_hits(queries, inference.encode(store.latest_rows(chunks), as_packed=True).withColumnRenamed("id", "doc_id")).collect()
+    assert sorted(vector_index.search(queries, table, book).collect()) == sorted(want) and want
+    flows.index_chunks(chunks, str(tmp_path / "kept"), 0, keep_vectors=True)
+    kept, book = flows.load_index(spark, str(tmp_path / "kept"))
+    assert "vectors" in kept.columns and sorted(vector_index.search(queries, kept, book).collect()) == sorted(want)
