@@ -91,3 +91,16 @@ def test_deltas_stay_one_text(spark):
     rows = [("r", 65_530 + i, False, str(i % 10), None) for i in range(10)] + [("r", 65_540, True, None, None), ("r", 65_541, False, "late", None)]
     df = spark.createDataFrame(rows, "request_id string, seq long, done boolean, delta string, answer string")
     assert [r["text"] for r in streamlog.concat_deltas(df).collect()] == ["0123456789"]
+
+
+def test_keywords_of_many_terms_are_scored_where_the_chunks_lie(spark):
+    """A vocabulary of more than half a million terms: no chunk and no term of a chunk is shuffled."""
+    from plans_text import plan
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.concat(F.lit("t"), (F.col("id") % 1000 * 600 + i).cast("string")))
+    made = spark.range(2000).select(F.lit("r").alias("invoke_id"), F.col("id").cast("string").alias("id"), F.array_join(words, " ").alias("text"))
+    odd = spark.createDataFrame([("r", "x", "zz zz Zz aa"), (None, "n", "a b"), ("s", "e", "--"), ("s", "o", "é 漢字 b")], "invoke_id string, id string, text string")
+    out = keywords.tfidf_keywords(made.union(odd), 2)
+    assert "Exchange" not in plan(out)
+    got = {r["id"]: r["keywords"] for r in out.collect()}
+    assert got["x"] == "zz, aa" and got["n"] == got["e"] == "" and got["o"] == "b, é" and got["5"] == "t3000, t3001" and len(got) == 2004
