@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,19 @@ def test_stages_on_odd_rows(spark, odd, none):
         assert stage(spark, odd, folder).columns == odd.columns
         assert stage(spark, none, folder).isEmpty()
     assert corpus_pipeline.drop_near_copies(spark, odd, folder).where("doc_id in (7, 8, 5)").isEmpty()
+
+
+@pytest.mark.parametrize("bound", [200_000, 5])
+def test_models_learn_from_every_label(spark, monkeypatch, bound):
+    """A rare term of twelve among 400 toxic documents is learned, and the byte model counts half of the trusted ones."""
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", bound)
+    rows = [(d, ("vilexyz " if d % 10 == 1 else "") + f"plain words number{d % 7} here", "en") for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 10 == 1).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    model = toxicity.train(docs, marks)
+    x, _ = model.evidence(pa.array(["plain words vilexyz here", "plain words here"]))
+    assert x[0] > x[1] and len(model.scores) == 2
+    counted = []
+    monkeypatch.setattr(perplexity, "train", lambda d, trusted, text="text", own=perplexity.train: counted.append(trusted.count()) or own(d, trusted, text))
+    perplexity.classifier(docs, marks)
+    assert 130 < counted[0] < 230
