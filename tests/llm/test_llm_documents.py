@@ -248,6 +248,21 @@ def test_filter_gives_back_levels(spark):
     assert (lm.build(rows, 21).levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.01
 
 
+def scores_with_room(docs, monkeypatch, bits_each):
+    monkeypatch.setattr(lm, "BITS_EACH", bits_each)
+    return {(str(r.doc_id), r.n_tokens): r.score for r in lm.score(docs, lm.held_out()).collect()}
+
+
+@pytest.mark.parametrize("room", [3_000, 300])
+def test_scores_do_not_depend_on_the_bound_of_the_filter(docs, monkeypatch, room):
+    """N-grams that the filter has no room for, pairs alone or tokens too, are looked up in the counts."""
+    want = scores_with_room(docs, monkeypatch, 200)
+    monkeypatch.setattr(lm, "MAX_BITS_LOG2", 20)
+    got = scores_with_room(docs, monkeypatch, (1 << 20) // room)
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
 def test_language_model_of_nothing(none, odd):
     assert lm.score(none, lm.held_out()).isEmpty()
     unseen = lm.score(odd, F.lit(True)).collect()
