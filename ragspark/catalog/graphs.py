@@ -153,7 +153,7 @@ def expanded(spark, folder):
 def limited(spark, folder):
     entities, edges = stored(spark, folder)
     found = G.match_entities(questions(spark, folder), entities)
-    return G.limit_graph(G.expand_neighbors(found, edges)).drop("invoke_id")
+    return G.limited_neighbors(found, edges).drop("invoke_id")
 
 
 def context(spark, folder, file=None):

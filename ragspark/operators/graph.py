@@ -16,6 +16,8 @@ GRAPH_TYPE = (
 )
 #: Characters of the texts of one automaton, some hundred bytes each, and of the texts that meet it at once.
 AUTOMATON_CHARS, BLOCK_CHARS = 500_000, 8_000_000
+#: Rows that one task makes of matched names and their edges.
+EXPANDED_ROWS = 500_000
 
 
 def parse_graph(c):
@@ -228,8 +230,23 @@ def undirected(edges):
 
 
 def expand_neighbors(matched, edges):
-    """Left join of matched entities to their incident edges; an isolated entity keeps one empty row."""
-    return matched.join(undirected(edges), ["invoke_id", "name"], "left")
+    """Left join of matched entities to their incident edges; an isolated entity keeps one empty row.
+
+    The result has a row per question and edge of each name, many times the rows of both sides: the matches of a name are
+    cut into parts of about ``EXPANDED_ROWS`` such rows, and there are as many tasks as they need. Matches are stored,
+    because they are read twice.
+    """
+    key = ["invoke_id", "name"]
+    matched, near = saved(matched, "matched"), undirected(edges)
+    made = F.col("_l") * F.col("_r")
+    sizes = skew.count_keys(matched, key, "_l").join(skew.count_keys(near, key, "_r"), key).withColumn("_n", made)
+    parts = F.least("_l", F.ceil(F.col("_n") / EXPANDED_ROWS)).cast("int").alias("_parts")
+    hot = saved(sizes.where(F.col("_n") > EXPANDED_ROWS).select(*key, parts), "hot-names")
+    tasks = -(-int(sizes.agg(F.sum("_n")).first()[0] or 0) // EXPANDED_ROWS)
+    least = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return skew.salted_join(matched, near, key, hot, "left", ["question_id"], max(tasks, least)).select(
+        "invoke_id", "name", "question_id", "source", *EDGE_ORDER
+    )
 
 
 EDGE_ORDER = ("type", "neighbor", "description")
@@ -240,21 +257,24 @@ def limit_graph(expanded, n=D.graph_limit):
     return skew.first_n(expanded, ["invoke_id", "question_id"], n, "name", *EDGE_ORDER)
 
 
-def graph_search(questions, entities, edges, file=None, n=D.graph_limit):
-    """Graph context per question: up to ``n`` edge lines, empty text where nothing was found.
+def limited_neighbors(matched, edges, n=D.graph_limit):
+    """``limit_graph(expand_neighbors(matched, edges), n)`` without the whole expansion.
 
     Every matched name yields a row, so only a question's first ``n`` names and a name's first ``n`` edges can
     reach the result; both are cut on the map side before they meet. The names are stored, because they are
     read twice and finding them is the costly part.
     """
-    matched = match_entities(questions, entities, file)
     names = saved(skew.first_n(matched, ["invoke_id", "question_id"], n, "name").drop("rank"), "names")
     wanted = names.select("invoke_id", "name").distinct()
     near = skew.first_n(
         undirected(edges).join(wanted, ["invoke_id", "name"], "left_semi"), ["invoke_id", "name"], n, *EDGE_ORDER
     ).drop("rank")
-    rows = limit_graph(names.join(near, ["invoke_id", "name"], "left"), n)
-    return graph_context(rows, questions)
+    return limit_graph(names.join(near, ["invoke_id", "name"], "left"), n)
+
+
+def graph_search(questions, entities, edges, file=None, n=D.graph_limit):
+    """Graph context per question: up to ``n`` edge lines, empty text where nothing was found."""
+    return graph_context(limited_neighbors(match_entities(questions, entities, file), edges, n), questions)
 
 
 def graph_context(rows, questions):

@@ -112,6 +112,19 @@ def test_neighbours_limit_and_context(spark):
     assert {r["question_id"]: r["graph_context"] for r in same.collect()} == got
 
 
+def test_expansion_of_a_hub_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(G, "EXPANDED_ROWS", 100, raising=False)
+    matched = spark.createDataFrame([("r", f"q{i}", "hub", "f") for i in range(60)] + [("r", "q0", "alone", "f")], "invoke_id string, question_id string, name string, source string")
+    edges = spark.createDataFrame([("r", "hub", "R", f"n{i:02d}", "d", "f") for i in range(40)], "invoke_id string, src string, type string, dst string, description string, source string")
+    got = G.expand_neighbors(matched, edges)
+    assert got.columns == ["invoke_id", "name", "question_id", "source", "type", "neighbor", "description"]
+    assert got.count() == got.distinct().count() == 60 * 40 + 1 and got.where("neighbor is null").count() == 1
+    most = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert most <= 600
+    few = sorted(map(str, G.limited_neighbors(matched, edges, 7).collect()))
+    assert few == sorted(map(str, G.limit_graph(got, 7).collect())) and len(few) == 60 * 7
+
+
 def test_graph_from_keywords(spark):
     rows = [("r", "f", i, "b, a, c") for i in range(3)]
     chunks = spark.createDataFrame(rows, "invoke_id string, source string, chunk_no long, keywords string")
