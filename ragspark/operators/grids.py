@@ -28,8 +28,8 @@ def _lines(values, extents, keys, width, first):
 
 
 def _row_values(cells, keys):
-    """One map of column to text per row; the last cell written to a place wins."""
-    last = cells.groupBy(*keys, "row", "col").agg(F.max_by("text", "seq").alias("text"))
+    """One map of column to text per row; the last cell written to a place wins. Cells are dealt by row once, for both steps."""
+    last = cells.repartition(*keys, "row").groupBy(*keys, "row", "col").agg(F.max_by("text", "seq").alias("text"))
     return last.groupBy(*keys, "row").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "text")))).alias("_values")
     )

@@ -1,6 +1,7 @@
 import json
 import random
 
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from ragspark.operators import docjson, grids
@@ -175,3 +176,11 @@ def test_document_json_to_chunks(spark):
     doc = {"body": [{"pageInfo": {"pageNum": 2}, "para": [para("hello world")]}, {"pageInfo": {"pageNum": 3}, "para": [para("bye")]}], "docName": "w"}
     rows = flows.doc_json_to_chunks(frame(spark, doc), F.current_timestamp()).collect()
     assert sorted((r["page"], r["text"]) for r in rows) == [(1, "# w"), (2, "hello world"), (3, "bye")]
+
+
+def test_cells_are_shuffled_once_for_a_row(spark):
+    rows = [(1, 0, 0, "a", 1), (1, 0, 0, "b", 2), (1, 0, 2, "c", 1), (1, 3, None, None, 1)]
+    cells = spark.createDataFrame(rows, "k long, row int, col int, text string, seq int")
+    got = grids._row_values(cells, ["k"])
+    assert {r.row: r._values for r in got.collect()} == {0: {0: "b", 2: "c"}, 3: {}}
+    assert sum(line.strip(" +-:").startswith("Exchange") for line in plan(got).splitlines()) == 1
