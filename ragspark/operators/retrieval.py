@@ -19,6 +19,8 @@ QUERY_TOKENS = 65_536
 QUERY_BYTES = 64 << 20
 CHUNKS_PER_BLOCK = 1024
 QUERIES_PER_BLOCK = 256
+# a room has at most about this many blocks a side before they grow to the sizes above
+ROOM_BLOCKS = 16
 # cells of the largest query-token by document-token matrix held at once
 MATRIX_CELLS = 8_000_000
 
@@ -155,16 +157,22 @@ def _candidates_small(queries, chunks, k):
     return mine.select("invoke_id", "doc_id", "vectors").mapInArrow(score, HIT_FIELDS)
 
 
+def _blocks(df, size, most, name):
+    """Number of blocks of each room: of ``size`` rows, in large rooms of up to ``most``."""
+    rows = F.least(F.lit(max(size, most)), F.greatest(F.lit(size), F.ceil(F.col("_n") / ROOM_BLOCKS)))
+    return skew.count_keys(df, ["invoke_id"]).select("invoke_id", F.ceil(F.col("_n") / rows).cast("int").alias(name))
+
+
 def _candidates_blocks(queries, chunks, k, chunks_per_block, queries_per_block):
-    """Queries and chunks meet in (room, query block, chunk block) groups of bounded size."""
+    """Queries and chunks meet in (room, query block, chunk block) groups of bounded size.
 
-    def blocks(df, size, name):
-        return skew.count_keys(df, ["invoke_id"]).select(
-            "invoke_id", F.ceil(F.col("_n") / size).cast("int").alias(name)
-        )
+    Each side is repeated once per block of the other, so the blocks of a large room grow from the given sizes up to the
+    module's before they become more.
+    """
 
     counts = skew.count_keys(chunks, ["invoke_id"])
-    rooms = blocks(queries, queries_per_block, "nq").join(blocks(chunks, chunks_per_block, "nc"), "invoke_id")
+    asked = _blocks(queries, queries_per_block, QUERIES_PER_BLOCK, "nq")
+    rooms = asked.join(_blocks(chunks, chunks_per_block, CHUNKS_PER_BLOCK, "nc"), "invoke_id")
     hot = skew.hot_keys(counts, ["invoke_id"], "_n")
 
     def placed(df, key, n_own, n_other, own, other):

@@ -152,3 +152,9 @@ def test_encode_with_a_model_raises_and_keeps_raggedness(spark):
     with pytest.raises(Exception):
         inference.encode(df, factory=broken).collect()
     assert {r["answer"] for r in inference.complete(df, "content", factory=broken).collect()} == {""}
+
+
+def test_blocks_of_a_large_room_grow(spark):
+    rows = spark.range(10_000).selectExpr("if(id < 100, 'small', 'large') as invoke_id")
+    assert dict(R._blocks(rows, 4, 256, "n").collect()) == {"small": 15, "large": 39}
+    assert dict(R._blocks(rows, 1024, 1024, "n").collect()) == {"small": 1, "large": 10}
