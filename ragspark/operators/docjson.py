@@ -1,7 +1,8 @@
 """Structured document JSON to markdown.
 
-A table of documents (doc_id, json) is exploded to pages, slides, sheets, frames and cells, rendered by joins
-and grouping, and put together again per document. A document is one JSON value, which bounds every group here.
+Pages, decks and word-processor documents are rendered inside their row, so nothing of them is shuffled or stored;
+workbooks are exploded to sheets and cells, rendered by joins and grouping, and put together again per document. A
+document is one JSON value, which bounds every group here.
 """
 
 from pyspark.sql import functions as F
@@ -14,11 +15,23 @@ from ragspark.session import saved
 PARA = "array<struct<content:array<struct<text:string,objectID:string,breakType:string>>>>"
 CHART = "name:string,chartData:struct<title:string,chartType:string,csv:string,markdown:string>,csv:string,markdown:string"
 CELLS = f"array<struct<metrics:struct<rowaddr:int,coladdr:int,rowspan:int,colspan:int>,para:{PARA}>>"
-ITEM = (
-    f"struct<type:string,shape:struct<para:{PARA},col:array<struct<para:{PARA}>>>,table:struct<cells:{CELLS}>,"
-    f"group:struct<shapes:array<string>>,chart:struct<{CHART}>,equation:struct<rawMath:string>>"
+#: Levels of groups that are read with a document; what lies deeper stays text and is opened in further rounds.
+GROUP_LEVELS = 12
+
+
+def _nested(fields, group, levels=GROUP_LEVELS):
+    """Type of an item whose groups hold items of the same type, ``levels`` deep, and below that texts."""
+    inner = "string"
+    for _ in range(levels + 1):
+        inner = f"struct<{fields},{group.format(inner)}>"
+    return inner
+
+
+ITEM = _nested(
+    f"type:string,shape:struct<para:{PARA},col:array<struct<para:{PARA}>>>,table:struct<cells:{CELLS}>,"
+    f"chart:struct<{CHART}>,equation:struct<rawMath:string>", "group:struct<shapes:array<{}>>",
 )
-FRAME = f"struct<ID:string,type:string,cells:{CELLS},para:{PARA},shapes:array<string>,rawMath:string,{CHART}>"
+FRAME = _nested(f"ID:string,type:string,cells:{CELLS},para:{PARA},rawMath:string,{CHART}", "shapes:array<{}>")
 SHEETS = (
     "docName string, sheets array<struct<sheetName:string,rows:array<struct<row:string,cols:array<struct<col:string,"
     f"value:string>>>>,objects:struct<charts:array<struct<{CHART}>>,tables:array<struct<displayName:string,name:string,"
@@ -91,80 +104,111 @@ def reference_id(object_id):
     return F.nullif(found, F.lit(0))
 
 
-def _no_frames():
-    return F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
+def joined(df, keys, order, text, sep, out):
+    """Ordered concatenation of a document's pieces."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda s: s["t"]), sep).alias(out))
 
 
-def paragraph(p, frames):
-    def part(i):
-        framed = F.coalesce(F.element_at(frames, reference_id(i["objectID"])), F.lit(""))
-        return (
-            F.when(i["text"].isNotNull(), i["text"])
-            .when(i["objectID"].isNotNull(), framed)
-            .when(i["breakType"] == "softLineBreak", F.lit("\n"))
-            .otherwise(F.lit(""))
+def _none(kind):
+    return F.array().cast(f"array<{kind}>")
+
+
+# A piece of a paragraph is its text, or the place of the frame that stands there; a paragraph is its pieces.
+PIECES = "struct<text:string,frame:int>"
+
+
+def _pieces(p, ids):
+    """Pieces of a paragraph; ``ids`` are the frame numbers of its document."""
+
+    def piece(i):
+        text = F.when(i["text"].isNotNull(), i["text"]).when(
+            i["objectID"].isNull(), F.when(i["breakType"] == "softLineBreak", F.lit("\n")).otherwise(F.lit(""))
         )
+        place = F.nullif(F.array_position(ids, reference_id(i["objectID"])), F.lit(0)).cast("int") - 1
+        return F.struct(text.alias("text"), F.when(text.isNull(), place).alias("frame"))
 
-    return F.coalesce(F.array_join(F.transform(p["content"], part), ""), F.lit(""))
+    return F.coalesce(F.transform(p["content"], piece), _none(PIECES))
 
 
-def paragraphs(para, frames):
-    texts = F.filter(F.transform(para, lambda p: paragraph(p, frames)), lambda t: F.length(X.strip(t)) > 0)
-    return F.array_join(texts, "\n\n")
+def _all_pieces(para, ids):
+    return F.coalesce(F.transform(para, lambda p: _pieces(p, ids)), _none(f"array<{PIECES}>"))
 
 
-def joined(df, keys, order, text, sep, out):
-    """Ordered concatenation of a document's pieces."""
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda s: s["t"]), sep).alias(out))
+def _shown(pieces, texts):
+    """Text of a paragraph, with ``texts`` by place in its frames' places."""
+    return F.array_join(F.transform(pieces, lambda i: F.coalesce(i["text"], F.get(texts, i["frame"]), F.lit(""))), "")
 
 
-def flatten_groups(rows, shapes, item_type):
-    """Leaf items of (nested) groups: rows (..., at, item) with ``at`` a text that orders them depth first.
+def _paragraphs(paras, texts):
+    shown = F.filter(F.transform(paras, lambda p: _shown(p, texts)), lambda t: F.length(X.strip(t)) > 0)
+    return F.array_join(shown, "\n\n")
 
-    One level of groups is opened at a time until none is left, so any depth works and the plan stays small. What is
-    opened is stored, because the next level reads it.
-    """
 
-    def place(n):
-        return F.lpad(n.cast("string"), 9, "0")
+def _cells(cells, ids):
+    """Cells with their place, span and paragraphs."""
 
-    level = rows.withColumn("at", place(F.col("at")))
-    leaves = level.where(~F.col("item.type").eqNullSafe("group"))
-    while True:
-        inner = level.where("item.type = 'group'").select("*", F.posexplode(shapes(F.col("item"))).alias("_n", "_json"))
-        opened = F.from_json("_json", item_type).alias("item")
-        level = saved(
-            inner.select(*[c for c in rows.columns if c not in ("at", "item")], F.concat("at", F.lit("."), place(F.col("_n"))).alias("at"), opened).select(*rows.columns), "groups"
-        )
-        if level.isEmpty():
-            return leaves
-        leaves = leaves.unionByName(level.where(~F.col("item.type").eqNullSafe("group")))
+    def metric(c, name, default):
+        return F.coalesce(c["metrics"][name], F.lit(default)).alias(name)
 
+    return F.transform(cells, lambda c: F.struct(
+        metric(c, "rowaddr", 0), metric(c, "coladdr", 0), metric(c, "rowspan", 1), metric(c, "colspan", 1),
+        _all_pieces(c["para"], ids).alias("paras"),
+    ))
 
-def table_cells(tables, keys, cells, frames=None):
-    """Cells of merged-cell tables as rows for ``grids.cell_grid``; ``frames`` names a column with frame texts."""
-    known = F.col(frames) if frames else _no_frames()
-    exploded = tables.select(
-        *keys, known.alias("_frames"), F.posexplode(cells).alias("seq", "c")
-    )
-    texts = F.transform("c.para", lambda p: X.strip(paragraph(p, F.col("_frames"))))
 
-    def metric(name, default):
-        return F.coalesce(F.col(f"c.metrics.{name}"), F.lit(default))
+def _table(cells, texts):
+    """Markdown of a table of cells; none without cells."""
+
+    def cell(c):
+        text = F.array_join(F.transform(c["paras"], lambda p: X.strip(_shown(p, texts))), " ")
+        return F.struct(c["rowaddr"].alias("row"), c["coladdr"].alias("col"), c["rowspan"].alias("rowspan"), c["colspan"].alias("colspan"), text.alias("text"))
+
+    return F.coalesce(grids.table_of(F.transform(cells, cell)), F.lit(""))
+
+
+def opened(items, shapes, leaf, levels=GROUP_LEVELS):
+    """Leaves of an array of (nested) items, in order; groups below ``levels`` stay as leaves with a ``rest`` of texts."""
+
+    def each(i):
+        is_group = i["type"].eqNullSafe(F.lit("group"))
+        if not levels:
+            rest = F.coalesce(shapes(i), _none("string"))
+            return F.array(F.struct(*leaf(i), F.when(is_group, rest).alias("rest")))
+        own = F.array(F.struct(*leaf(i), F.lit(None).cast("array<string>").alias("rest")))
+        inner = opened(shapes(i), shapes, leaf, levels - 1)
+        return F.when(~is_group, own).otherwise(F.coalesce(inner, F.slice(own, 1, 0)))
+
+    return F.flatten(F.transform(items, each))
 
-    return exploded.select(
-        *keys, metric("rowaddr", 0).alias("row"), metric("coladdr", 0).alias("col"),
-        metric("rowspan", 1).alias("rowspan"), metric("colspan", 1).alias("colspan"),
-        F.coalesce(F.array_join(texts, " "), F.lit("")).alias("text"), "seq",
-    )
 
+def opened_again(leaves, kind, shapes, leaf):
+    """Leaves with what their ``rest`` holds in their places."""
+    def each(i):
+        inner = opened(F.transform(i["rest"], lambda r: F.from_json(r, kind)), shapes, leaf)
+        return F.when(i["rest"].isNull(), F.array(i)).otherwise(inner)
 
-def with_tables(leaves, keys, cells, frames=None):
-    """Leaves with ``table_md`` where ``cells`` is set."""
-    held = leaves.where(cells.isNotNull())
-    grid = grids.table_text(grids.cell_grid(table_cells(held, keys, cells, frames), keys), keys)
-    return leaves.join(grid, keys, "left").withColumn("table_md", F.coalesce("table_md", F.lit("")))
+    return F.flatten(F.transform(leaves, each))
+
+
+def _unopened(leaves):
+    return F.exists(leaves, lambda i: i["rest"].isNotNull())
+
+
+#: A key of shapes, or an escape that may be one of its letters: a document has no more levels of groups than of these.
+SHAPES_KEY = """["']shapes["']|\\\\u00[67]"""
+
+
+def in_rounds(docs, read, unopened, again):
+    """``read(docs)`` with groups of any depth opened.
+
+    Only documents that may hold groups below ``GROUP_LEVELS`` are stored, once for every so many levels.
+    """
+    deep = F.coalesce(F.regexp_count("json", F.lit(SHAPES_KEY)) > GROUP_LEVELS, F.lit(False))
+    rest = saved(read(docs.where(deep)), "groups")
+    while not rest.where(unopened).isEmpty():
+        rest = saved(again(rest), "groups")
+    return read(docs.where(~deep)).union(rest)
 
 
 def _of_kind(docs, kind):
@@ -241,104 +285,145 @@ def pdf_pages_md(docs):
     return d.select("doc_id", F.array_join(F.coalesce(parts, F.array(title)), "\n\n").alias("markdown"))
 
 
+def _slide_leaf(i):
+    return [i[c].alias(c) for c in ("type", "shape", "table", "chart", "equation")]
+
+
 def slides_md(docs):
     """Decks: title; per slide a marker, the note and the non-blank blocks of its (nested) items."""
-    d = _parsed(docs, "slide", SLIDES)
-    slide = d.select("doc_id", F.posexplode("d.slide").alias("slide", "s"))
-    items = slide.select("doc_id", "slide", F.posexplode("s.contents").alias("at", "item"))
-    leaves = flatten_groups(items, lambda i: i["group"]["shapes"], ITEM)
-    key = ["doc_id", "slide", "at"]
-    cells = F.when(F.col("item.type") == "table", F.col("item.table.cells"))
-    tabled = with_tables(leaves, key, cells)
-    none = _no_frames()
-    columns = F.transform(
-        F.filter("item.shape.col", lambda c: c["para"].isNotNull()), lambda c: paragraphs(c["para"], none)
-    )
-    shape = F.coalesce(paragraphs(F.col("item.shape.para"), none), F.array_join(columns, "\n\n"))
-    kind = F.col("item.type")
-    text = (
-        F.when(kind == "shape", shape).when(kind == "table", F.col("table_md"))
-        .when(kind == "chart", chart_md(F.col("item.chart")))
-        .when(kind == "equation", equation_text(F.col("item.equation.rawMath")))
-    )
-    texts = tabled.select(*key, text.alias("text")).where(F.length(X.strip(F.col("text"))) > 0)
-    content = joined(texts, ["doc_id", "slide"], "at", "text", "\n\n", "content")
-    marker = F.concat(F.lit("\n--- Slide "), F.coalesce("s.slide_number", F.lit("0")), F.lit(" ---\n"))
-    parts = F.array_compact(
-        F.array(
-            marker,
-            F.when(F.length("s.note") > 0, F.concat(F.lit("> **Note:** "), "s.note", F.lit("\n"))),
-            F.when(F.col("s.contents").isNotNull(), F.coalesce("content", F.lit(""))),
+    shapes = lambda i: i["group"]["shapes"]
+    none, nothing = _none("int"), _none("string")
+
+    def with_contents(slides, contents):
+        return F.transform(slides, lambda s: F.struct(s["slide_number"].alias("slide_number"), s["note"].alias("note"), contents(s["contents"]).alias("contents"))).alias("slides")
+
+    def read(chosen):
+        return _parsed(chosen, "slide", SLIDES).select(
+            "doc_id", F.col("d.summary_info.docName").alias("name"), with_contents(F.col("d.slide"), lambda c: opened(c, shapes, _slide_leaf))
         )
-    )
-    body = slide.join(content, ["doc_id", "slide"], "left").select(
-        "doc_id", "slide", F.concat(F.lit("\n"), F.array_join(parts, "\n")).alias("part")
-    )
-    title = F.concat(F.lit("# "), F.coalesce("d.summary_info.docName", F.lit(S.DECK_TITLE)), F.lit("\n"))
-    return d.join(joined(body, ["doc_id"], "slide", "part", "", "body"), "doc_id", "left").select(
-        "doc_id", F.concat(title, F.coalesce("body", F.lit(""))).alias("markdown")
-    )
 
+    def again(rows):
+        return rows.select("doc_id", "name", with_contents(F.col("slides"), lambda c: opened_again(c, ITEM, shapes, _slide_leaf)))
 
-def frame_texts(documents):
-    """One map of frame number to text per document, frames inside frames resolved until nothing changes.
+    def paragraphs(para):
+        return F.when(para.isNotNull(), _paragraphs(_all_pieces(para, none), nothing))
 
-    ``documents(doc_id, frames)``. Only whole-number ids count and the last frame of an id wins. A chain of references
-    cannot be longer than a document has frames; one that goes in a circle is cut there.
-    """
-    frames = documents.select("doc_id", F.posexplode("frames").alias("at", "item")).withColumn(
-        "frame_id", F.col("item.ID").try_cast("int")
-    ).where("frame_id IS NOT NULL")
-    last = skew.latest(frames, ["doc_id", "frame_id"], F.desc("at")).select("doc_id", "frame_id", "at", "item")
-    leaves = saved(flatten_groups(last, lambda i: i["shapes"], FRAME).withColumnRenamed("at", "part"), "frames")
-    most = leaves.groupBy("doc_id").agg(F.countDistinct("frame_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    key = ["doc_id", "frame_id", "part"]
-    known, mark = None, None
-    for _ in range(most + 1):
-        here = leaves.withColumn("_known", _no_frames()) if known is None else leaves.join(known, "doc_id", "left")
-        kind = F.col("item.type")
-        tabled = with_tables(here, key, F.when(kind == "table", F.col("item.cells")), "_known")
-        text = (
-            F.when(kind == "table", F.col("table_md"))
-            .when(kind == "shape", paragraphs(F.col("item.para"), F.col("_known")))
-            .when(kind == "chart", chart_md(F.col("item")))
-            .when(kind == "equation", equation_text(F.col("item.rawMath")))
+    def block(i):
+        kind = i["type"]
+        columns = F.transform(F.filter(i["shape"]["col"], lambda c: c["para"].isNotNull()), lambda c: paragraphs(c["para"]))
+        return (
+            F.when(kind == "shape", F.coalesce(paragraphs(i["shape"]["para"]), F.array_join(columns, "\n\n")))
+            .when(kind == "table", _table(_cells(i["table"]["cells"], none), nothing))
+            .when(kind == "chart", chart_md(i["chart"])).when(kind == "equation", equation_text(i["equation"]["rawMath"]))
         )
-        texts = tabled.select(*key, text.alias("text")).where(F.length("text") > 0)
-        whole = saved(joined(texts, ["doc_id", "frame_id"], "part", "text", "\n\n", "text"), "frame-texts")
-        known = whole.groupBy("doc_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("frame_id", "text"))).alias("_known")
+
+    def slide(s):
+        marker = F.concat(F.lit("\n--- Slide "), F.coalesce(s["slide_number"], F.lit("0")), F.lit(" ---\n"))
+        note = F.when(F.length(s["note"]) > 0, F.concat(F.lit("> **Note:** "), s["note"], F.lit("\n")))
+        blocks = F.filter(F.transform(s["contents"], block), lambda t: F.length(X.strip(t)) > 0)
+        parts = F.array_compact(F.array(marker, note, F.array_join(blocks, "\n\n")))
+        return F.concat(F.lit("\n"), F.array_join(parts, "\n"))
+
+    rows = in_rounds(docs, read, F.exists("slides", lambda s: _unopened(s["contents"])), again)
+    title = F.concat(F.lit("# "), F.coalesce("name", F.lit(S.DECK_TITLE)), F.lit("\n"))
+    body = F.array_join(F.transform("slides", slide), "")
+    return rows.select("doc_id", F.concat(title, F.coalesce(body, F.lit(""))).alias("markdown"))
+
+
+def _frame_leaf(i):
+    return [i[c].alias(c) for c in ("type", "cells", "para", "rawMath", "name", "chartData", "csv", "markdown")]
+
+
+def frame_texts(frames, ids):
+    """Texts of a document's frames (leaves), in their order, frames inside frames resolved.
+
+    ``ids`` are the frames' numbers. A round renders the frames whose text may still change, from the texts of the round before; a frame
+    whose references are all settled is settled. A chain of references cannot be longer than a document has frames; one that goes
+    in a circle is cut there.
+    """
+
+    def part(i):
+        kind = i["type"]
+        fixed = F.when(kind == "chart", chart_md(i)).when(kind == "equation", equation_text(i["rawMath"]))
+        return F.struct(
+            kind.alias("kind"), fixed.alias("fixed"), F.when(kind == "table", _cells(i["cells"], ids)).alias("cells"),
+            F.when(kind == "shape", _all_pieces(i["para"], ids)).alias("paras"),
         )
-        before, mark = mark, whole.agg(F.sum(F.xxhash64("doc_id", "frame_id", "text").cast("decimal(38,0)"))).first()[0]
-        if before == mark:
-            break
-    if known is None:
-        return documents.select("doc_id", _no_frames().alias("frame_texts")).where("false")
-    return known.withColumnRenamed("_known", "frame_texts")
 
+    def places(paras):
+        return F.filter(F.transform(F.flatten(paras), lambda i: i["frame"]), lambda n: n.isNotNull())
 
-def word_body_md(docs):
-    """Word-processor documents: title, page markers, paragraphs with their frames, labelled columns."""
-    d = _parsed(docs, "body", WORD)
-    known = frame_texts(d.select("doc_id", F.col("d.frames").alias("frames")))
-    whole = d.join(known, "doc_id", "left").withColumn("frame_texts", F.coalesce("frame_texts", _no_frames()))
-    frames = F.col("frame_texts")
-    none = F.array().cast("array<string>")
+    def references(parts):
+        def of_part(p):
+            cells = F.flatten(F.transform(p["cells"], lambda c: places(c["paras"])))
+            return F.concat(F.coalesce(places(p["paras"]), _none("int")), F.coalesce(cells, _none("int")))
 
-    def column(c):
-        label = F.concat(F.lit("\n[Column "), F.coalesce(c["colNum"], F.lit("0")), F.lit("]\n"))
-        return F.array(label, paragraphs(c["para"], frames))
+        return F.array_distinct(F.flatten(F.transform(parts, of_part)))
 
-    def page(p):
-        marker = F.concat(F.lit("\n--- Page "), F.coalesce(p["pageInfo"]["pageNum"], F.lit("0")), F.lit(" ---\n"))
-        own = F.when(p["para"].isNotNull(), F.array(paragraphs(p["para"], frames))).otherwise(none)
-        columns = F.flatten(F.transform(F.filter(p["col"], lambda c: c["para"].isNotNull()), column))
-        return F.concat(F.array(marker), own, F.coalesce(columns, none))
-
-    name = F.coalesce(F.nullif(F.col("d.metadata.coreProperties.title"), F.lit("")), F.nullif(F.col("d.docName"), F.lit("")))
-    title = F.when(name.isNotNull(), F.array(F.concat(F.lit("# "), name, F.lit("\n")))).otherwise(none)
-    parts = F.concat(title, F.coalesce(F.flatten(F.transform("d.body", page)), none))
-    return whole.select("doc_id", F.array_join(parts, "\n").alias("markdown"))
+    def shown(parts, texts):
+        def of_part(p):
+            return F.when(p["kind"] == "table", _table(p["cells"], texts)).when(p["kind"] == "shape", _paragraphs(p["paras"], texts)).otherwise(p["fixed"])
+
+        return F.array_join(F.filter(F.transform(parts, of_part), lambda t: F.length(t) > 0), "\n\n")
+
+    def resolved(made):
+        def next_round(state, _):
+            def each(f, n):
+                settled = F.get(state["settled"], n)
+                text = F.when(settled, F.get(state["texts"], n)).otherwise(shown(f["parts"], state["texts"]))
+                return F.struct(text.alias("text"), (settled | F.forall(f["refs"], lambda r: F.get(state["settled"], r))).alias("settled"))
+
+            def split(rows):
+                return F.struct(F.transform(rows, lambda r: r["text"]).alias("texts"), F.transform(rows, lambda r: r["settled"]).alias("settled"))
+
+            return F.when(F.forall(state["settled"], lambda x: x), state).otherwise(X.let(F.transform(made, each), split))
+
+        start = F.struct(F.transform(made, lambda f: F.lit("")).alias("texts"), F.transform(made, lambda f: F.lit(False)).alias("settled"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(F.array_distinct(ids))), start, next_round, lambda state: state["texts"])
+
+    made = F.transform(
+        frames, lambda f: X.let(F.transform(f["leaves"], part), lambda parts: F.struct(parts.alias("parts"), references(parts).alias("refs")))
+    )
+    return X.let(made, resolved)
+
+
+def word_body_md(docs):
+    """Word-processor documents: title, page markers, paragraphs with their frames, labelled columns."""
+    shapes = lambda i: i["shapes"]
+    none = _none("string")
+
+    def read(chosen):
+        # only whole-number ids count; a document's last frame of an id comes first and is the one that is found
+        numbered = F.reverse(F.filter("d.frames", lambda f: f["ID"].try_cast("int").isNotNull()))
+        leaves = F.transform(numbered, lambda f: F.struct(f["ID"].try_cast("int").alias("id"), opened(F.array(f), shapes, _frame_leaf).alias("leaves")))
+        name = F.coalesce(F.nullif(F.col("d.metadata.coreProperties.title"), F.lit("")), F.nullif(F.col("d.docName"), F.lit("")))
+        return _parsed(chosen, "body", WORD).select("doc_id", name.alias("name"), F.col("d.body").alias("body"), leaves.alias("frames"))
+
+    def again(rows):
+        leaves = F.transform("frames", lambda f: F.struct(f["id"].alias("id"), opened_again(f["leaves"], FRAME, shapes, _frame_leaf).alias("leaves")))
+        return rows.withColumn("frames", leaves)
+
+    def pages(ids, texts):
+        def paragraphs(para):
+            return _paragraphs(_all_pieces(para, ids), texts)
+
+        def column(c):
+            label = F.concat(F.lit("\n[Column "), F.coalesce(c["colNum"], F.lit("0")), F.lit("]\n"))
+            return F.array(label, paragraphs(c["para"]))
+
+        def page(p):
+            marker = F.concat(F.lit("\n--- Page "), F.coalesce(p["pageInfo"]["pageNum"], F.lit("0")), F.lit(" ---\n"))
+            own = F.when(p["para"].isNotNull(), F.array(paragraphs(p["para"]))).otherwise(none)
+            columns = F.flatten(F.transform(F.filter(p["col"], lambda c: c["para"].isNotNull()), column))
+            return F.concat(F.array(marker), own, F.coalesce(columns, none))
+
+        return F.flatten(F.transform("body", page))
+
+    rows = in_rounds(docs, read, F.exists("frames", lambda f: _unopened(f["leaves"])), again)
+    ids = F.coalesce(F.transform("frames", lambda f: f["id"]), _none("int"))
+    body = X.let(ids, lambda i: X.let(F.coalesce(frame_texts(F.col("frames"), i), none), lambda texts: pages(i, texts)))
+    title = F.when(F.col("name").isNotNull(), F.array(F.concat(F.lit("# "), "name", F.lit("\n")))).otherwise(none)
+    return rows.select("doc_id", F.array_join(F.concat(title, F.coalesce(body, none)), "\n").alias("markdown"))
 
 
 def to_markdown(docs):

@@ -74,6 +74,43 @@ def cell_grid(cells, keys):
     return _lines(values.withColumn("_values", F.coalesce("_values", empty)), extents, keys, "_width", "_first")
 
 
+def table_of(cells):
+    """Whole markdown table of an array of cells (row, col, rowspan, colspan, text), as ``cell_grid`` makes it; null without cells.
+
+    For tables inside one document value. Fillers and cells are sorted by place, and the last of each place stays.
+    """
+
+    def end(at, span):
+        return F.array_max(F.transform(cells, lambda c: F.when((c["rowspan"] >= 1) & (c["colspan"] >= 1), c[at] + c[span] - 1).otherwise(c[at])))
+
+    def escaped(t):
+        return F.replace(F.replace(t, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+
+    def table(size):
+        width = size["width"]
+        every = F.transform(F.sequence(F.lit(0), size["height"] * width - 1), lambda n: F.struct(n.alias("at"), F.lit(-1).alias("seq"), F.lit("").alias("text")))
+        own = F.transform(
+            F.filter(cells, lambda c: (c["row"] >= 0) & (c["col"] >= 0)),
+            lambda c, n: F.struct((c["row"] * width + c["col"]).alias("at"), n.alias("seq"), escaped(c["text"]).alias("text")),
+        )
+
+        def line(texts, r):
+            row = _row(F.slice(texts, r * width + 1, width))
+            return F.when(r == 0, F.concat(row, F.lit("\n"), _rule(width))).otherwise(row)
+
+        last = X.let(
+            F.array_sort(F.concat(every, own)),
+            lambda found: F.transform(F.filter(found, lambda c, n: ~c["at"].eqNullSafe(F.get(found, n + 1)["at"])), lambda c: c["text"]),
+        )
+        lines = X.let(last, lambda texts: F.transform(F.sequence(F.lit(0), size["height"] - 1), lambda r: line(texts, r)))
+        return F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
+
+    size = F.struct(
+        F.greatest(end("row", "rowspan") + 1, F.lit(1)).alias("height"), F.greatest(end("col", "colspan") + 1, F.lit(1)).alias("width")
+    )
+    return F.when(F.size(cells) > 0, X.let(size, table))
+
+
 def table_text(lines, keys):
     """Whole markdown table per key, for tables that came out of one document value."""
     ordered = F.array_sort(F.collect_list(F.struct("row", "line")))

@@ -184,3 +184,33 @@ def test_cells_are_shuffled_once_for_a_row(spark):
     got = grids._row_values(cells, ["k"])
     assert {r.row: r._values for r in got.collect()} == {0: {0: "b", 2: "c"}, 3: {}}
     assert sum(line.strip(" +-:").startswith("Exchange") for line in plan(got).splitlines()) == 1
+
+
+def test_decks_and_word_documents_stay_in_their_row(spark):
+    """Neither is shuffled, groups may be far deeper than one round opens, and a circle does not depend on other documents."""
+    shape = lambda t: {"type": "shape", "shape": {"para": [para(t)]}}
+    item, part = shape("deepest"), {"type": "shape", "para": [para("inmost")]}
+    for k in range(2 * docjson.GROUP_LEVELS + 3):
+        item = {"type": "group", "group": {"shapes": [shape(f"a{k}"), item, shape(f"z{k}")]}}
+        part = {"type": "group", "shapes": [part, {"type": "shape", "para": [para(f"p{k}")]}]}
+    deck = frame(spark, {"slide": [{"contents": [shape("first"), item, {"type": "group"}, shape("last")]}]})
+    made = docjson.slides_md(deck)
+    levels = range(2 * docjson.GROUP_LEVELS + 3)
+    assert markdown(made)[0].split("\n\n")[2:] == ["first", *[f"a{k}" for k in reversed(levels)], "deepest", *[f"z{k}" for k in levels], "last"]
+    circle = {"docName": "c", "frames": [{"ID": k, "type": "shape", "para": [para(f"{k} ", {"objectID": 3 - k})]} for k in (1, 2)], "body": [{"para": [para({"objectID": 1})]}]}
+    deep = {"docName": "w", "frames": [{**part, "ID": 7}, *[{"ID": k, "type": "shape", "para": [para(str(k))]} for k in range(20, 30)]], "body": [{"para": [para({"objectID": 7})]}]}
+    both = docjson.word_body_md(frame(spark, circle, deep))
+    got = {m.split("\n")[0]: m for m in markdown(both)}
+    assert got["# c"] == markdown(docjson.word_body_md(frame(spark, circle)))[0]
+    assert got["# w"].split("\n\n")[2:] == ["inmost", *[f"p{k}" for k in levels]]
+    assert "Exchange" not in plan(made) + plan(both)
+
+
+def test_tables_in_a_row_equal_tables_of_rows(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(4), rng.randrange(5), rng.randrange(4), rng.randrange(3), rng.choice(["a|b", "c\nd", "", "e"]), n) for k in range(30) for n in range(rng.randrange(1, 12))]
+    cells = spark.createDataFrame(rows, "k int, row int, col int, rowspan int, colspan int, text string, seq int")
+    want = {r.k: r.table_md for r in grids.table_text(grids.cell_grid(cells, ["k"]), ["k"]).collect()}
+    own = F.array_sort(F.collect_list(F.struct("seq", "row", "col", "rowspan", "colspan", "text")))
+    got = {r.k: r.md for r in cells.groupBy("k").agg(own.alias("c")).select("k", grids.table_of(F.col("c")).alias("md")).collect()}
+    assert got == want and len(got) == 30
