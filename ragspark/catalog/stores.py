@@ -223,15 +223,15 @@ def streamed_history(spark, folder):
 
 
 def remembered_rooms(spark, folder):
-    """The same from state: the events come in four files, each a quarter of the time, and each is one micro-batch."""
+    """The same from state: the events come in four quarters of the time, and each is one micro-batch of a query that goes on."""
     base = shared_folder(spark, "room-memory")
     events = C.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     quarter = F.least(F.floor((F.col("ts").cast("double") - F.lit(span.a).cast("double")) / (F.lit(span.b).cast("double") - F.lit(span.a).cast("double")) * 4), F.lit(3))
     for k in range(4):
-        events.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run(history.stateful_history(pairs_of(source), f"{base}/table", f"{base}/checkpoint", ttl_days=TTL))
+        events.where(quarter == k).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        run(history.stateful_history(pairs_of(source), f"{base}/table", f"{base}/checkpoint", ttl_days=TTL))
     return history.read_live_history(spark, f"{base}/table", stamp(AS_OF), ttl_days=TTL).select("invoke_id", "seq", "role", "content")
 
 

@@ -1,5 +1,7 @@
+import json
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ragspark.operators import memory, streamlog
@@ -138,3 +140,27 @@ def test_tables_in_one_file_or_in_a_folder_are_streamed(spark, tmp_path):
     got = stores.streamed_chunks(spark, str(tmp_path))
     assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
     assert stores.streamed_chunks(spark, "/root/testdata/sf0.001").count() > got.count()
+
+
+def test_a_room_is_one_value_in_and_out():
+    """A call gets a room's state and gives it back, without questions to the state store in between."""
+    class State:
+        exists, hasTimedOut, get, end = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, ms):
+            self.end = ms
+
+    call, state, day = history.room_memory(3, 2), State(), history.DAY
+    frame = lambda *rows: pd.DataFrame(rows, columns=["seq", "role", "content", "at"])
+    shown = lambda *frames: [[(m["seq"], m["content"]) for m in json.loads(f["messages"][0]) if m] for f in call(("r",), iter(frames), state)]
+    assert shown(frame((2, "user", "b", day), (1, "user", "a", 0)), frame((3, "user", None, day), (4, "user", "d", day))) == [[(2, "b"), (3, None), (4, "d")]]
+    assert state.end == 3 * day // 1000
+    assert shown(frame((5, "user", "e", 3 * day))) == [[(5, "e")]]
+    state.hasTimedOut = True
+    assert shown() == [[]] and not state.exists
