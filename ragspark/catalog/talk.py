@@ -7,8 +7,11 @@ from ragspark.functions import text as X
 from ragspark.operators import dialogue, memory
 from ragspark.plans import flows
 from ragspark.session import shared_folder
+from ragspark.sources import files
 
 QUERIES, ORACLE = {}, {}
+# Folders over which the written chat logs are dealt.
+LOG_FOLDERS = 256
 
 
 def messages(spark, folder):
@@ -101,14 +104,16 @@ def written_log(spark, folder):
             "formatted_date": F.coalesce("formatted_date", F.lit("")), "row_seq": F.col("row_seq").cast("string"),
         }
     )
-    dealt = made.repartition("file").sortWithinPartitions("file", F.col("row_seq").cast("long"))
-    dealt.write.partitionBy("file").options(header=True, quoteAll=True, escape='"', lineSep="\n").csv(path)
+    # folders of many logs: one per log would be listed one by one
+    place = F.coalesce(F.pmod("file", F.lit(LOG_FOLDERS)), F.lit(0)).cast("string")
+    name = F.concat(F.lit("bin="), place, F.lit("/"), F.coalesce(F.col("file").cast("string"), F.lit("none")), F.lit(".csv"))
+    files.write_chat_csv(made.withColumn("file", name), path)
     return path
 
 
 def file_transcripts(spark, folder):
     """Transcripts read back from the files."""
-    user = F.regexp_extract("file", "file=([0-9]+)", 1).cast("long")
+    user = F.regexp_extract("file", "(?:/|%2F)(-?[0-9]+|none)[.]csv(?:/|$)", 1).try_cast("long")
     return flows.dialogue_transcripts(spark, written_log(spark, folder)).select(user.alias("file"), "row_seq", "kind", "line")
 
 

@@ -3,7 +3,9 @@
 import csv
 import io
 import itertools
+import os
 import re
+import uuid
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as X
 from ragspark.operators import skew
-from ragspark.session import saved
+from ragspark.session import saved, small_files
 
 # The columns of a chat log.
 CHAT_COLUMNS = ("sTalkerName", "formatted_date", "sTalkerContent", "sOriginalFileName")
@@ -100,7 +102,67 @@ def decoded(content):
     return None
 
 
-_SPECIAL = re.compile(b'[",\r]')
+def _local(spark, path):
+    """A path as Python opens it, or None if it lies on no mounted file system."""
+    if path.startswith("/"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+    found = re.fullmatch("file:(?://)?(/[^/].*)", path)
+    return found and found[1]
+
+
+def _write_files(root, head):
+    """Writes (file, line) rows, sorted by file, below ``root``; gives the number of files begun in each batch."""
+
+    def run(batches):
+        name = out = passing = None
+        folders = set()
+
+        def close():
+            out.close()
+            os.replace(passing, f"{root}/{name}")
+
+        for b in batches:
+            begun = 0
+            for file, rows in itertools.groupby(zip(*(c.to_pylist() for c in b.columns)), key=lambda r: r[0]):
+                if file != name:
+                    if out:
+                        close()
+                    name, begun = file, begun + 1
+                    folder = os.path.dirname(f"{root}/{name}")
+                    if folder not in folders:
+                        os.makedirs(folder, exist_ok=True)
+                        folders.add(folder)
+                    passing = f"{folder}/_{uuid.uuid4().hex}"
+                    out = open(passing, "wb")
+                    out.write(f"{head}\n".encode())
+                out.writelines(f"{line}\n".encode() for _, line in rows)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([begun], pa.int64())})
+        if out:
+            close()
+
+    return run
+
+
+def write_chat_csv(log, path):
+    """Rows as CSV files below ``path``: ``file`` names the file of a row, ``row_seq`` its place there; every field is quoted.
+
+    Tasks write a file as a stream under a passing name, which readers skip, and rename it when it is whole, so that a repeated task does no harm. Spark's
+    own writer makes a folder per file: making and listing that costs as much as some thousand lines. It is left for paths that only Spark can open, where
+    a file is the one in the folder ``file=<its name>``.
+    """
+    options = {"quoteAll": "true", "escape": '"', "lineSep": "\n"}
+    ordered = log.repartition("file").sortWithinPartitions("file", F.col("row_seq").cast("long"))
+    root = _local(log.sparkSession, path)
+    if root is None:
+        return ordered.write.partitionBy("file").options(header=True, **options).csv(path)
+    fields = [c for c in log.columns if c != "file"]
+    lines = ordered.select("file", F.to_csv(F.struct(*fields), options).alias("line"))
+    os.makedirs(root, exist_ok=True)
+    lines.mapInArrow(_write_files(root, ",".join(f'"{c}"' for c in fields)), "n long").agg(F.sum("n")).first()
+
+
+# From the start of a field, or behind a quoted part: quoted parts, ends of fields, and plain parts up to the end of their field.
+_OUTSIDE = re.compile(rb'(?:"[^"]*"|[,\r]|[^",\r][^,\r]*)*+')
 _PIECE = ["file", "block"]
 SCANNED = "file string, block long, line_no long, line binary, utf8 boolean, start0 boolean, start1 boolean, end0 boolean, end1 boolean"
 FIELDS = "file string, block long, local long, fields array<string>"
@@ -111,19 +173,8 @@ def ends_inside(line, inside):
 
     A quote opens a field only at its start; in CP949 no part of a character looks like a quote, comma or line end.
     """
-    opening, plain, quoted, closed = range(4)
-    state, at = (quoted if inside else opening), 0
-    for m in _SPECIAL.finditer(line):
-        if m.start() > at and state in (opening, closed):
-            state = plain
-        at = m.end()
-        if state == quoted:
-            state = closed if m.group() == b'"' else quoted
-        elif m.group() != b'"':
-            state = opening
-        elif state != plain:
-            state = quoted
-    return state == quoted
+    at = line.find(b'"') + 1 if inside else 0
+    return inside and not at or _OUTSIDE.match(line, at).end() < len(line)
 
 
 def _scan(batches):
@@ -136,7 +187,11 @@ def _scan(batches):
                 piece, n, now = (file, block), 0, (False, True)
                 if block == 0 and line.startswith(b"\xef\xbb\xbf"):
                     line = line[3:]
-            end = tuple(ends_inside(line, x) for x in now) if b'"' in line or now[0] else now
+            if b'"' in line:
+                first = ends_inside(line, now[0])
+                end = (first, first if now[0] == now[1] else ends_inside(line, now[1]))
+            else:
+                end = now
             out.append((file, block, n, line, utf8, *now, *end))
             n, now = n + 1, end
         if out:
@@ -210,7 +265,8 @@ def read_chat_csv(spark, path):
     """
     raw = spark.read.option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(path)
     lines = raw.select(below(decoded_uri(F.col("_metadata.file_path")), path).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary"), F.is_valid_utf8("value"))
-    scanned = saved(lines.mapInArrow(_scan, SCANNED), "lines")
+    with small_files(spark):
+        scanned = saved(lines.mapInArrow(_scan, SCANNED), "lines")
     pieces = saved(_placed(scanned), "splits")
     few = skew.hot_keys(skew.count_keys(scanned, _PIECE), _PIECE, "_n")
     placed = skew.lookup_join(scanned.select(*_PIECE, "line_no", "line"), pieces, _PIECE, few, spread=["line_no"])

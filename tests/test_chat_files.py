@@ -3,9 +3,13 @@
 import csv
 import io
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
 
+from ragspark.catalog import registry, talk
+from ragspark.session import small_files
 from ragspark.sources import files
 
 HEAD = "sTalkerName,formatted_date,sTalkerContent,sOriginalFileName"
@@ -65,3 +69,50 @@ def test_bad_files(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b"\n" + HEAD.encode())
     with pytest.raises(Exception, match="missing columns sTalkerName"):
         files.read_chat_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """Three rows of each of 600 users, one of whom is below zero and one unknown."""
+    folder = tmp_path_factory.mktemp("events")
+    user = "CASE id % 600 WHEN 0 THEN NULL WHEN 1 THEN -7 ELSE id % 600 END"
+    rows = spark.range(1800).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 3600) AS ts", f"{user} AS user_id",
+        "element_at(array('view', 'error', 'click'), cast(id % 7 % 3 + 1 AS int)) AS event_type", """concat('{"k": ', id % 5, '}') AS props""",
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_written_logs_are_read_back(spark, events, monkeypatch, mounted):
+    if not mounted:
+        monkeypatch.setattr(files, "_local", lambda *_: None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{events}/events.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["file_transcripts"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["file_transcripts"](spark, events).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r[0] for r in got} >= {None, -7, 2, 599}
+
+
+def test_logs_share_folders_and_tasks(spark, events):
+    root = Path(files._local(spark, talk.written_log(spark, events)))
+    assert len(list(root.rglob("*.csv"))) == 600
+    assert len([p for p in root.rglob("*") if p.is_dir()]) == talk.LOG_FOLDERS
+    assert not [p for p in root.rglob("*") if p.is_file() and p.suffix != ".csv"]
+    setting = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+    with small_files(spark):
+        assert spark.read.text(str(root)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    assert spark.conf.get(setting) == before
+    spark.conf.set(setting, "120")
+    try:
+        with small_files(spark):
+            assert spark.conf.get(setting) == "120"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_only_mounted_paths_are_opened(spark):
+    assert [files._local(spark, p) for p in ("/a/b", "file:///a/b#c%20", "file:/a", "hdfs://a/b", "file://host/a", "a/b")] == ["/a/b", "/a/b#c%20", "/a", None, None, None]
